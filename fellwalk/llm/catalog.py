@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
+from .quality_knn import op3_quality_classifier
 from .quality_rules import op4_quality_rules
 
-QUERIES = {"op4_quality_rules": op4_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules}
 ORACLES: dict[str, str] = {}
