@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .packing import op5_packing
 from .quality_knn import op3_quality_classifier
 from .quality_rules import op4_quality_rules
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_quality_classifier": op3_quality_classifier, "op4_quality_rules": op4_quality_rules}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
+}
 ORACLES: dict[str, str] = {}
