@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language_id import op1_language_id
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_packing
 from .quality_knn import op3_quality_classifier
 from .quality_rules import op4_quality_rules
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
