@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_main import op2_html_extraction
 from .language_id import op1_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_packing
@@ -10,6 +11,7 @@ from .quality_rules import op4_quality_rules
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_html_extraction": op2_html_extraction,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
