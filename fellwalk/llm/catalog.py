@@ -8,6 +8,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .packing import op5_packing
 from .quality_knn import op3_quality_classifier
 from .quality_rules import op4_quality_rules
+from .simhash import op7_simhash_dedup
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_simhash_dedup": op7_simhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL}
