@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .html_main import op2_html_extraction
 from .language_id import op1_language_id
 from .mixing import OP6_SQL, op6_mixing
@@ -20,5 +21,6 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
