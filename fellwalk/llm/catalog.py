@@ -6,6 +6,7 @@ from .embedding_dedup import OP10_SQL, op10_embedding_dedup
 from .html_main import op2_html_extraction
 from .language_id import op1_language_id
 from .mixing import OP6_SQL, op6_mixing
+from .ngram_lm import op8_lm_scoring
 from .packing import op5_packing
 from .quality_knn import op3_quality_classifier
 from .quality_rules import op4_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
