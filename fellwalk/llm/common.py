@@ -81,7 +81,8 @@ class Tokens:
     def __init__(self, text: pa.Array, lower: bool = False):
         text = pc.fill_null(text, "").cast(pa.large_string())
         if lower:
-            text = pc.ascii_lower(text)
+            # a compact copy: the lower-casing kernel misreads a slice that starts inside its buffer
+            text = pc.ascii_lower(text.take(pa.array(np.arange(len(text)))))
         lists = pc.ascii_split_whitespace(text)
         flat = lists.flatten()
         lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
