@@ -10,7 +10,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +97,28 @@ class Tokens:
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
         self.flat = flat
 
+    def word_hashes(self) -> np.ndarray:
+        """64-bit hash of every dictionary word: a polynomial of its bytes modulo 2**64, then mixed."""
+        words = self.words.cast(pa.large_binary())
+        if not len(words):
+            return np.zeros(0, np.uint64)
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+        ends = ends - ends[0]
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _BASE, np.uint64))))
+        inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _INVERSE, np.uint64))))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * power[:-1])))
+        return mix64((sums[ends[1:]] - sums[ends[:-1]]) * inverse[ends[:-1]] ^ mix64(np.diff(ends).view(np.uint64)))
+
     def hashes(self) -> np.ndarray:
         """64-bit hash of every token."""
-        own = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.words))
-        return own[self.codes] if len(own) else np.zeros(0, np.uint64)
+        return self.word_hashes()[self.codes]
+
+
+#: Base of the polynomial hashes (odd), and its inverse modulo 2**64.
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Elias-Fano coding of sorted integers in numpy, with vectorised access and successor search.
 
 Each value is split into low bits, packed one after the other, and a high part, written in unary: the
-i-th value sets bit (high + i). A directory of ones before every 64-bit word answers select in a binary
-search and a few word operations. All arrays may be memory-mapped; queries touch what they need.
+i-th value sets bit (high + i). Directories of the ones and of the zeros before every 64-bit word answer
+select in a binary search and a few word operations. All arrays may be memory-mapped; queries touch what they need.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ def select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    def __init__(self, n: int, low_bits: int, high: np.ndarray, ones: np.ndarray, low: np.ndarray):
-        self.n, self.low_bits, self.high, self.ones, self.low = n, low_bits, high, ones, low
+    def __init__(self, n: int, low_bits: int, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray, low: np.ndarray):
+        self.n, self.low_bits, self.high, self.ones, self.zeros, self.low = n, low_bits, high, ones, zeros, low
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -56,7 +56,9 @@ class EliasFano:
             start = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
             high[which[start]] = np.bitwise_or.reduceat(_U(1) << (place & _U(63)), start)
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
-        ones = ones.astype(np.uint32 if n < 1 << 32 else np.int64)
+        kind = np.uint32 if 64 * words < 1 << 32 else np.int64
+        zeros = (64 * np.arange(words + 1) - ones).astype(kind)
+        ones = ones.astype(kind)
         low = np.zeros((n * low_bits) // 64 + 2, np.uint64)
         if low_bits and n:
             bits = v & ((_U(1) << _U(low_bits)) - _U(1))
@@ -66,7 +68,7 @@ class EliasFano:
             low[word[start]] |= np.bitwise_or.reduceat(bits << shift, start)
             over = np.flatnonzero(shift + _U(low_bits) > _U(64))  # at most one for each word
             low[word[over] + 1] |= bits[over] >> (_U(64) - shift[over])
-        return cls(n, low_bits, high, ones, low)
+        return cls(n, low_bits, high, ones, zeros, low)
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -98,15 +100,8 @@ class EliasFano:
         if not len(some):
             return out
         k = h[some] - 1
-        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(self.high), np.int64)
-        # zeros before a word: 64 * word - ones; first guess between known bounds, then bisect
-        while True:
-            mid = (lo + hi) >> 1
-            fits = mid * 64 - self.ones[mid].astype(np.int64) <= k
-            lo, hi = np.where(fits, mid, lo), np.where(fits, hi, mid)
-            if (hi - lo <= 1).all():
-                break
-        place = lo * 64 + select_in_word(~self.high[lo], k - (lo * 64 - self.ones[lo].astype(np.int64)))
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
+        place = word * 64 + select_in_word(~self.high[word], k - self.zeros[word].astype(np.int64))
         out[some] = place - k
         return out
 
@@ -128,9 +123,9 @@ class EliasFano:
         return lo, found
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"shape": np.array([self.n, self.low_bits], np.int64), "high": self.high, "ones": self.ones, "low": self.low}
+        return {"shape": np.array([self.n, self.low_bits], np.int64), "high": self.high, "ones": self.ones, "zeros": self.zeros, "low": self.low}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray], name: str) -> EliasFano:
         n, low_bits = arrays[f"{name}.shape"].tolist()
-        return cls(n, low_bits, arrays[f"{name}.high"], arrays[f"{name}.ones"], arrays[f"{name}.low"])
+        return cls(n, low_bits, arrays[f"{name}.high"], arrays[f"{name}.ones"], arrays[f"{name}.zeros"], arrays[f"{name}.low"])

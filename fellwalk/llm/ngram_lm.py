@@ -82,7 +82,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
         with os.fdopen(handle, "wb") as out, fs.open_input_stream(far) as f:
             while block := f.read(1 << 24):
                 out.write(block)
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     if gone:
         os.unlink(path)
     size = int.from_bytes(raw[:8].tobytes(), "little")
@@ -115,7 +115,7 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
 
 def sent_blocks(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """Rows (shard, block) of sorted keys."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     ends = np.cumsum(np.bincount(shard, minlength=shards))
     begin = 0
     for s, end in enumerate(ends.tolist()):
@@ -185,7 +185,7 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, number or -1) of each hash."""
         count, number = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
-        shard = (hashes >> _U(64 - self.bits)).astype(np.int64)
+        shard = (hashes >> _U(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(1 << self.bits), "right")
         for s, f in self.files.items():
@@ -359,7 +359,7 @@ class Model:
         return out
 
     def _by_shard(self, words: np.ndarray, known: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-        shard = words % self.shards
+        shard = (words % self.shards).astype(np.uint16 if self.shards < 1 << 16 else np.int64)  # 16 bits sort by radix
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(self.shards), "right")
         for s in known:
@@ -373,17 +373,18 @@ class Stream:
 
     def __init__(self, text: pa.Array, model: Model | None = None):
         tok = Tokens(text, lower=True)
-        own = tok.hashes()
+        own = tok.word_hashes()
         self.lengths = np.diff(tok.offsets) + 1
         self.ends = np.cumsum(self.lengths)
         self.hash = np.full(int(self.ends[-1]) if len(self.ends) else 0, END, np.uint64)
         inner = np.ones(len(self.hash), bool)
         inner[self.ends - 1] = False
-        self.hash[inner] = own
         if model is None:
+            self.hash[inner] = own[tok.codes]
             return
-        u, at = np.unique(self.hash, return_inverse=True)
-        count, number = model.vocabulary.find(u)
+        count, number = model.vocabulary.find(np.append(own, END))
+        at = np.full(len(self.hash), len(own))
+        at[inner] = tok.codes
         self.count, self.number = count[at], number[at]
         # j: places with a token before them in the same document; both words numbered
         first = np.zeros(len(self.hash), bool)
@@ -399,6 +400,8 @@ class Stream:
         place, logp = model.find2((u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64))
         self.bigram, self.logp2 = np.full(len(self.hash), -1, np.int64), np.full(len(self.hash), np.nan)
         self.bigram[self.pair_at], self.logp2[self.pair_at] = place[at], logp[at]
+        self.pair_number = np.zeros(len(self.hash), np.int64)
+        self.pair_number[self.pair_at] = at
         return u, at, place
 
     def triples(self) -> np.ndarray:
@@ -508,14 +511,10 @@ def score_stream(text: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     hit = np.flatnonzero(s.bigram[under] >= 0)
     t = under[hit]
     if len(t):
-        key = np.stack((s.number[t - 1], context_at[t - 1], s.bigram[t]))
-        order = np.lexsort(key)
-        new = np.concatenate(([True], (np.diff(key[:, order]) != 0).any(0)))
-        one = order[new]
-        found = model.find3(context_at[t[one] - 1], s.number[t[one] - 1], s.bigram[t[one]])
-        back_to = np.empty(len(t), np.int64)
-        back_to[order] = np.cumsum(new) - 1
-        three[hit] = found[back_to]
+        # each different triple is looked up once
+        _, one, back_to = np.unique(s.pair_number[t - 1] * len(u) + s.pair_number[t], return_index=True, return_inverse=True)
+        one = t[one]
+        three[hit] = model.find3(context_at[one - 1], s.number[one - 1], s.bigram[one])[back_to]
     logp[under] = np.where(np.isnan(three), back_at[under - 1] + logp[under], three)
     begin = s.ends - s.lengths
     total = lambda x: np.add.reduceat(x, begin) if len(x) else np.zeros(0)
