@@ -109,23 +109,37 @@ def removable(keyed: DataFrame, n: int) -> DataFrame:
             row, at, full, anchor = window_hashes(Tokens(b.column(2)), n)
             bit = anchor & mask
             maybe = np.flatnonzero((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-            row = row[maybe]
+            row, at, full = row[maybe], at[maybe], full[maybe]
+            # a word repeated over and over makes the same window at one place after another: one row
+            again = (full[1:] == full[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), ~again)))
+            times = np.diff(np.append(first, len(row)))
+            row, at, full = row[first], at[first], full[first]
             ids, keys = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(full[maybe].view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array(at[maybe].astype(np.int32))], ["window", "doc_id", "row_key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array(at.astype(np.int32)), pa.array(times.astype(np.int32))], ["window", "doc_id", "row_key", "start", "times"])
 
-    rows = keyed.where("doc_id is not null and text is not null").mapInArrow(windows, "window long, doc_id long, row_key long, start int")
+    rows = keyed.where("doc_id is not null and text is not null").mapInArrow(windows, "window long, doc_id long, row_key long, start int, times int")
     least = rows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "least")
-    late = rows.join(least, "window").where("doc_id > least")
-    return late.groupBy("doc_id", "row_key").agg(F.collect_list("start").alias("starts"))
+    # stored, so that both sides of the join are plain exchanges, and a window that is everywhere can be split
+    late = rows.join(stored(least, "windows"), "window").where("doc_id > least")
+    return late.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "times")).alias("starts"))
 
 
-def intervals(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Maximal intervals [begin, end) that windows of n words at `starts` cover."""
-    s = np.unique(starts)
-    if not len(s):
+def intervals(starts: np.ndarray, n: int, times: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Maximal intervals [begin, end) that windows of n words cover; each entry stands for `times` windows in a row."""
+    if not len(starts):
         return []
-    cut = np.flatnonzero(np.diff(s) > n)
-    return list(zip(s[np.concatenate(([0], cut + 1))].tolist(), (s[np.concatenate((cut, [len(s) - 1]))] + n).tolist(), strict=True))
+    order = np.argsort(starts, kind="stable")
+    s = np.asarray(starts, np.int64)[order]
+    ends = np.maximum.accumulate(s + n + (0 if times is None else np.asarray(times, np.int64)[order] - 1))
+    cut = np.flatnonzero(s[1:] > ends[:-1])
+    return list(zip(s[np.concatenate(([0], cut + 1))].tolist(), ends[np.concatenate((cut, [len(s) - 1]))].tolist(), strict=True))
+
+
+def _gone(starts: pa.Scalar, n: int) -> list[tuple[int, int]]:
+    if not starts.is_valid:
+        return []
+    return intervals(starts.values.field("start").to_numpy(), n, starts.values.field("times").to_numpy())
 
 
 def _with_starts(docs: DataFrame, n: int) -> DataFrame:
@@ -150,7 +164,7 @@ def removed_words(docs: DataFrame, n: int = WINDOW) -> DataFrame:
             out = []
             for text, starts in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (text or "").encode().split()
-                gone = intervals(starts.values.to_numpy(), n) if starts.is_valid else []
+                gone = _gone(starts, n)
                 kept, last = [], 0
                 for begin, end in gone:
                     kept += words[last:begin]
@@ -193,7 +207,7 @@ def dedup_documents(docs: DataFrame, n: int = WINDOW) -> DataFrame:
                 texts = []
                 for text, starts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1), strict=True):
                     if text is not None and starts.is_valid:
-                        text = _kept_text(text, intervals(starts.values.to_numpy(), n))
+                        text = _kept_text(text, _gone(starts, n))
                         texts.append((text, bool(text.strip(" \t\n\x0b\x0c\r"))))
                     else:
                         texts.append((text, True))
