@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
