@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, missing
 
-ALONG_ROW = Window.partitionBy("grid_id", "r").orderBy("c")
-ALONG_COLUMN = Window.partitionBy("grid_id", "c").orderBy("r")
-GRID = Window.partitionBy("grid_id")
+
+
+def along_row():
+    return Window.partitionBy("grid_id", "r").orderBy("c")
+
+
+def along_column():
+    return Window.partitionBy("grid_id", "c").orderBy("r")
+
+
+def whole_grid():
+    return Window.partitionBy("grid_id")
 
 
 def cleaned(grid: DataFrame) -> DataFrame:
@@ -40,9 +49,9 @@ def coverage(grid: DataFrame, sample: int | None = None) -> DataFrame:
 def fused(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """The primary where it has data, else the secondary (its own holes filled with its least height first),
     else the grid's least height, else 0."""
-    s = cleaned(secondary).select("grid_id", "r", "c", F.coalesce("z", F.min("z").over(GRID)).alias("z2"))
+    s = cleaned(secondary).select("grid_id", "r", "c", F.coalesce("z", F.min("z").over(whole_grid())).alias("z2"))
     g = cleaned(primary).join(s, ["grid_id", "r", "c"], "left").withColumn("z", F.coalesce("z", "z2")).drop("z2")
-    return g.withColumn("z", F.coalesce("z", F.min("z").over(GRID), F.lit(0.0)))
+    return g.withColumn("z", F.coalesce("z", F.min("z").over(whole_grid()), F.lit(0.0)))
 
 
 def sampled(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -82,7 +91,7 @@ def gradient(grid: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0) -> DataF
         has_before, has_after = F.lag(F.lit(1)).over(window).isNotNull(), F.lead(F.lit(1)).over(window).isNotNull()
         return F.when(has_before & has_after, (after - before) / (2 * cell)).when(has_after, (after - z) / cell).when(has_before, (z - before) / cell).otherwise(F.lit(0.0))
 
-    return grid.withColumn("dx", slope(ALONG_ROW, cell_x)).withColumn("dy", slope(ALONG_COLUMN, cell_y))
+    return grid.withColumn("dx", slope(along_row(), cell_x)).withColumn("dy", slope(along_column(), cell_y))
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -136,7 +145,7 @@ def gaussian(grid: DataFrame, sigma: float) -> DataFrame:
 
 def unsharp(grid: DataFrame, amount: float = 0.5) -> DataFrame:
     """z + amount (z - mean of the 3 x 3 cells that exist)."""
-    row, column = ALONG_ROW.rowsBetween(-1, 1), ALONG_COLUMN.rowsBetween(-1, 1)
+    row, column = along_row().rowsBetween(-1, 1), along_column().rowsBetween(-1, 1)
     g = grid.withColumn("_s", F.sum("z").over(row)).withColumn("_n", F.count("z").over(row))
     g = g.withColumn("_s", F.sum("_s").over(column)).withColumn("_n", F.sum("_n").over(column))
     return g.withColumn("z", F.col("z") + (F.col("z") - F.col("_s") / F.col("_n")) * amount).drop("_s", "_n")
@@ -176,7 +185,7 @@ def map_grid(grid: DataFrame, f) -> DataFrame:
 
 def contours(grid: DataFrame, step: float) -> DataFrame:
     """grid_id, level, r, c, x: where lines of constant height cross the edges between neighbours of a row."""
-    g = grid.withColumn("z1", F.lead("z").over(ALONG_ROW)).where("z is not null and z1 is not null")
+    g = grid.withColumn("z1", F.lead("z").over(along_row())).where("z is not null and z1 is not null")
     low, high = F.least("z", "z1"), F.greatest("z", "z1")
     levels = F.sequence((F.floor(low / step) + 1).cast("int"), F.floor(high / step).cast("int"))
     g = g.where(F.floor(high / step) > F.floor(low / step)).select("*", F.explode(levels).alias("k"))
@@ -193,7 +202,7 @@ def percentile_bounds(grid: DataFrame, low: float = 0.02, high: float = 0.98, ap
 
 def mesh_vertices(grid: DataFrame, n: int, width: float, depth: float, exaggeration: float) -> DataFrame:
     """Scene position and texture place of every node."""
-    least = F.min("z").over(GRID)
+    least = F.min("z").over(whole_grid())
     u, v = F.col("c") / float(n - 1), F.col("r") / float(n - 1)
     return grid.select("grid_id", "r", "c", (u * width - width / 2).alias("x"), ((F.col("z") - least) * exaggeration).alias("y"), (F.lit(depth / 2) - v * depth).alias("zz"), u.alias("u"), v.alias("v"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, piecewise, u8, u8_cut
-from .raster import GRID
+from .raster import whole_grid
 
 # Fixed values of the map style.
 AZIMUTHS = (0, 45, 90, 135, 225, 270, 315)
@@ -63,7 +63,7 @@ def normalised(z: Column, low: Column, high: Column) -> Column:
 
 def heightmap(grid: DataFrame) -> DataFrame:
     """Heights as 16-bit numbers between the grid's extremes."""
-    low, high = F.min("z").over(GRID), F.max("z").over(GRID)
+    low, high = F.min("z").over(whole_grid()), F.max("z").over(whole_grid())
     return grid.withColumn("q", F.floor(clamp((F.col("z") - low) / F.greatest(high - low, F.lit(1e-9)), 0.0, 1.0) * 65535 + 0.5).cast("int"))
 
 
@@ -113,7 +113,7 @@ def enhanced(pixels: DataFrame, saturation: float = 1.45, brightness: float = 0.
     """Saturation against the pixel's luma, brightness against black, contrast against the image's mean luma."""
     p = pixels.withColumn("_l", luma(*map(F.col, CHANNELS)))
     p = p.select("*", *(blend(F.lit(0), blend(F.col("_l"), F.col(c), saturation), brightness).alias(f"_{c}") for c in CHANNELS))
-    pivot = F.floor(F.avg(luma(*(F.col(f"_{c}") for c in CHANNELS))).over(GRID) + 0.5).cast("int")
+    pivot = F.floor(F.avg(luma(*(F.col(f"_{c}") for c in CHANNELS))).over(whole_grid()) + 0.5).cast("int")
     p = p.withColumn("_m", pivot)
     kept = [c for c in pixels.columns if c not in CHANNELS]
     return p.select(*kept, *(blend(F.col("_m"), F.col(f"_{c}"), contrast).alias(c) for c in CHANNELS))

@@ -12,27 +12,36 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEGREE_M, haversine, local_xy, tile_xy
 from ..functions.numeric import rounded
 
-BY_TRACK = Window.partitionBy("track_id").orderBy("seq")
-UPTO = BY_TRACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-WHOLE = Window.partitionBy("track_id")
+
+
+def by_track():
+    return Window.partitionBy("track_id").orderBy("seq")
+
+
+def upto():
+    return by_track().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def whole_track():
+    return Window.partitionBy("track_id")
 
 
 def with_segments(points: DataFrame) -> DataFrame:
     """Adds seg_m, the metres from the point before (0 for the first)."""
-    before = lambda c: F.lag(c).over(BY_TRACK)
+    before = lambda c: F.lag(c).over(by_track())
     return points.withColumn("seg_m", F.coalesce(haversine(before("lat"), before("lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
 
 
 def with_distance(points: DataFrame) -> DataFrame:
     """Adds d, the metres since the start."""
-    return with_segments(points).withColumn("d", F.sum("seg_m").over(UPTO)).drop("seg_m")
+    return with_segments(points).withColumn("d", F.sum("seg_m").over(upto())).drop("seg_m")
 
 
 def with_minutes(points: DataFrame, metres_a_minute: float = 75.0, climb_a_minute: float = 10.0) -> DataFrame:
     """Adds minutes of walking by Naismith's rule: forward distance and climb count, descent does not."""
     p = points if "d" in points.columns else with_distance(points)
-    step = lambda c: F.greatest(F.coalesce(F.col(c) - F.lag(c).over(BY_TRACK), F.lit(0.0)), F.lit(0.0))
-    return p.withColumn("_own", step("d") / metres_a_minute + step("ele") / climb_a_minute).withColumn("minutes", F.sum("_own").over(UPTO)).drop("_own")
+    step = lambda c: F.greatest(F.coalesce(F.col(c) - F.lag(c).over(by_track()), F.lit(0.0)), F.lit(0.0))
+    return p.withColumn("_own", step("d") / metres_a_minute + step("ele") / climb_a_minute).withColumn("minutes", F.sum("_own").over(upto())).drop("_own")
 
 
 def savgol_weights(window: int) -> np.ndarray:
@@ -53,10 +62,17 @@ def savgol_array(values: Column, window: int) -> Column:
     rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in w))
     n = F.size(values)
 
-    def at(x, i):
+    def at_edge(i):
         start = F.greatest(F.least(i - half, n - window), F.lit(0))
         return F.aggregate(F.zip_with(F.slice(values, start + 1, window), F.element_at(rows, i - start + 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
+    def at(x, i):
+        # away from the edges the weights are constants: a plain sum of products
+        inner = F.lit(0.0)
+        for k in range(window):
+            inner = inner + F.element_at(values, i + (k - half + 1)) * float(w[half, k])
+        return F.when((i >= half) & (i < n - half), inner).otherwise(at_edge(i))
+
     return F.when(n < window, values).otherwise(F.transform(values, at))
 
 
@@ -92,7 +108,7 @@ def simplified(points: DataFrame, step: float) -> DataFrame:
 
     Closed form: a point stays if it passes a multiple that the point before had not passed. Needs d.
     """
-    p = points.withColumn("_before", F.lag("d").over(BY_TRACK)).withColumn("_total", F.max("d").over(WHOLE)).withColumn("_last", F.max("seq").over(WHOLE))
+    p = points.withColumn("_before", F.lag("d").over(by_track())).withColumn("_total", F.max("d").over(whole_track())).withColumn("_last", F.max("seq").over(whole_track()))
     passes = F.least(F.floor(F.col("d") / step), F.ceil(F.col("_total") / step) - 1) > F.floor(F.col("_before") / step)
     return p.where((F.col("seq") == 0) | (F.col("seq") == F.col("_last")) | passes).drop("_before", "_total", "_last")
 

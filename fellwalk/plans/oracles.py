@@ -307,7 +307,7 @@ SQL |= {
     "lod_decimate": f"WITH s AS (SELECT grid_id, r // 2 AS r, c // 2 AS c, z FROM {{dem_grid}} WHERE r % 2 = 0 AND c % 2 = 0) SELECT grid_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, {q('z', 6)} AS z FROM ({AROUND.replace('{s}', 's')})",
 }
 SQL |= {
-    "monotone_distance": f"WITH RECURSIVE s AS (SELECT track_id, seq, CASE WHEN seq % 5 = 3 THEN 0 ELSE d END AS d, ele FROM ({distance('{track_points}')})), m AS (SELECT track_id, seq, d, ele FROM s WHERE seq = 0 UNION ALL SELECT s.track_id, s.seq, CASE WHEN s.d > m.d THEN s.d ELSE m.d + sqrt(1 + (s.ele - m.ele) * (s.ele - m.ele)) END, s.ele FROM m JOIN s ON s.track_id = m.track_id AND s.seq = m.seq + 1) SELECT track_id, seq, {q('d', 3)} AS d FROM m",
+    "monotone_distance": f"WITH RECURSIVE s AS (SELECT track_id, seq, CASE WHEN seq % 5 = 3 THEN 0 ELSE {q('d', 6)} END AS d, ele FROM ({distance('{track_points}')})), m AS (SELECT track_id, seq, d, ele FROM s WHERE seq = 0 UNION ALL SELECT s.track_id, s.seq, CASE WHEN s.d > m.d THEN s.d ELSE m.d + sqrt(1 + (s.ele - m.ele) * (s.ele - m.ele)) END, s.ele FROM m JOIN s ON s.track_id = m.track_id AND s.seq = m.seq + 1) SELECT track_id, seq, {q('d', 3)} AS d FROM m",
     "camera_damping": f"WITH RECURSIVE s AS (SELECT track_id AS id, seq, least(seq % 7 / 100::DOUBLE, 0.05::DOUBLE) AS dt, ele * 10 AS target FROM {{track_points}}), m AS (SELECT id, seq, target AS v FROM s WHERE seq = 0 UNION ALL SELECT s.id, s.seq, CASE WHEN abs(s.target - m.v) > 1100 THEN s.target ELSE m.v + (s.target - m.v) * (1 - exp(-1.85::DOUBLE * s.dt)) END FROM m JOIN s ON s.id = m.id AND s.seq = m.seq + 1) SELECT id, seq, {q('v', 5)} AS value FROM m",
 }
 

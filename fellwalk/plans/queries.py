@@ -248,7 +248,7 @@ def slope_rgb(g):
 
 @query("dem_grid")
 def hypso_tint(g):
-    s = _steep(g).withColumn("u8", relief.normalised(F.col("z"), F.min("z").over(raster.GRID), F.max("z").over(raster.GRID)))
+    s = _steep(g).withColumn("u8", relief.normalised(F.col("z"), F.min("z").over(raster.whole_grid()), F.max("z").over(raster.whole_grid())))
     return _rgb(raster.flipped(s, N), relief.hypso_rgb(F.col("u8"), relief.reference_shade()), "grid_id", "r", "c")
 
 
@@ -400,7 +400,7 @@ def distance_sampler(p):
 
 @query("track_points")
 def monotone_distance(p):
-    s = track.with_distance(p).select("track_id", "seq", F.when(F.col("seq") % 5 == 3, 0.0).otherwise(F.col("d")).alias("d"), F.col("ele").alias("y"), (F.col("seq") * 1.0).alias("x"), F.lit(0.0).alias("z"))
+    s = track.with_distance(p).select("track_id", "seq", F.when(F.col("seq") % 5 == 3, 0.0).otherwise(rounded(F.col("d"), 6)).alias("d"), F.col("ele").alias("y"), (F.col("seq") * 1.0).alias("x"), F.lit(0.0).alias("z"))
     return replay.monotone(s).select("track_id", "seq", rounded(F.col("d"), 3).alias("d"))
 
 
