@@ -62,17 +62,10 @@ def savgol_array(values: Column, window: int) -> Column:
     rows = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in w))
     n = F.size(values)
 
-    def at_edge(i):
+    def at(x, i):
         start = F.greatest(F.least(i - half, n - window), F.lit(0))
         return F.aggregate(F.zip_with(F.slice(values, start + 1, window), F.element_at(rows, i - start + 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
-    def at(x, i):
-        # away from the edges the weights are constants: a plain sum of products
-        inner = F.lit(0.0)
-        for k in range(window):
-            inner = inner + F.element_at(values, i + (k - half + 1)) * float(w[half, k])
-        return F.when((i >= half) & (i < n - half), inner).otherwise(at_edge(i))
-
     return F.when(n < window, values).otherwise(F.transform(values, at))
 
 
@@ -81,11 +74,38 @@ def packed(points: DataFrame) -> DataFrame:
     return points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "ele"))).alias("points"))
 
 
+def savgol(points: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """Savitzky-Golay smoothing (order 2) of columns, each with its window, in long form.
+
+    A quadratic fitted to a window needs three sums over it: of the values, and of the values times their
+    place and its square. All come from sliding frames over one partitioning by track. Points near an end
+    take the fit of the first or last whole window. Tracks shorter than the window stay as they are.
+    """
+    p = points.withColumn("_n", F.count("*").over(whole_track()))
+    done = {}
+    for name, window in windows.items():
+        if window < 3 or window % 2 == 0:
+            continue
+        h, m2, m4 = window // 2, sum(k * k for k in range(-(window // 2), window // 2 + 1)), sum(k**4 for k in range(-(window // 2), window // 2 + 1))
+        frame, i = by_track().rowsBetween(-h, h), F.col("seq").cast("double")
+        # relative to the track's first value, which keeps the products small
+        p = p.withColumn("_y0", F.first(name).over(by_track())).withColumn("_y", F.col(name) - F.col("_y0"))
+        p = p.select("*", *(F.sum(F.col("_y") * w).over(frame).alias(f"_t{k}") for k, w in enumerate((F.lit(1.0), i, i * i))))
+        p = p.withColumn("_s", F.struct(F.col("_t0").alias("a"), (F.col("_t1") - i * F.col("_t0")).alias("b"), (F.col("_t2") - i * 2 * F.col("_t1") + i * i * F.col("_t0")).alias("c")))
+        center = F.greatest(F.least(F.col("seq"), F.col("_n") - 1 - h), F.lit(h))
+        at = lambda where: F.max(F.when(where, F.col("_s"))).over(whole_track())
+        p = p.withColumn("_s", F.when(F.col("seq") < h, at(F.col("seq") == h)).when(F.col("seq") > F.col("_n") - 1 - h, at(F.col("seq") == F.col("_n") - 1 - h)).otherwise(F.col("_s")))
+        x, s = (F.col("seq") - center).cast("double"), lambda k: F.col(f"_s.{k}")
+        bend = (s("c") * window - s("a") * m2) / float(window * m4 - m2 * m2)
+        fit = (s("a") - bend * m2) / window + s("b") / float(m2) * x + bend * x * x
+        p = p.withColumn(f"_fit_{name}", F.when(F.col("_n") < window, F.col(name)).otherwise(F.col("_y0") + fit)).drop("_y0", "_y", "_t0", "_t1", "_t2", "_s")
+        done[name] = F.col(f"_fit_{name}")
+    return p.select(*(done[c].alias(c) if c in done else F.col(c) for c in points.columns))
+
+
 def smoothed(points: DataFrame, horizontal: int = 15, vertical: int = 61) -> DataFrame:
     """The track with lat, lon and ele smoothed."""
-    p = packed(points).select("track_id", F.col("points.seq").alias("seq"), *(savgol_array(F.col(f"points.{c}"), w).alias(c) for c, w in (("lat", horizontal), ("lon", horizontal), ("ele", vertical))))
-    e = p.select("track_id", F.explode(F.arrays_zip("seq", "lat", "lon", "ele")).alias("p"))
-    return e.select("track_id", "p.seq", "p.lat", "p.lon", "p.ele")
+    return savgol(points.select("track_id", "seq", "lat", "lon", "ele"), {"lat": horizontal, "lon": horizontal, "ele": vertical})
 
 
 def deadband_gain(elevations: Column, threshold: float = 3.0) -> Column:
