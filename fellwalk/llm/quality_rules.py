@@ -105,7 +105,7 @@ def grow(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, depth
     middle of both values bounds all later splits on either side, which keeps the whole tree monotone.
     """
     n, m = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(m)]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) if n else np.zeros(0) for j in range(m)]
     codes = np.stack([np.searchsorted(cuts[j], x[:, j], "left") for j in range(m)], 1) if n else np.zeros((0, m), int)
     mean = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
     prior = float(np.log(mean / (1 - mean)))
