@@ -59,10 +59,10 @@ def sampled(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFram
     p = at.withColumn("_y", clamp(F.col("y"), 0.0, float(n - 1))).withColumn("_x", clamp(F.col("x"), 0.0, float(n - 1)))
     p = p.withColumn("_r", F.floor("_y").cast("int")).withColumn("_c", F.floor("_x").cast("int"))
     fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
-    corner = lambda dr, dc, w: F.struct(F.least(F.col("_r") + dr, F.lit(n - 1)).alias("r"), F.least(F.col("_c") + dc, F.lit(n - 1)).alias("c"), w.alias("w"))
+    corner = lambda dr, dc, w: F.struct(F.least(F.col("_r") + dr, F.lit(n - 1)).alias("r"), F.least(F.col("_c") + dc, F.lit(n - 1)).alias("c"), w.alias("_w"))
     corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
-    q = p.select(*keys, "grid_id", F.explode(corners).alias("k")).select(*keys, "grid_id", "k.r", "k.c", "k.w")
-    return q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+    q = p.select(*keys, "grid_id", F.inline(corners))
+    return q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.col("_w") * F.col("z")).alias("z"))
 
 
 def cubic_weights(f: Column) -> list[Column]:
@@ -77,10 +77,10 @@ def cubic(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
     p = at.where(inside).withColumn("_r", F.floor("y").cast("int")).withColumn("_c", F.floor("x").cast("int"))
     wy, wx = cubic_weights(F.col("y") - F.col("_r")), cubic_weights(F.col("x") - F.col("_c"))
     edge = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
-    cells = [F.struct(edge(F.col("_r") + (i - 1)).alias("r"), edge(F.col("_c") + (j - 1)).alias("c"), (wy[i] * wx[j]).alias("w")) for i in range(4) for j in range(4)]
-    q = p.select(*keys, "grid_id", F.explode(F.array(*cells)).alias("k")).select(*keys, "grid_id", "k.r", "k.c", "k.w")
-    s = q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.when(F.col("z").isNotNull(), F.col("w") * F.col("z"))).alias("_s"), F.sum(F.when(F.col("z").isNotNull(), F.col("w"))).alias("_w"))
-    return at.select(*keys).join(s, keys, "left").select(*keys, F.when(F.col("_w") >= 0.5, F.col("_s") / F.col("_w")).alias("z"))
+    cells = [F.struct(edge(F.col("_r") + (i - 1)).alias("r"), edge(F.col("_c") + (j - 1)).alias("c"), (wy[i] * wx[j]).alias("_w")) for i in range(4) for j in range(4)]
+    q = p.select(*keys, "grid_id", F.inline(F.array(*cells)))
+    s = q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.when(F.col("z").isNotNull(), F.col("_w") * F.col("z"))).alias("_s"), F.sum(F.when(F.col("z").isNotNull(), F.col("_w"))).alias("_t"))
+    return at.select(*keys).join(s, keys, "left").select(*keys, F.when(F.col("_t") >= 0.5, F.col("_s") / F.col("_t")).alias("z"))
 
 
 def gradient(grid: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0) -> DataFrame:
