@@ -28,9 +28,10 @@ def step(state: tuple[str, int], kind: str, pct: int) -> tuple[str, int]:
     return state
 
 
-def job_states(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def job_states(events: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Stream of (job_id, seq, kind, pct) to a stream of (job_id, status, progress) after each batch. The state
-    of a job that hears nothing for ttl_ms is dropped."""
+    of a job that hears nothing for ttl_ms is dropped; without ttl_ms it stays. A timeout keeps a query running
+    even when its input has ended, so a replay of a finished log has none."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,10 +42,11 @@ def job_states(events: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
         for kind, pct in zip(rows["kind"], rows["pct"], strict=True):
             now = step(now, kind, int(pct))
         state.update(now)
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "progress": [now[1]]})
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, progress int", STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, progress int", STATE, "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_uploads(uploads: DataFrame, event_time: str, late: str = "1 hour") -> DataFrame:
@@ -55,7 +57,7 @@ def first_uploads(uploads: DataFrame, event_time: str, late: str = "1 hour") ->
 def replay(events: DataFrame, spark, name: str, source: str) -> DataFrame:
     """Runs the fold over files of a finished log and returns the last state of each job."""
     stream = spark.readStream.schema(events.schema).parquet(source)
-    query = job_states(stream).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    query = job_states(stream, None).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     rank = F.col("progress") + F.when(F.col("status").isin("error", "ready"), 1000).otherwise(0)  # an end is last
     return spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), rank).alias("s")).select("job_id", "s.status", "s.progress")
