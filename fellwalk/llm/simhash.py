@@ -36,16 +36,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return fingerprint_words(text, shingle, (seed,))[0]
 
 
-def fingerprint_words(text: str | None, shingle: int, seeds: tuple[int, ...]) -> list[int]:
-    """64 bits of fingerprint for each seed of the hash."""
+def shingles_of(text: str | None, shingle: int) -> list[bytes]:
+    """Every run of `shingle` lower-case words; all words as one if there are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * len(seeds)
+        return []
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
-    shingles = [line[s:e] for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)]
+    return [line[s:e] for s, e in zip(starts.tolist(), ends[k - 1 :].tolist(), strict=False)]
+
+
+def fingerprint_words(text: str | None, shingle: int, seeds: tuple[int, ...]) -> list[int]:
+    """64 bits of fingerprint for each seed of the hash."""
+    shingles = shingles_of(text, shingle)
+    if not shingles:
+        return [0] * len(seeds)
     digest, out = xxhash.xxh64_intdigest, []
     for seed in seeds:
         ones = np.zeros(64, np.int64)
@@ -101,9 +108,9 @@ def part_values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
 class Index:
     """The parts, the histograms of their values, and the estimated candidates of each threshold."""
 
-    def __init__(self, parts: list[list[int]], counts: list[np.ndarray], units: int):
+    def __init__(self, parts: list[list[int]], counts: list[np.ndarray], units: int, most: int = 2):
         self.parts, self.units, self.counts = parts, units, counts
-        self.most = min(2, units - 1)  # largest threshold of a part
+        self.most = min(most, units - 1)  # largest threshold of a part
         self.near = []
         for bits, c in zip(parts, counts, strict=True):
             held, at = [c.astype(np.float64)], np.arange(len(c))
@@ -119,6 +126,8 @@ class Index:
         """Thresholds (parts x fingerprints, -1: none) of least cost. A part with threshold t uses t + 1 units;
         distance + 1 units make sure of every pair within the distance."""
         n, units = len(values[0]), self.units
+        if units == len(self.parts) * (self.most + 1):  # enough for every part
+            return np.full((len(self.parts), n), self.most, np.int64)
         cost = np.full((units + 1, n), np.inf)
         cost[0] = 0
         choice = np.zeros((len(self.parts), units + 1, n), np.int8)
@@ -262,16 +271,23 @@ def verified(key: np.ndarray, fp: np.ndarray, ids: np.ndarray, kind: np.ndarray,
         forest.add(ids[p[hit]], ids[d[hit]])
 
 
-def links(distinct: DataFrame, n: int, distance: int = DISTANCE, parts: int | None = None, units: int | None = None) -> DataFrame:
-    """Edges a, b that connect all fingerprints (columns fp0, fp1, ... and id) within the distance of each other.
+def links(distinct: DataFrame, n: int, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """Edges a, b that connect all fingerprints (columns fp0, fp1, ... and id) within the distance of each other."""
+    names = [c for c in distinct.columns if c.startswith("fp")]
+    index = build_index(distinct, n, distance + 1, parts or len(names) * (PARTS if n < MANY else PARTS - 1), names)
+    return met(distinct, names, index, distance)
+
+
+def met(distinct: DataFrame, names: list[str], index: Index, distance: int, compared: int | None = None) -> DataFrame:
+    """Edges a, b that connect the fingerprints that meet in a part and differ in at most `distance` bits of
+    the first `compared` words (all by default).
 
     A task gives one edge for each fingerprint it can link, not the pairs, so a large group of near
     copies stays linear in its size.
     """
-    names = [c for c in distinct.columns if c.startswith("fp")]
-    index = build_index(distinct, n, units or distance + 1, parts or len(names) * (PARTS if n < MANY else PARTS - 1), names)
     sent = distinct.sparkSession.sparkContext.broadcast(index)  # histograms, size fixed by the parts
-    row = ", ".join(f"{c} long" for c in names)
+    carried = names[:compared]
+    row = ", ".join(f"{c} long" for c in carried)
 
     def post(batches):
         for b in batches:
@@ -280,7 +296,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, parts: int | No
                 fp = np.stack(fps, 1)
                 for bucket, kind, rows in sent.value.posts(fp.view(np.uint64)):
                     if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[rows]), pa.array(kind.astype(np.int8)), *(pa.array(c[rows]) for c in fps)], ["bucket", "id", "kind", *names])
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[rows]), pa.array(kind.astype(np.int8)), *(pa.array(c[rows]) for c in fps[:compared])], ["bucket", "id", "kind", *carried])
 
     def meet(batches):
         forest, held = Forest(), None
@@ -305,7 +321,7 @@ def links(distinct: DataFrame, n: int, distance: int = DISTANCE, parts: int | No
     return posts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
-def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,), units: int | None = None) -> DataFrame:
+def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """doc_id, fp0, ..., component_id of every row of `docs`.
 
     Equal fingerprints meet first, as one entry with their smallest doc_id; texts without words have the
@@ -316,32 +332,173 @@ def clusters(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE,
     names = [f"fp{k}" for k in range(len(seeds))]
     fps = stored(fingerprints(docs, shingle, seeds), "fingerprints")
     distinct = stored(fps.groupBy(*names).agg(F.min("doc_id").alias("id")).where("id is not null"), "distinct-fingerprints")
-    labels = components(links(distinct, distinct.count(), distance, units=units))
+    labels = components(links(distinct, distinct.count(), distance))
     found = distinct.join(labels, F.col("id") == F.col("node"), "left").select(*names, F.coalesce("component", "id").alias("component_id"))
     return fps.join(found, names, "left").select("doc_id", *names, "component_id")
 
 
-#: For similar texts rather than nearly equal fingerprints: five-word shingles, 128 bits.
-WIDE_SHINGLE, WIDE_SEEDS, SIMILARITY = 5, (42, 43), 0.8
+#: For similar texts rather than nearly equal fingerprints: five-word shingles.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Words of 64 bits; of these, words compared; parts drawn from all bits (a bit is in one or two), and their width.
+WIDE_WORDS, COMPARED, WIDE_PARTS, WIDTH = 8, 4, 56, 14
+#: Standard deviations above the mean distance of texts at the similarity that a candidate may have.
+SPREAD = 3.0
+#: One in so many fingerprints is counted to foresee large buckets; what meets does not depend on it.
+COUNTED = 16
+#: Texts, and hashes of shingles, of a block in which texts are held against each other.
+TEXTS, HASHES = 1024, 1 << 21
+_SALTS = mix64(np.arange(1, WIDE_WORDS + 1, dtype=np.uint64))
+
+
+def bits_apart(similarity: float, bits: int, spread: float = 0.0) -> int:
+    """Bits in which two texts with this Jaccard similarity of shingle sets (of one size, the worst case) differ
+    on average, and `spread` standard deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + spread * math.sqrt(bits * p * (1 - p)))
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """Bits in which two texts with this Jaccard similarity of shingle sets (of one size) differ on average."""
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x, SEED) for x in set(shingles_of(text, shingle))], np.uint64))
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, seeds: tuple[int, ...] = WIDE_SEEDS) -> DataFrame:
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WIDE_WORDS words: bit k is set if bit k is set in over half of the hashes, each mixed anew for every word."""
+    ones = np.zeros(64 * WIDE_WORDS, np.int64)
+    for i in range(0, len(hashes), 4080):
+        bits = np.unpackbits(mix64(hashes[i : i + 4080, None] ^ _SALTS).view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):
+            ones += bits[j : j + 255].sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def wide_index(distinct: DataFrame, names: list[str]) -> Index:
+    """Parts of random bits, probed as they are; the histograms come from one in COUNTED fingerprints."""
+    rng = np.random.default_rng(SEED)
+    total = 64 * len(names)
+    drawn = np.concatenate([rng.permutation(total)[: total - total % WIDTH] for _ in range(-(-WIDE_PARTS * WIDTH // total) + 1)])
+    bits = drawn[: WIDE_PARTS * WIDTH].reshape(WIDE_PARTS, WIDTH).tolist()
+
+    def values(batches):
+        for b in batches:
+            fp = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).view(np.uint64)
+            for i, own in enumerate(bits):
+                at, n = np.unique(part_values(fp, own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at), pa.array(n)], ["part", "value", "n"])
+
+    some = distinct.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).select(*names)
+    got = some.mapInArrow(values, "part int, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toPandas()
+    counts = [np.zeros(1 << WIDTH, np.int64) for _ in bits]
+    for i, c in enumerate(counts):
+        own = got[got["part"] == i]
+        c[own["value"].to_numpy(int)] = COUNTED * own["n"].to_numpy(int)
+    return Index(bits, counts, WIDE_PARTS, 0)
+
+
+def similar_in(sets: list[np.ndarray], fp: np.ndarray, ids: np.ndarray, right: np.ndarray | None, similarity: float, distance: int, forest: Forest) -> None:
+    """Adds links that connect all texts of a group that are similar: each against each, or, if `right` marks
+    some, those that are not marked against those that are. Texts connected before are not compared."""
+    size = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    mark = np.zeros(len(codes) + 1, bool)
+    label = np.unique(ids, return_inverse=True)[1]
+    for i in range(len(sets)) if right is None else np.flatnonzero(~right).tolist():
+        j = np.arange(i + 1, len(sets)) if right is None else np.flatnonzero(right)
+        j = j[label[j] != label[i]]
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i]) - 1e-9]
+        j = j[np.bitwise_count(fp[j] ^ fp[i]).sum(1, dtype=np.int64) <= distance]
+        own = codes[begin[i] : begin[i] + size[i]]
+        mark[own] = True
+        for k in range(0, len(j), 256):
+            part = j[k : k + 256]
+            ends = np.cumsum(size[part])
+            at = np.arange(ends[-1]) + np.repeat(begin[part] - ends + size[part], size[part])
+            both = np.add.reduceat(mark[codes[at]].astype(np.int64), ends - size[part]) if size[i] else np.zeros(len(part), np.int64)
+            hit = part[both >= similarity * (size[i] + size[part] - both) - 1e-9]
+            forest.add(np.full(len(hit), ids[i]), ids[hit])
+            for old in np.unique(label[hit]):
+                label[label == old] = label[i]
+        mark[own] = False
+
+
+def similar(docs: DataFrame, groups: DataFrame, similarity: float, shingle: int, distance: int) -> DataFrame:
+    """Edges a, b that connect the texts of one group (groups: node, component) whose shingle sets have a
+    Jaccard similarity of at least `similarity`.
+
+    A large group is a triangle of blocks: a text goes to every pair of blocks that holds its own. A task
+    gives one edge for each text it can link.
+    """
+
+    def sets(batches):
+        for b in chunks(batches):
+            found = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            fp = [wide_fingerprint(s)[:COMPARED].tobytes() for s in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(fp, pa.binary())], ["component", "id", "n", "hashes", "fp"])
+
+    def hold(batches):
+        forest, rest = Forest(), None
+
+        def work(t: pa.Table):
+            component, lo, hi, own, ids = (t.column(k).to_numpy() for k in range(5))
+            raw = t.column(5).to_pylist()
+            fp = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint64).reshape(len(raw), COMPARED)
+            change = np.flatnonzero((np.diff(component) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), len(raw)], strict=True):
+                if e - s > 1:
+                    right = own[s:e] == hi[s] if lo[s] != hi[s] else None
+                    similar_in([np.frombuffer(r, np.uint64) for r in raw[s:e]], fp[s:e], ids[s:e], right, similarity, distance, forest)
+
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])]).combine_chunks()
+            key = [t.column(k).to_numpy() for k in range(3)]
+            cut = int(np.flatnonzero(np.any([k != k[-1] for k in key], 0))[-1]) + 1 if any((k != k[-1]).any() for k in key) else 0
+            if cut:
+                work(t.slice(0, cut))
+            rest = t.slice(cut).combine_chunks()
+        if rest is not None and rest.num_rows:
+            work(rest)
+        a, b = forest.edges()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(groups, F.col("id") == F.col("node")).select("component", "id", "text")
+    made = stored(texts.mapInArrow(sets, "component long, id long, n long, hashes binary, fp binary"), "shingle-sets")
+    sizes = made.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / TEXTS), F.ceil(F.sum("n") / HASHES)).cast("int").alias("parts"))
+    full = made.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = full.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "hashes", "fp")
+    return full.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(hold, "a long, b long")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """`docs` with one document of each group of similar texts: the one with the smallest doc_id.
 
-    Two texts are linked if their fingerprints differ in no more bits than texts of that similarity do on
-    average. Every part is probed within one bit (two units a part), which finds a pair at 0.9 with a
-    probability of 0.995 and one at 0.8 with 0.93; a unit for each bit of the distance would find all, for
-    many times the probes. Rows that repeat the kept doc_id are one document and all stay; rows with a
+    Fingerprints only find candidates: texts that agree in one of the parts and differ in no more compared bits
+    than SPREAD standard deviations above the mean at that similarity. All texts that candidates connect are
+    then held against each other, and two are linked only if the Jaccard similarity of their sets of
+    shingles (as 64-bit hashes) is at least `similarity`. The parts are the same for a table of any size;
+    a pair at 0.8 without others like it is found with a probability of 0.995. Equal sets are one text, and so
+    are texts without words. Rows that repeat the kept doc_id are one document and all stay; rows with a
     null doc_id stay.
     """
-    units = 2 * PARTS * len(seeds)
-    found = clusters(docs, bits_apart(similarity, 64 * len(seeds)), shingle, seeds, units)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    names = [f"fp{k}" for k in range(WIDE_WORDS)]
+
+    def run(batches):
+        for b in chunks(batches):
+            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            fp = np.array([wide_fingerprint(s) for s in found], np.uint64).reshape(-1, WIDE_WORDS)
+            key = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), key, *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], ["doc_id", "key", *names])
+
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{n} long" for n in names))
+    fps = stored(made, "fingerprints")
+    distinct = stored(fps.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(n).alias(n) for n in names)).where("id is not null"), "distinct-fingerprints")
+    distance = bits_apart(similarity, 64 * COMPARED, SPREAD)
+    groups = components(met(distinct.select("id", *names), names, wide_index(distinct, names), distance, COMPARED))
+    labels = components(similar(docs, groups, similarity, shingle, distance))
+    found = distinct.join(labels, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    gone = fps.join(found, "key").where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
 
 

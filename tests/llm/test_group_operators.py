@@ -174,6 +174,39 @@ def test_similar_texts_are_found(spark):
     assert {2 * k for k in range(60)} <= kept and len(kept) <= 68
 
 
+@pytest.mark.parametrize("shared, tail, least, most", [(240, 40, 0, 0), (239, 30, 0, 0), (240, 30, 0.97, 1), (340, 30, 1, 1)])
+def test_links_are_the_pairs_at_the_similarity(spark, shared, tail, least, most):
+    """Isolated pairs with a Jaccard similarity of 0.75, just below 0.8, 0.8 and 0.85."""
+    rng = np.random.default_rng(shared + tail)
+    docs = []
+    for k in range(300):
+        w = [f"w{int(x)}" for x in rng.integers(0, 1 << 30, shared + 4 + 2 * tail)]
+        docs += [(2 * k, " ".join(w[: shared + 4 + tail])), (2 * k + 1, " ".join(w[: shared + 4] + w[shared + 4 + tail :]))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame([(i, t, None, None, None) for i, t in docs], SCHEMA)).collect()}
+    assert {2 * k for k in range(300)} <= kept
+    assert least <= (600 - len(kept)) / 300 <= most
+
+
+def test_similar_texts_of_a_large_group(spark, monkeypatch):
+    """A chain of copies, in blocks and in one: components equal those of all pairs."""
+    rng = np.random.default_rng(12)
+    base, docs = [f"w{int(x)}" for x in rng.integers(0, 1 << 30, 204)], []
+    for k in range(90):
+        w = list(base)
+        for at in rng.choice(204, rng.integers(0, 12), replace=False):
+            w[at] = f"new{k}-{at}"
+        docs.append((k, " ".join(w)))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in docs]
+    want = brute_components(range(90), [(i, j) for i in range(90) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert 1 < len(set(want.values())) < 90
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], SCHEMA)
+    groups = spark.createDataFrame([(k, 0) for k in range(90)], "node long, component long")
+    for texts in (1024, 20):
+        monkeypatch.setattr(simhash, "TEXTS", texts)
+        got = {r.node: r.component for r in components(simhash.similar(df, groups, 0.8, 5, 256)).collect()}
+        assert {i: got.get(i, i) for i in range(90)} == want
+
+
 # --- embeddings
 
 
