@@ -97,8 +97,8 @@ def laid_out(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, pieces). pieces: slot, source_id, bucket, row, doc_id, offset, length — words
-    [offset, offset + length) of the document belong to that slot of the mixed stream."""
+    """(documents, pieces). pieces: slot, source_id, bucket, row, doc_id, lap, offset, length — words
+    [offset, offset + length) of the document, in that lap of its source, belong to that slot of the mixed stream."""
     sized = sizes(docs)
     goals = targets(sized)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -111,7 +111,16 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     laps = laps.withColumn("at", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("take")))
     parts = laps.select("*", F.explode(F.sequence(F.expr("at div block"), F.expr("(stop - 1) div block"))).alias("k")).join(slots, ["source_id", "k"])
     begin, end = F.greatest(F.col("at"), F.col("k") * F.col("block")), F.least(F.col("stop"), (F.col("k") + 1) * F.col("block"))
-    return d, parts.select("slot", "source_id", "bucket", "row", "doc_id", (begin - F.col("at")).alias("offset"), (end - begin).alias("length"))
+    return d, parts.select("slot", "source_id", "bucket", "row", "doc_id", "lap", (begin - F.col("at")).alias("offset"), (end - begin).alias("length"))
+
+
+def _taken(docs: DataFrame) -> DataFrame:
+    """taken(), and `first`: the slot at which each lap of the document begins (null: not taken in that lap)."""
+    d, pieces = mixture(docs)
+    key = ["source_id", "bucket", "row"]
+    first = F.array(*[F.min(F.when(F.col("lap") == m, F.col("slot"))) for m in range(MOST)])
+    used = pieces.groupBy(*key).agg(F.sum("length").alias("words"), first.alias("first"))
+    return d.join(used, key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first")
 
 
 def taken(docs: DataFrame) -> DataFrame:
@@ -121,23 +130,26 @@ def taken(docs: DataFrame) -> DataFrame:
     Rows with the same doc_id are mixed as separate documents. An empty table gives no rows. The order
     that decides is by a hash of doc_id, so a rerun gives the same mix.
     """
-    d, pieces = mixture(docs)
-    key = ["source_id", "bucket", "row"]
-    used = pieces.groupBy(*key).agg(F.sum("length").alias("words"))
-    return d.join(used, key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    return _taken(docs).drop("first")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of `docs`: every document as often as the mix takes it.
+    """The mixed corpus with the columns of `docs`: every document as often as the mix takes it, each copy at
+    the slot at which its lap begins. Partitions are stretches of the schedule, sorted.
 
     Only the one document of each source at which its last lap ends is taken in part; it is rounded to
-    whole copies. Rows that share doc_id, source and size share their copies evenly, also rounded.
+    whole copies. Rows that share doc_id, source and size share their copies evenly, also rounded, and
+    their slots.
     """
-    t = taken(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / (F.count("*") * F.greatest("size", F.lit(1))) + F.lit(0.5)).cast("int").alias("copies"))
-    t = t.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), "copies")
+    n = F.floor(F.sum("taken") / (F.count("*") * F.greatest("size", F.lit(1))) + F.lit(0.5)).cast("int")
+    laps = [F.min(F.col("first")[m]) for m in range(MOST)]
+    slots = F.array(*[F.coalesce(*reversed(laps[: m + 1])) for m in range(MOST)])
+    t = _taken(docs).groupBy("doc_id", "source", "size").agg(n.alias("copies"), slots.alias("slots"))
+    t = t.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.slice("slots", F.lit(1), F.col("copies")).alias("slots"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     joined = docs.join(t, docs["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")) & (words == F.col("mix_size")))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    placed = joined.select(*[docs[c] for c in docs.columns], F.explode("slots").alias("mix_slot"))
+    return placed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").drop("mix_slot")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

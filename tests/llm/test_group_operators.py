@@ -326,3 +326,16 @@ def test_every_stretch_of_the_schedule_is_mixed(spark):
         assert [r.k for r in slots if r.source_id == s] == list(range(sum(r.source_id == s for r in slots)))
     plan = mixing.taken(spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mixed_documents_follow_the_schedule(spark):
+    rows = [(400 * k + i, " ".join(["x"] * 10), s) for k, s in enumerate("abc") for i in range(400)]
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(mixed) == 1200 and max(Counter(r.doc_id for r in mixed).values()) == 2
+    for i in range(0, 1200, 120):  # weights 1, 2, 3
+        n = Counter(r.source for r in mixed[i : i + 120])
+        assert abs(n["a"] - 20) <= 4 and abs(n["b"] - 40) <= 4 and abs(n["c"] - 60) <= 4
+    at = {}
+    for i, r in enumerate(mixed):
+        assert i - at.get(r.doc_id, -1200) >= 120  # another lap
+        at[r.doc_id] = i
