@@ -19,8 +19,15 @@ from .common import mix64, stored, table
 from .graph import Forest, components
 
 COSINE = 0.95
-#: Tables; scale of a unit vector against the lattice; vectors of a cell compared in one task.
-TABLES, SCALE, BLOCK = 5, 4.0, 2048
+#: Tables; blocks of a table, the same for every number of vectors; vectors of a cell compared in one task.
+TABLES, BLOCKS, BLOCK = 5, 2, 2048
+#: Scale of a unit vector of LENGTH entries and more against the lattice.
+SCALE, LENGTH = 4.0, 64
+
+
+def scale_of(length: int) -> float:
+    """Shorter vectors keep more of their distance in eight dimensions, so their scale is smaller."""
+    return SCALE * min(1.0, (max(length, 8) / LENGTH) ** 0.5)
 
 
 def _roots() -> np.ndarray:
@@ -57,10 +64,11 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 class Lattice:
     """Random projections of vectors of one length, and the cells of a vector in every table."""
 
-    def __init__(self, length: int, blocks: int, tables: int = TABLES, scale: float = SCALE, seed: int = 11):
+    def __init__(self, length: int, blocks: int, tables: int = TABLES, scale: float | None = None, seed: int = 11):
         self.blocks, self.tables = blocks, tables
         rng = np.random.default_rng([seed, length])
         wide = max(length, 8)
+        scale = scale_of(length) if scale is None else scale
         self.frames = [np.linalg.qr(rng.standard_normal((wide, 8)))[0][:length] * scale for _ in range(blocks * tables)]
         self.weights = rng.integers(1, 1 << 62, (blocks, 8)).astype(np.uint64) | np.uint64(1)
         self.salt = rng.integers(1, 1 << 62, tables).astype(np.uint64)
@@ -230,7 +238,7 @@ def links(classes: DataFrame, blocks: int, tables: int, cosine: float, most: int
     return full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(meet, "a long, b long, n long")
 
 
-def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, tables: int = TABLES, blocks: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", cosine: float = COSINE, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of `vectors`.
 
     Equal vectors form one class, compared once. Vectors that are null, empty, zero or hold null or
@@ -240,8 +248,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     """
     keyed = stored(_keyed(vectors, id_column, column), "vectors")
     classes = stored(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v")), "vector-classes")
-    n = classes.count()
-    found = stored(links(classes, blocks or max(2, -(-n.bit_length() // 10)), tables, cosine), "vector-links")
+    found = stored(links(classes, blocks, tables, cosine), "vector-links")
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     labels = components(found.where("b is not null").select("a", "b"))
     known = classes.select("key", "id", "w").join(linked, F.col("id") == F.col("a"), "left").drop("a").join(labels, F.col("id") == F.col("node"), "left")

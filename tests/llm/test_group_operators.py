@@ -268,6 +268,27 @@ def test_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in embedding_dedup.near_duplicates(df).collect()) / 800 >= 0.95
 
 
+@pytest.mark.parametrize("length", [8, 16, 32, 64])
+def test_recall_of_vectors_of_any_length(length):
+    rng = np.random.default_rng(length)
+    a = embedding_dedup.unit_rows(rng.standard_normal((4000, length)))
+    z = rng.standard_normal((4000, length))
+    z = embedding_dedup.unit_rows(z - (z * a).sum(1, keepdims=True) * a)
+    lattice = embedding_dedup.Lattice(length, embedding_dedup.BLOCKS)
+    x, y = lattice.cells(a), lattice.cells(0.951 * a + math.sqrt(1 - 0.951**2) * z)
+    assert (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3)).mean() >= 0.98
+
+
+def test_blocks_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    """With a table that claims two million vectors."""
+    used, links = [], embedding_dedup.links
+    monkeypatch.setattr(embedding_dedup, "links", lambda classes, blocks, *a: used.append(blocks) or links(classes, blocks, *a))
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(type(df), "count", lambda self: 1 << 21)
+    embedding_dedup.near_duplicates(df)
+    assert used == [2]
+
+
 # --- mixing
 
 
