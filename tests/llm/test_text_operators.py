@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fellwalk.llm import html_main, language_id, ngram_lm, packing, quality_knn, quality_rules, substring_dedup
+from fellwalk.llm import language_id, ngram_lm, packing, quality_knn, quality_rules, substring_dedup
 from fellwalk.llm.common import Tokens, chunks
 from fellwalk.llm.elias_fano import EliasFano
 
@@ -197,35 +197,6 @@ def test_packing_edges(spark, edges, empty):
     assert packing.pack_public(empty).count() == 0
 
 
-# --- main text of pages
-
-
-def test_pages(spark):
-    w = html_main.fit()
-    page = """<html><head><title>T</title><style>p{}</style></head><body><header>Top</header><nav><ul><li><a href=/>Home</a></li></ul></nav>
-    <div id="cookie-notice">We use cookies to make this site better for you and for us</div>
-    <article><h1>A   title &amp; more</h1><p>First &#233;té paragraph with <b>bold</b> words and <a href=x>a link</a>.<div class="ad">Buy this now</div>
-    <p>Second one<br>goes on</p><ul><li>item one</li></ul><script>var a = "<p>no</p>";</script><aside>See also</aside></article>
-    <section class="comments"><p>I liked this a lot, thank you for the article</p></section><form><p>Your mail</p></form><footer>&copy; us</footer></body></html>"""
-    assert html_main.extract(page, w) == "A title & more\nFirst été paragraph with bold words and a link.\nSecond one goes on\nitem one"
-    plain = "<div><a href=1>a</a> <a href=2>b</a></div><div><h1>Head</h1><p>" + "long text here " * 20 + "</p><p>" + "more of it now " * 20 + "</p></div><div><a href=3>c</a></div>"
-    assert html_main.extract(plain, w) == "Head\n" + ("long text here " * 20).strip() + "\n" + ("more of it now " * 20).strip()
-    cut = "<body><article><p><b>Never closed and cut off in the middle of a ta<br><p>Second paragraph of it</p><p class='x"
-    assert html_main.extract(cut, w) == "Never closed and cut off in the middle of a ta\nSecond paragraph of it"
-    pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 2), (3, "u", page, 3), (3, "u", page, 3), (4, "u", "<nav>menu</nav>", 4), (5, "u", "<p>" + "w " * 60_000, 5)], "page_id long, url string, html string, text int")
-    got = html_main.extract_pages(pages, w).collect()
-    assert [(r.page_id, r.n_chars == len(r.text)) for r in got] == [(k, True) for k in (1, 2, 3, 3, 4, 5)]
-    assert got[0].text == got[1].text == got[4].text == "" and got[5].n_chars == 2 * 60_000 - 1
-    assert html_main.extract_pages(pages.limit(0), w).count() == 0
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(-5, 5), max_size=30))
-def test_scan_finds_the_best_stretch(xs):
-    begin, end = html_main.scan([float(x) for x in xs])
-    assert sum(xs[begin:end]) == max([0, *(sum(xs[i:j]) for i in range(len(xs)) for j in range(i, len(xs) + 1))])
-
-
 # --- repeated passages
 
 
