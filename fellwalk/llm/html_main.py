@@ -223,6 +223,7 @@ class Page:
             if e[2] == "header":  # of the page, not of the article
                 if not article or e[0] < article[0] or e[1] > article[1]:
                     if not (article and e[0] <= article[0] and e[1] >= article[1]) and not (not article and 2 * held(e) >= total):
+                        e[3] = 2
                         mark(3, e)
                         self.marked.append(e)
         inside, _, hinted, marked = (np.cumsum(c)[:n] > 0 for c in change)
@@ -278,8 +279,10 @@ def kept_items(page: Page, scores: np.ndarray) -> np.ndarray:
     keep[begin:end] = True
     upto = np.concatenate(([0.0], np.cumsum(scores)))
     done = 0
-    for first, last, _, _ in page.marked:
-        if first >= done and first < end and last > begin and upto[last] - upto[first] < 0:
+    for first, last, _, level in page.marked:
+        if level < 2:  # a hint around the stretch says nothing about it
+            first, last = max(first, begin), min(last, end)
+        if done <= first < min(last, end) and last > begin and upto[last] - upto[first] < 0:
             keep[first:last] = False
             done = last
     return keep

@@ -87,7 +87,9 @@ def test_whole_result_by_brute_force(scorer):
                 if total > best[0] + 1e-9 or abs(total - best[0]) <= 1e-9 and total > 0 and j + 1 - i > best[1]:
                     best = (total, j + 1 - i, i, j + 1)
         keep = {k for k in range(best[2], best[3])}
-        for first, last, _, _ in read.marked:  # an outer element comes before those in it
+        for first, last, _, level in read.marked:  # an outer element comes before those in it
+            if level == 1:
+                first, last = max(first, best[2]), min(last, best[3])
             if sum(scores[first:last]) < 0:
                 keep -= set(range(first, last))
         text, gaps = "", {"": "", " ": " ", "\n": "\n"}
