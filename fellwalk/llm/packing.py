@@ -1,13 +1,19 @@
 """Packing documents into windows by the sum-of-squares rule.
 
 Documents become token ids, end mark included. Whole windows are cut off a long document; each rest is
-placed online into the fill level that makes the sum of squared counts of partially filled windows
-least. Every partition of the input packs on its own, so nothing is shuffled.
+placed online by the move that makes the sum of squared counts of partially filled windows, taken over
+fill levels, least. A move may also fill a window up and cut the document, at a price, so the number of
+open windows stays bounded for every mix of lengths and none is closed early.
+
+Partitions pack on their own. The windows that they leave open, a bounded number each, are packed on by the
+same rule in groups of partitions; what a group leaves open is dealt into full windows.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table
+from .common import chunks, stored, table
 
 WINDOW, END = 2048, 1
+#: Fill levels of a window; squared counts that a cut has to save; partitions whose open windows are packed on together.
+LEVELS, CUT, TOGETHER = 64, 3, 32
+#: Bits of a window number below its partition.
+SHIFT = 36
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,114 +54,157 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if self.fast is not None and not any(s in text for s in self.special):
+            try:
+                return np.array(self.fast.encode_ordinary(text), np.uint32)
+            except BaseException as error:  # a run of a million blanks exhausts the stack of its pattern
+                if type(error).__name__ != "PanicException":
+                    raise
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-class SumOfSquares:
-    """Online packing. `count[h]` partially filled windows stand at fill level h; `open[h]` are their ids."""
-
-    def __init__(self, size: int = WINDOW, first_id: int = 0):
-        self.size, self.next = size, first_id
-        self.clear()
-
-    def clear(self) -> None:
-        size = self.size
-        self.count = np.zeros(size + 1, np.int64)
-        self.open: list[list[int]] = [[] for _ in range(size + 1)]
-
-    def new(self) -> int:
-        self.next += 1
-        return self.next - 1
-
-    def place(self, n: int) -> tuple[int, int]:
-        """(window, offset) for a piece of n < size tokens."""
-        h = np.flatnonzero(self.count[: self.size - n + 1])
-        then = np.where(h + n < self.size, 2 * self.count[np.minimum(h + n, self.size - 1)] + 1, 0)  # a full window counts nowhere
-        change = then - 2 * self.count[h] + 1
-        level, best = 0, 2 * int(self.count[n]) + 1  # a new window
-        if len(h):
-            at = len(h) - 1 - int(np.argmin(change[::-1]))  # ties: the fullest window that fits
-            level = int(h[at]) if change[at] <= best else 0
-        if level:
-            window = self.open[level].pop()
-            self.count[level] -= 1
-        else:
-            window = self.new()
-        if level + n < self.size:
-            self.open[level + n].append(window)
-            self.count[level + n] += 1
-        return window, level
+class Piece(NamedTuple):
+    """Ids [start, start + len(ids)) of a document of `tokens` ids."""
 
+    doc: int | None
+    start: int
+    ids: np.ndarray
+    tokens: int
 
-def powers(n: int) -> list[int]:
-    """n as falling powers of two."""
-    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
+def cut(pieces: list[Piece], n: int) -> tuple[list[Piece], list[Piece]]:
+    """The first n ids of pieces laid end to end, and the others."""
+    for k, p in enumerate(pieces):
+        if n <= 0:
+            return pieces[:k], pieces[k:]
+        if n < len(p.ids):
+            return [*pieces[:k], p._replace(ids=p.ids[:n])], [Piece(p.doc, p.start + n, p.ids[n:], p.tokens), *pieces[k + 1 :]]
+        n -= len(p.ids)
+    return pieces, []
 
-def settle(pieces: list[list[int]], size: int, new) -> list[list[int]]:
-    """Deals the pieces of windows that stayed partly filled anew, without padding.
 
-    pieces: [document, start, length]. They are laid end to end and cut into full windows; the last,
-    shorter stretch is cut at powers of two, which need no padding. Returns [..., window, offset].
+class SumOfSquares:
+    """Online packing with a level array.
+
+    count[c] windows are partially filled to level c (fills c * size / levels, exclusive, to (c + 1) * size / levels);
+    open[c] holds them as (window, fill, pieces) and top[c] is the fill of the one that is used next.
     """
-    total = sum(p[2] for p in pieces)
-    lengths = [size] * (total // size) + powers(total % size)
-    out, k, window, filled = [], 0, new() if lengths else 0, 0
-    for doc, start, n in pieces:
+
+    def __init__(self, size: int = WINDOW, levels: int = LEVELS, price: int = CUT):
+        self.size, self.step, self.price = size, -(-size // levels), price
+        n = -(-size // self.step)
+        self.count, self.top = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.open: list[list[tuple[int, int, list[Piece]]]] = [[] for _ in range(n)]
+
+    def moves(self, n: int) -> np.ndarray:
+        """Change of the sum of squares for each level whose window takes n ids; a cut has its price added."""
+        full = self.top + n
+        rest = np.where(full <= self.size, full, full - self.size)  # fill of the window that the ids end in
+        then = np.minimum((rest - 1) // self.step, len(self.count) - 1)
+        here = np.arange(len(self.count))
+        gain = np.where(full == self.size, 0, 2 * (self.count[then] - (then == here)) + 1)
+        change = 1 - 2 * self.count + gain + self.price * (full > self.size)
+        return np.where(self.count > 0, change, np.iinfo(np.int64).max)
+
+    def place(self, window: int, pieces: list[Piece]) -> Iterator[tuple[int, list[Piece]]]:
+        """Places pieces of fewer than `size` ids as one; yields full windows. `window` is the number they may open."""
+        n = sum(len(p.ids) for p in pieces)
         while n:
-            take = min(n, lengths[k] - filled)
-            out.append([doc, start, take, window, filled])
-            start, n, filled = start + take, n - take, filled + take
-            if filled == lengths[k] and k + 1 < len(lengths):
-                k, window, filled = k + 1, new(), 0
-    return out
+            change = self.moves(n)
+            c = len(change) - 1 - int(np.argmin(change[::-1]))  # ties: the fullest
+            if change[c] > 2 * self.count[(n - 1) // self.step] + 1:
+                self.push(window, n, pieces)
+                return
+            into, fill, held = self.open[c].pop()
+            self.count[c] -= 1
+            self.top[c] = self.open[c][-1][1] if self.open[c] else 0
+            now, pieces = cut(pieces, self.size - fill)
+            n -= self.size - fill
+            if n < 0:
+                self.push(into, self.size + n, held + now)
+                return
+            yield into, held + now
+
+    def push(self, window: int, fill: int, pieces: list[Piece]) -> None:
+        c = (fill - 1) // self.step
+        self.open[c].append((window, fill, pieces))
+        self.count[c] += 1
+        self.top[c] = fill
+
+    def left(self) -> list[tuple[int, int, list[Piece]]]:
+        """Open windows, in order of their numbers."""
+        return sorted((w for level in self.open for w in level), key=lambda w: w[0])
 
 
-def pack_ids(docs, first_id: int = 0, size: int = WINDOW, most_open: int = 2 * WINDOW):
-    """Packs (document, ids) pairs; yields (document, start, length, crc, document's tokens, window, offset).
+def powers(n: int) -> list[int]:
+    """n as falling powers of two."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
-    Pieces of full windows leave at once; what waits is the pieces of partly filled windows. The rule keeps
-    those few for most mixes of lengths; beyond `most_open` of them (no lengths fit together) they are
-    dealt anew without padding and packing goes on with none open, which bounds the memory.
-    """
-    packer = SumOfSquares(size, first_id)
-    waiting: dict[int, list[tuple]] = {}
 
-    def close():
-        left = [x for window in sorted(waiting) for x in waiting[window]]
-        for k, at, n, window, offset in settle([[k, 0, len(x[1])] for k, x in enumerate(left)], size, packer.new):
-            d, part, start, tokens, _ = left[k]
-            yield d, start + at, n, zlib.crc32(part[at : at + n].astype("<u4").tobytes()), tokens, window, offset
-        waiting.clear()
-        packer.clear()
+def settle(pieces: list[Piece], size: int, first: int) -> Iterator[tuple[int, list[Piece]]]:
+    """Deals pieces into windows without padding, numbered from `first`: laid end to end and cut into full
+    windows; the last, shorter stretch is cut at powers of two, which need no padding."""
+    total = sum(len(p.ids) for p in pieces)
+    for k, n in enumerate([size] * (total // size) + powers(total % size)):
+        now, pieces = cut(pieces, n)
+        yield first + k, now
 
-    def piece(doc, ids, start, n, window, offset):
-        part = ids[start : start + n]
-        return doc, start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), window, offset
 
+def pack_documents(docs: Iterable[tuple[int | None, np.ndarray]], first: int = 0, size: int = WINDOW) -> Iterator[tuple[int, list[Piece], bool]]:
+    """(window, pieces, open) for (document, ids) pairs. Full windows leave at once, open ones at the end."""
+    rule, window = SumOfSquares(size), first
     for doc, ids in docs:
         whole = len(ids) // size * size
         for start in range(0, whole, size):
-            yield piece(doc, ids, start, size, packer.new(), 0)
-        if rest := len(ids) - whole:
-            window, offset = packer.place(rest)
-            waiting.setdefault(window, []).append((doc, ids[whole:], whole, len(ids), offset))
-            if offset + rest == size:
-                for d, part, start, tokens, at in waiting.pop(window):
-                    yield d, start, len(part), zlib.crc32(part.astype("<u4").tobytes()), tokens, window, at
-            elif len(waiting) > most_open:
-                yield from close()
-    yield from close()
-
-
-def pack(docs: DataFrame, path: str, fast_path: str | None = None, pattern: str | None = None, size: int = WINDOW) -> DataFrame:
+            yield window, [Piece(doc, start, ids[start : start + size], len(ids))], False
+            window += 1
+        if whole < len(ids):
+            for w, pieces in rule.place(window, [Piece(doc, whole, ids[whole:], len(ids))]):
+                yield w, pieces, False
+            window += 1
+    for w, _, pieces in rule.left():
+        yield w, pieces, True
+
+
+def pack_on(windows: Iterable[tuple[int, list[Piece]]], first: int, size: int = WINDOW) -> Iterator[tuple[int, list[Piece]]]:
+    """Packs open windows on by the same rule, then settles what is left, in windows numbered from `first`."""
+    rule = SumOfSquares(size)
+    for window, pieces in windows:
+        yield from rule.place(window, pieces)
+    yield from settle([p for _, _, pieces in rule.left() for p in pieces], size, first)
+
+
+def rows_of(windows: Iterable[tuple[int, list[Piece], bool]], most: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA, and the ids (null unless the window is open)."""
+    cols: list[list] = [[] for _ in range(8)]
+    names = [*(x.split()[0] for x in SCHEMA.split(", ")), "ids"]
+
+    def batch():
+        out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.binary())], names)
+        for c in cols:
+            c.clear()
+        return out
+
+    for window, pieces, is_open in windows:
+        offset = 0
+        for p in pieces:
+            raw = p.ids.astype("<u4").tobytes()
+            for c, v in zip(cols, (p.doc, p.start, len(p.ids), zlib.crc32(raw), p.tokens, window, offset, raw if is_open else None), strict=True):
+                c.append(v)
+            offset += len(p.ids)
+        if len(cols[0]) >= most:
+            yield batch()
+    if cols[0]:
+        yield batch()
+
+
+def pack(docs: DataFrame, path: str, fast_path: str | None = None, pattern: str | None = None, size: int = WINDOW, together: int = TOGETHER) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is its end mark alone. Rows with the same doc_id are packed one by one. An empty
-    table gives no rows. sequence_id holds the partition in its upper bits, so it is unique; a task that
-    runs again reads the same rows in the same order and gives the same pieces.
+    table gives no rows. sequence_id holds the partition in its upper bits, so it is unique. What the
+    partitions pack is written once to the shared folder, as encoding is the costly part; of the ids, only
+    those of open windows are written and shuffled, at most a few hundred windows of a partition.
     """
 
     def run(batches):
@@ -162,21 +215,19 @@ def pack(docs: DataFrame, path: str, fast_path: str | None = None, pattern: str
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     yield doc, np.append(encode(text or ""), np.uint32(END))
 
-        rows: list[tuple] = []
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        yield from rows_of(pack_documents(documents(), TaskContext.get().partitionId() << SHIFT, size))
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
-
-        for row in pack_ids(documents(), TaskContext.get().partitionId() << 36, size):
-            rows.append(row)
-            if len(rows) >= 20_000:
-                yield batch()
-                rows.clear()
-        if rows:
-            yield batch()
+    def on(key, t):
+        t = t.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        windows: dict[int, list[Piece]] = {}
+        for doc, start, tokens, window, raw in zip(*(t.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "sequence_id", "ids")), strict=True):
+            windows.setdefault(window, []).append(Piece(doc, start, np.frombuffer(raw, "<u4"), tokens))
+        first = 1 << 62 | key[0].as_py() << SHIFT
+        return pa.Table.from_batches(rows_of((w, pieces, False) for w, pieces in pack_on(windows.items(), first, size))).drop_columns(["ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    packed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA + ", ids binary"), "packed")
+    still = packed.where("ids is not null").withColumn("together", F.expr(f"(sequence_id >> {SHIFT}) div {together}"))
+    return packed.where("ids is null").drop("ids").unionByName(still.groupBy("together").applyInArrow(on, SCHEMA))
 
 
 def pack_public(docs: DataFrame) -> DataFrame:

@@ -146,44 +146,90 @@ def test_neighbours(spark, edges, empty):
 # --- packing
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 150), max_size=60))
-def test_packing_is_exact_and_unpadded(lengths):
-    docs = [(k, np.arange(n, dtype=np.uint32) + 1000 * k) for k, n in enumerate(lengths)]
-    rows = list(packing.pack_ids(iter(docs), size=64, most_open=5))
-    back, windows = defaultdict(dict), defaultdict(dict)
-    for doc, start, n, crc, total, window, offset in rows:
-        ids = docs[doc][1]
-        assert total == len(ids) and crc == zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-        back[doc][start] = n
-        windows[window][offset] = n
+
+def checked(rows, docs, size):
+    """Holds (window, pieces) against the documents: every id once, no gap in a window, no padding; returns the pieces' windows."""
+    seen, windows = defaultdict(dict), set()
+    for window, pieces in rows:
+        assert window not in windows
+        windows.add(window)
+        n = sum(len(p.ids) for p in pieces)
+        assert n == size or n < size and n & (n - 1) == 0
+        for p in pieces:
+            ids = docs[p.doc][1]
+            assert p.tokens == len(ids) and (ids[p.start : p.start + len(p.ids)] == p.ids).all() and len(p.ids)
+            seen[p.doc][p.start] = len(p.ids)
     for doc, ids in docs:
-        assert sum(back[doc].values()) == len(ids)
-    for held in windows.values():
         at = 0
-        for offset in sorted(held):
-            assert offset == at
-            at += held[offset]
-        assert at == 64 or at & (at - 1) == 0
+        for start in sorted(seen[doc]):
+            assert start == at
+            at += seen[doc][start]
+        assert at == len(ids)
+
+
+def packed(docs, size, parts):
+    """As partitions do it: (rows, ids that were settled)."""
+    rows, still = [], []
+    for k in range(parts):
+        for w, pieces, is_open in packing.pack_documents(iter(docs[k::parts]), k << 36, size):
+            (still if is_open else rows).append((w, pieces))
+    last = list(packing.pack_on(still, 1 << 62, size))
+    return rows + last, sum(len(p.ids) for w, pieces in last for p in pieces if w >= 1 << 62)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 150), max_size=60), st.integers(1, 4))
+def test_packing_is_exact_and_unpadded(lengths, parts):
+    docs = [(k, np.arange(n, dtype=np.uint32) + 1000 * k) for k, n in enumerate(lengths)]
+    checked(packed(docs, 64, parts)[0], docs, 64)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "never fit", "halves", "tiny"])
+def test_little_is_settled_and_open_windows_are_bounded(kind):
+    rng = np.random.default_rng(4)
+    n = 10_000
+    lengths = {"mixed": rng.lognormal(5.5, 1.2, n).astype(int) % 6000 + 1, "never fit": np.full(n, 1100), "halves": np.where(np.arange(n) % 2, 1024, 1030), "tiny": rng.integers(1, 30, 10 * n)}[kind]
+    docs = [(k, np.zeros(m, np.uint32)) for k, m in enumerate(lengths.tolist())]
+    rests = sum(m % 2048 for m in lengths.tolist())
+    rows, settled = packed(docs, 2048, 32)
+    checked(rows, docs, 2048)
+    assert settled < 0.05 * rests
+    left = sum(is_open for _, _, is_open in packing.pack_documents(iter(docs), 0, 2048))
+    assert left < 4 * packing.LEVELS
 
 
 def test_placing_takes_the_least_sum_of_squares():
+    """Every move is one of least cost among all: into any open window, whole or cut, or into a new one."""
     rng = np.random.default_rng(0)
-    p = packing.SumOfSquares(20)
-    for n in rng.integers(1, 20, 400).tolist():
-        before = p.count.copy()
-
-        def after(level, n=n, before=before):
-            c = before.copy()
-            if level:
-                c[level] -= 1
-            if level + n < 20:
-                c[level + n] += 1
-            return int((c[1:20] ** 2).sum())
-
-        best = min(after(h) for h in range(0, 21 - n) if h == 0 or before[h])
-        p.place(n)
-        assert int((p.count[1:20] ** 2).sum()) == best
+    rule = packing.SumOfSquares(20, levels=10, price=1)
+    level = lambda fill: (fill - 1) // 2
+    for k, n in enumerate(rng.integers(1, 20, 600).tolist()):
+        before = [fill for _, fill, _ in rule.left()]
+
+        def cost(fills):
+            c = Counter(level(f) for f in fills if f < 20)
+            return sum(v * v for v in c.values())
+
+        def after(i, n=n, before=before):
+            rest = before[:i] + before[i + 1 :]
+            full = before[i] + n
+            return (cost([*rest, full]), full > 20) if full <= 20 else (cost([*rest, full - 20]) + 1, True)
+
+        tops = [[w[1] for w in stack][-1] for stack in rule.open if stack]
+        choices = [(cost([*before, n]), False)] + [after(before.index(t)) for t in tops]
+        best = min(c for c, _ in choices)
+        full = list(rule.place(k, [packing.Piece(k, 0, np.zeros(n, np.uint32), n)]))
+        now = cost([fill for _, fill, _ in rule.left()])
+        assert now <= best  # a cut document's rest is placed again, which can only save more
+        assert all(sum(len(p.ids) for p in pieces) == 20 for _, pieces in full)
+        assert sum(rule.count) == len(rule.left()) and all(rule.count[c] == len(rule.open[c]) for c in range(10))
+
+
+def test_millions_of_blanks():
+    P = pytest.importorskip("public_tokenizers")
+    encode = packing.Encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b"):
+        assert encode(text).tolist() == encode.slow.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_edges(spark, edges, empty):
