@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -59,6 +59,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct `whole`, so that no helper column can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into slices of about `size` text bytes; a single row is never cut."""
     for batch in batches:

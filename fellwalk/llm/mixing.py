@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import WORD, stored, table, whole_rows
 
 #: Weights by rank of the source, and how often a source may be taken.
 WEIGHTS, MOST = 3, 3
@@ -38,7 +38,8 @@ def targets(sized: DataFrame) -> DataFrame:
     """source, source_id, source_size, weight, target, take (whole words), total: one row per source.
 
     Water filling in closed form: sources in order of cap by weight; up to some place all stop at their
-    caps, and the rest share what is left by weight. The windows span the sources, not the documents.
+    caps, and the rest share what is left by weight. The windows span the sources, not the documents: one row
+    for each different source goes through one task, which suits sources by the million, not one a document.
     """
     everything = Window.partitionBy()
     s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -57,18 +58,25 @@ def targets(sized: DataFrame) -> DataFrame:
     return s.select("source", "source_id", "source_size", "weight", "target", F.least(F.floor("target"), F.col("cap")).alias("take"), "total")
 
 
-def schedule(goals: DataFrame, bits: int) -> DataFrame:
-    """source_id, k, slot: the k-th slot of each source in a schedule of 2**bits slots.
+def runs_of(goals: DataFrame, bits: int) -> DataFrame:
+    """`goals` with lo, slots, block: the run of integers whose reversals are the source's slots in a schedule of
+    2**bits slots, how many they are (0 if nothing is taken), and how many words each takes.
 
     Slot i holds the source whose share of the cumulative targets covers the van der Corput point of i.
-    Points are the reversed bits of i, so a source's slots are the reversals of a run of integers, and
-    each source makes its own. A source with a target below one slot gets one all the same.
+    Points are the reversed bits of i, so a source's slots are the reversals of a run of integers. A source
+    with a target below one slot gets one all the same.
     """
     upto = F.sum("take").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     all_ = F.greatest(F.sum("take").over(Window.partitionBy()), F.lit(1)).cast("double")
     cell = lambda x: F.floor(x.cast("double") / all_ * float(1 << bits))
-    g = goals.select("source_id", "take", cell(upto - F.col("take")).alias("lo"), cell(upto).alias("hi")).where("take > 0")
-    g = g.withColumn("lo", F.least("lo", F.lit((1 << bits) - 1))).withColumn("n", F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
+    g = goals.withColumn("hi", cell(upto)).withColumn("lo", F.least(cell(upto - F.col("take")), F.lit((1 << bits) - 1)))
+    g = g.withColumn("slots", F.when(F.col("take") > 0, F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).otherwise(F.lit(0)))
+    return g.drop("hi").withColumn("block", F.expr("if(slots > 0, (take + slots - 1) div slots, 0)"))
+
+
+def schedule(runs: DataFrame, bits: int) -> DataFrame:
+    """source_id, k, slot: the k-th slot of each source; every source makes its own."""
+    g = runs.where("slots > 0").select("source_id", "lo", F.col("slots").alias("n"))
     runs = g.select("source_id", "lo", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {SLOTS_TOGETHER}"))).alias("run")).repartition("source_id", "run")
     first = F.col("run") * SLOTS_TOGETHER
     cells = runs.select("source_id", "n", F.explode(F.sequence(F.col("lo") + first, F.col("lo") + F.least(F.col("n"), first + SLOTS_TOGETHER) - 1)).alias("cell"))
@@ -100,12 +108,11 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces). pieces: slot, source_id, bucket, row, doc_id, lap, offset, length — words
     [offset, offset + length) of the document, in that lap of its source, belong to that slot of the mixed stream."""
     sized = sizes(docs)
-    goals = targets(sized)
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     bits = min(31, max(LEAST_BITS, (max(1, total) // SLOT_WORDS).bit_length()))
+    goals = stored(runs_of(targets(sized), bits), "mix-goals")
     slots = schedule(goals, bits)
-    n = slots.groupBy("source_id").agg(F.count("*").alias("slots"))
-    d = laid_out(sized, stored(goals.join(n, "source_id", "left").withColumn("block", F.expr("(take + slots - 1) div slots")), "mix-goals"))
+    d = laid_out(sized, goals)
     lap = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(take - start - 1) div source_size"))).alias("lap")
     laps = d.where("size > 0 and take > start").select("source_id", "bucket", "row", "doc_id", "size", "start", "source_size", "take", "block", lap)
     laps = laps.withColumn("at", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("stop", F.least(F.col("at") + F.col("size"), F.col("take")))
@@ -114,23 +121,18 @@ def mixture(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d, parts.select("slot", "source_id", "bucket", "row", "doc_id", "lap", (begin - F.col("at")).alias("offset"), (end - begin).alias("length"))
 
 
-def _taken(docs: DataFrame) -> DataFrame:
-    """taken(), and `first`: the slot at which each lap of the document begins (null: not taken in that lap)."""
-    d, pieces = mixture(docs)
-    key = ["source_id", "bucket", "row"]
-    first = F.array(*[F.min(F.when(F.col("lap") == m, F.col("slot"))) for m in range(MOST)])
-    used = pieces.groupBy(*key).agg(F.sum("length").alias("words"), first.alias("first"))
-    return d.join(used, key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first")
-
-
 def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of `docs`.
+    """doc_id, source, size, source_size, target, taken, slot_1, slot_2, slot_3 of every row of `docs`.
 
+    slot_m: the slot of the schedule at which the document's m-th lap begins (null: not taken that often).
     A null or empty text has size 0 and is taken 0 times; a null source is a source of its own, the last.
     Rows with the same doc_id are mixed as separate documents. An empty table gives no rows. The order
     that decides is by a hash of doc_id, so a rerun gives the same mix.
     """
-    return _taken(docs).drop("first")
+    d, pieces = mixture(docs)
+    key = ["source_id", "bucket", "row"]
+    used = pieces.groupBy(*key).agg(F.sum("length").alias("words"), *[F.min(F.when(F.col("lap") == m, F.col("slot"))).alias(f"slot_{m + 1}") for m in range(MOST)])
+    return d.join(used, key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), *[f"slot_{m + 1}" for m in range(MOST)])
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -139,37 +141,52 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     Only the one document of each source at which its last lap ends is taken in part; it is rounded to
     whole copies. Rows that share doc_id, source and size share their copies evenly, also rounded, and
-    their slots.
+    their slots. Documents without words (null, empty) are in no mix and go; null doc_ids and sources are
+    values like others. Columns may have any names. An empty table gives an empty mix.
     """
     n = F.floor(F.sum("taken") / (F.count("*") * F.greatest("size", F.lit(1))) + F.lit(0.5)).cast("int")
-    laps = [F.min(F.col("first")[m]) for m in range(MOST)]
+    laps = [F.min(f"slot_{m + 1}") for m in range(MOST)]
     slots = F.array(*[F.coalesce(*reversed(laps[: m + 1])) for m in range(MOST)])
-    t = _taken(docs).groupBy("doc_id", "source", "size").agg(n.alias("copies"), slots.alias("slots"))
-    t = t.where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.slice("slots", F.lit(1), F.col("copies")).alias("slots"))
+    t = taken(docs).groupBy("doc_id", "source", "size").agg(n.alias("copies"), slots.alias("slots")).where("copies > 0")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    joined = docs.join(t, docs["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")) & (words == F.col("mix_size")))
-    placed = joined.select(*[docs[c] for c in docs.columns], F.explode("slots").alias("mix_slot"))
-    return placed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot").drop("mix_slot")
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), words.alias("words"))
+    joined = rows.join(t, F.col("id").eqNullSafe(t["doc_id"]) & F.col("of").eqNullSafe(t["source"]) & (F.col("words") == t["size"]))
+    placed = joined.select("whole", F.explode(F.slice("slots", F.lit(1), F.col("copies"))).alias("slot"))
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot").select("whole.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """taken() of all documents; a lap that does not begin has slot -1."""
+    out = taken(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *[F.coalesce(f"slot_{m + 1}", F.lit(-1)).cast("long").alias(f"slot_{m + 1}") for m in range(MOST)])
 
 
-#: Says the result without a schedule: whole laps, and how far into its last lap each source gets.
+#: The same targets and schedule spelled out: cells, their reversed bits, ranks, whole laps and the words of the last one.
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS key FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-r AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, CAST(SUM(source_size) OVER () AS BIGINT) AS total FROM s),
+r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY source NULLS LAST) AS source_id, (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, CAST(SUM(source_size) OVER () AS BIGINT) AS total FROM s),
 o AS (SELECT *, CAST(cap AS DOUBLE) / weight AS ratio FROM r),
 p AS (SELECT *, ROW_NUMBER() OVER w AS place,
         CAST(total - COALESCE(SUM(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest,
         CAST(SUM(weight) OVER () - COALESCE(SUM(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rest_weight
       FROM o WINDOW w AS (ORDER BY ratio, source NULLS LAST)),
 f AS (SELECT place, rest, rest_weight FROM p WHERE CAST(rest AS DOUBLE) / CAST(rest_weight AS DOUBLE) <= ratio ORDER BY place LIMIT 1),
-g AS (SELECT p.source, source_size, CASE WHEN p.place < f.place THEN CAST(cap AS DOUBLE) ELSE CAST(weight * f.rest AS DOUBLE) / CAST(f.rest_weight AS DOUBLE) END AS target FROM p, f),
-l AS (SELECT d.doc_id, d.size, g.source_size, g.target, CAST(FLOOR(g.target) AS BIGINT) AS take,
+g AS (SELECT p.source, source_id, source_size, total, CASE WHEN p.place < f.place THEN CAST(cap AS DOUBLE) ELSE CAST(weight * f.rest AS DOUBLE) / CAST(f.rest_weight AS DOUBLE) END AS target FROM p, f),
+t AS (SELECT *, LEAST(CAST(FLOOR(target) AS BIGINT), 3 * source_size) AS take, GREATEST(14, CASE WHEN total // 65536 > 0 THEN length(bin(total // 65536)) ELSE 0 END) AS bits FROM g),
+b AS (SELECT *, CAST(FLOOR(CAST(SUM(take) OVER (ORDER BY source_id) - take AS DOUBLE) / SUM(take) OVER () * (1 << bits)) AS BIGINT) AS first_cell,
+        CAST(FLOOR(CAST(SUM(take) OVER (ORDER BY source_id) AS DOUBLE) / SUM(take) OVER () * (1 << bits)) AS BIGINT) AS end_cell FROM t),
+c AS (SELECT *, LEAST(first_cell, (1 << bits) - 1) AS lo, GREATEST(end_cell - LEAST(first_cell, (1 << bits) - 1), 1) AS slots FROM b WHERE take > 0),
+e AS (SELECT source_id, CAST(list_sum(list_transform(range(CAST(bits AS BIGINT)), lambda i: ((cell >> CAST(i AS INTEGER)) & 1) << CAST(bits - 1 - i AS INTEGER))) AS BIGINT) AS slot
+      FROM (SELECT source_id, bits, UNNEST(range(lo, lo + slots)) AS cell FROM c)),
+k AS (SELECT source_id, slot, ROW_NUMBER() OVER (PARTITION BY source_id ORDER BY slot) - 1 AS k FROM e),
+l AS (SELECT d.doc_id, d.size, t.source_id, t.source_size, t.target, t.take, c.slots, (t.take + c.slots - 1) // c.slots AS block,
         CAST(SUM(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size AS BIGINT) AS start
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (take // source_size) * size + LEAST(GREATEST(take % source_size - start, 0), size) END AS taken FROM l
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON c.source_id = t.source_id)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (take // source_size) * size + LEAST(GREATEST(take % source_size - start, 0), size) END AS taken,
+  COALESCE(k1.slot, -1) AS slot_1, COALESCE(k2.slot, -1) AS slot_2, COALESCE(k3.slot, -1) AS slot_3
+FROM l
+LEFT JOIN k k1 ON k1.source_id = l.source_id AND size > 0 AND start < take AND k1.k = start // block
+LEFT JOIN k k2 ON k2.source_id = l.source_id AND size > 0 AND start + source_size < take AND k2.k = (start + source_size) // block
+LEFT JOIN k k3 ON k3.source_id = l.source_id AND size > 0 AND start + 2 * source_size < take AND k3.k = (start + 2 * source_size) // block
 """

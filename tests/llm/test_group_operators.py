@@ -313,7 +313,8 @@ def test_mixing(spark):
     rng = np.random.default_rng(6)
     docs = [(k, " ".join(["x"] * int(rng.integers(0, 90))), ["hot", "b", "c", None, "d"][min(4, int(rng.geometric(0.5)) - 1)]) for k in range(300)]
     docs += [(400, None, "b"), (401, " ", None), (402, None, "only-empty"), (403, "one", "tiny"), (5, "twice here", "b"), (5, "twice here", "b"), (None, "no id", "b"), (404, "y " * 5000, "c")]
-    df = spark.createDataFrame([(i, t, s, "taken", 1) for i, t, s in docs], "doc_id long, text string, source string, taken string, size int")
+    clashes = "taken string, size int, copies int, slots int, slot long, mix_id int, whole int, id int, words string"
+    df = spark.createDataFrame([(i, t, s, "taken", 1, 2, 3, 4, 5, 6, 7, "w") for i, t, s in docs], f"doc_id long, text string, source string, {clashes}")
     rows = mixing.taken(df).collect()
     assert len(rows) == len(docs) and rows and sorted(map(str, rows)) == sorted(map(str, mixing.taken(df.repartition(7)).collect()))
     size = Counter()
@@ -338,7 +339,7 @@ def test_mixing(spark):
 
 def test_every_stretch_of_the_schedule_is_mixed(spark):
     goals = spark.createDataFrame([("a", 1, 500), ("b", 2, 250), ("c", 3, 250)], "source string, source_id long, take long")
-    slots = sorted(mixing.schedule(goals, 8).collect(), key=lambda r: r.slot)
+    slots = sorted(mixing.schedule(mixing.runs_of(goals, 8), 8).collect(), key=lambda r: r.slot)
     assert [r.slot for r in slots] == list(range(256))
     for i in range(0, 256, 16):
         n = Counter(r.source_id for r in slots[i : i + 16])
