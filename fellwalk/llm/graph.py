@@ -61,10 +61,29 @@ class Forest:
         return ids[own], ids[root[own]]
 
 
+#: Most nodes that are looked up by broadcast: those that more than 1 in HUBS edges point to (LEAST_HUB at least).
+HUBS, LEAST_HUB = 10_000, 1000
+
+
+def lowered(e: DataFrame, edges: int) -> DataFrame:
+    """Edges (u, m) with m replaced by its own least smaller neighbour, where it has one.
+
+    A node that a large share of the edges point to would bring all of them into one task of a join. There
+    are at most HUBS such nodes, so they go by broadcast, and a task of the join gets few edges of a node.
+    """
+    low = e.groupBy(F.col("u").alias("of")).agg(F.min("m").alias("low"))
+    hubs = e.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HUB, edges // HUBS)).select(F.col("m").alias("hub"))
+    hubs = hubs.join(low, F.col("hub") == F.col("of"), "left").select("hub", F.coalesce("low", "hub").alias("low"))
+    at_hub = e.join(F.broadcast(hubs), F.col("m") == F.col("hub")).select("u", F.col("low").alias("m"))
+    others = e.join(F.broadcast(hubs.select("hub")), F.col("m") == F.col("hub"), "left_anti")
+    return at_hub.union(others.join(low, F.col("m") == F.col("of"), "left").select("u", F.coalesce("low", "m").alias("m")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (least node reachable) of every node in `edges` (columns a, b: longs).
 
-    Each round points the larger neighbours of a node to the least one, then the smaller ones; both steps
+    Edges point from the larger to the smaller node. Each round moves the smaller end of every edge to that
+    node's own least neighbour, then ties the smaller neighbours of a node to the least of them; both steps
     are aggregations and equi-joins, so no set of nodes is gathered in a task. Rounds grow with the
     logarithm of the longest path; each ends with a reliable checkpoint.
     """
@@ -73,9 +92,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     marks = [F.count("*"), F.bit_xor(F.xxhash64("u", "m")), F.sum(F.xxhash64("m", "u") % 1000003)]
     seen = tuple(e.agg(*marks).first())
     for _ in range(rounds):
-        both = e.select("u", F.col("m").alias("v")).union(e.select(F.col("m").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), "m").distinct()
+        large = lowered(e, seen[0]).distinct()
         down = large.groupBy("u").agg(F.min("m").alias("low"))
         small = large.join(down, "u").where("m > low").select(F.col("m").alias("u"), F.col("low").alias("m")).union(down.select("u", F.col("low").alias("m")))
         e = checkpoint(small.distinct())

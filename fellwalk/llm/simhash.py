@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, stored, table
+from .common import chunks, mix64, stored, table, whole_rows
 from .graph import Forest, components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Parts of the 64 bits; a histogram of each part's values is held by every task (parts * 2**(64/parts)
-#: counts: 2 MB for four parts, 48 MB for three, which suit more than MANY fingerprints).
+#: Parts of the 64 bits; a histogram of each part's values goes to every task (parts * 2**(64/parts) counts:
+#: 2 MB for four parts, 64 MB for three, which suit more than MANY fingerprints). Both find the same links.
 PARTS, MANY = 4, 1 << 27
 #: Fingerprints of one bucket compared in one task; larger buckets are cut into blocks.
 BLOCK = 4096
@@ -111,12 +111,25 @@ class Index:
     def __init__(self, parts: list[list[int]], counts: list[np.ndarray], units: int, most: int = 2):
         self.parts, self.units, self.counts = parts, units, counts
         self.most = min(most, units - 1)  # largest threshold of a part
-        self.near = []
-        for bits, c in zip(parts, counts, strict=True):
-            held, at = [c.astype(np.float64)], np.arange(len(c))
-            for t in range(1, self.most + 1):
-                held.append(held[-1] + sum(c[at ^ m] for m in self.masks(len(bits), t)))
-            self.near.append(held)
+        self._near = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_near": None}
+
+    @property
+    def near(self) -> list[list[np.ndarray]]:
+        """Indexed fingerprints within each threshold of a value; derived from the counts where it is used, not sent."""
+        if self._near is None:
+            self._near = []
+            for bits, c in zip(self.parts, self.counts, strict=True):
+                held, at = [c.astype(np.float64)], np.arange(len(c))
+                for t in range(1, self.most + 1):
+                    more = held[-1].copy()
+                    for m in self.masks(len(bits), t):
+                        more += c[at ^ m]
+                    held.append(more)
+                self._near.append(held)
+        return self._near
 
     @staticmethod
     def masks(width: int, t: int) -> list[int]:
@@ -499,7 +512,8 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WID
     labels = components(similar(docs, groups, similarity, shingle, distance))
     found = distinct.join(labels, F.col("id") == F.col("node"), "left").select("key", F.coalesce("component", "id").alias("component_id"))
     gone = fps.join(found, "key").where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("row_id"))
+    return rows.join(gone, F.col("row_id") == F.col("gone_id"), "left_anti").select("whole.*")
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
