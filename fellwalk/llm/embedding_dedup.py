@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import mix64, stored, table
-from .graph import Forest, components
+from .graph import HUBS, Forest, components
 
 COSINE = 0.95
 #: Tables; blocks of a table, the same for every number of vectors; vectors of a cell compared in one task.
-TABLES, BLOCKS, BLOCK = 5, 2, 2048
+TABLES, BLOCKS, BLOCK = 5, 2, 512
 #: Scale of a unit vector of LENGTH entries and more against the lattice.
 SCALE, LENGTH = 4.0, 64
 
@@ -108,15 +109,22 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 
 def _keyed(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
-    """vec_id, key (a digest of the exact vector, null if unusable) and v (its doubles)."""
+    """vec_id, key (a digest of the exact vector, null if unusable) and v (its entries, as doubles, or as
+    floats where the column holds floats)."""
+    kind = "<f4" if vectors.schema[column].dataType == ArrayType(FloatType(), vectors.schema[column].dataType.containsNull) else "<f8"
 
     def run(batches):
         for b in batches:
             xs = usable(b.column(1))
-            raw = [None if x is None else (x + 0.0).tobytes() for x in xs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "key", "v"])
+            raw = [None if x is None else (x + 0.0).astype(kind).tobytes() for x in xs]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary()), pa.array([kind] * len(xs))], ["vec_id", "key", "v", "kind"])
 
-    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), column).mapInArrow(run, "vec_id long, key binary, v binary")
+    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), column).mapInArrow(run, "vec_id long, key binary, v binary, kind string")
+
+
+def unit_vectors(raw: list[bytes], kind: str) -> np.ndarray:
+    """Unit rows, in double precision, of vectors of one length."""
+    return unit_rows(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64))
 
 
 def _pairs_in(groups, bucket, block, unit, cells, ids, weight, cosine, forest, count):
@@ -162,52 +170,50 @@ def _pairs_in(groups, bucket, block, unit, cells, ids, weight, cosine, forest, c
         link(np.concatenate(held_i), np.concatenate(held_j))
 
 
-def links(classes: DataFrame, blocks: int, tables: int, cosine: float, most: int = BLOCK) -> DataFrame:
-    """a, b, n: rows with b connect linked classes (a spanning forest for each task); the others add n to
-    the number of vectors that class a links with. classes: id, v, w (vectors in the class)."""
+def with_cells(classes: DataFrame, blocks: int, tables: int) -> DataFrame:
+    """`classes` (id, w, v, kind) and their cells, a list of tables * (cells of a table) numbers."""
 
-    def posts(batches, carry):
+    def run(batches):
         lattices: dict[int, Lattice] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 b = batch.slice(i, 2000)
-                raw = b.column(1).to_pylist()
-                lengths = np.array([len(r) // 8 for r in raw])
+                raw, kinds = b.column(2).to_pylist(), b.column(3).to_pylist()
+                lengths = np.array([len(r) // np.dtype(k).itemsize for r, k in zip(raw, kinds, strict=True)])
+                cells: list = [None] * len(raw)
                 for n in np.unique(lengths).tolist():
                     rows = np.flatnonzero(lengths == n)
                     lattice = lattices.setdefault(n, Lattice(n, blocks, tables))
-                    unit = unit_rows(np.frombuffer(b"".join(raw[r] for r in rows), np.float64).reshape(-1, n))
-                    cells = lattice.cells(unit)
-                    flat = cells.reshape(len(rows), -1)
-                    bucket, of = [], []
-                    for k, one in enumerate(flat):
-                        u = np.unique(one)
-                        bucket.append(u)
-                        of.append(np.full(len(u), k))
-                    bucket, of = np.concatenate(bucket), np.concatenate(of)
-                    if not carry:
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket)], ["bucket"])
-                        continue
-                    take = pa.array(of)
-                    cols = [pa.array(b.column(0).to_numpy(zero_copy_only=False)[rows]).take(take), pa.array(b.column(2).to_numpy(zero_copy_only=False)[rows]).take(take), pa.array([raw[r] for r in rows], pa.binary()).take(take), pa.array([c.tobytes() for c in flat], pa.binary()).take(take)]
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), *cols], ["bucket", "id", "w", "v", "cells"])
+                    for r, c in zip(rows, lattice.cells(unit_vectors([raw[r] for r in rows], kinds[0])).reshape(len(rows), -1), strict=True):
+                        cells[r] = c
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.list_(pa.int64()))], ["id", "w", "v", "kind", "cells"])
+
+    return classes.select("id", "w", "v", "kind").mapInArrow(run, "id long, w long, v binary, kind string, cells array<long>")
+
+
+def links(classes: DataFrame, blocks: int, tables: int, cosine: float, most: int = BLOCK) -> DataFrame:
+    """a, b, n: rows with b connect linked classes (a spanning forest for each task); the others add n to
+    the number of vectors that class a links with. classes: id, v, kind, w (vectors in the class).
+
+    Cells are matched by number and id alone; vectors join the ids whose cell holds another vector.
+    """
 
     def meet(batches):
         forest, counts, rest = Forest(), {}, None
 
         def work(t: pa.Table):
             bucket, lo, hi, own, ids, w = (t.column(k).to_numpy() for k in range(6))
-            raw = t.column(6).to_pylist()
+            raw, kind = t.column(6).to_pylist(), t.column(7)[0].as_py()
             lengths = np.array([len(r) for r in raw])
-            cells = np.frombuffer(b"".join(t.column(7).to_pylist()), np.int64).reshape(len(raw), tables, -1)
+            cells = t.column(8).combine_chunks().flatten().to_numpy().reshape(len(raw), tables, -1)
             change = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
             edges = np.concatenate(([0], change, [len(bucket)]))
             keep = np.flatnonzero(np.diff(edges) > 1)
             count = np.zeros(len(ids), np.int64)
             for n in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == n)
-                unit = np.zeros((len(raw), n // 8))
-                unit[at] = unit_rows(np.frombuffer(b"".join(raw[r] for r in at), np.float64).reshape(-1, n // 8))
+                unit = np.zeros((len(raw), n // np.dtype(kind).itemsize))
+                unit[at] = unit_vectors([raw[r] for r in at], kind)
                 # cells of different lengths differ by the seed, so a group holds one length
                 groups = [(int(edges[k]), int(edges[k + 1]), bool(lo[edges[k]] != hi[edges[k]])) for k in keep if lengths[edges[k]] == n]
                 _pairs_in(groups, bucket, (own == hi).astype(int), unit, cells, ids, w, cosine, forest, count)
@@ -228,13 +234,19 @@ def links(classes: DataFrame, blocks: int, tables: int, cosine: float, most: int
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64))], ["a", "b", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([None] * len(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["a", "b", "n"])
 
-    source = classes.select("id", "v", "w")
-    sizes = source.mapInArrow(lambda b: posts(b, False), "bucket long").groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    full = source.mapInArrow(lambda b: posts(b, True), "bucket long, id long, w long, v binary, cells binary").join(sizes, "bucket")
+    source = stored(with_cells(classes, blocks, tables), "vector-cells")
+    posts = source.select(F.explode(F.array_distinct("cells")).alias("bucket"), "id")
+    sizes = stored(posts.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "cell-sizes")
+    # cells with more than 1 in HUBS posts are HUBS at most: their size goes by broadcast, not their posts to one task
+    least = max(most, source.count() * tables * (1 + blocks + blocks * (blocks - 1) // 2) // HUBS)
+    large = F.broadcast(sizes.where(F.col("size") > least))
+    others = posts.join(large.select("bucket"), "bucket", "left_anti").join(sizes.where(F.col("size") <= least), "bucket")
+    held = posts.join(large, "bucket").unionByName(others)
     # a large cell is a triangle of blocks: a row goes to every pair of blocks that holds its own
-    full = full.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    full = full.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "w", "v", "cells")
+    held = held.withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = held.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id")
+    full = held.join(source, "id").select("bucket", "lo", "hi", "own", "id", "w", "v", "kind", "cells")
     return full.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(meet, "a long, b long, n long")
 
 
@@ -247,7 +259,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
     table gives no rows.
     """
     keyed = stored(_keyed(vectors, id_column, column), "vectors")
-    classes = stored(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v")), "vector-classes")
+    classes = stored(keyed.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v"), F.first("kind").alias("kind")), "vector-classes")
     found = stored(links(classes, blocks, tables, cosine), "vector-links")
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     labels = components(found.where("b is not null").select("a", "b"))
