@@ -79,6 +79,10 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             start = stop
 
 
+#: Base of the polynomial hashes (odd), and one for a second, independent hash.
+_BASE, OTHER = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+
+
 class Tokens:
     """The words of a slice of documents: codes into a dictionary, and where each document starts."""
 
@@ -102,7 +106,7 @@ class Tokens:
         self.offsets = np.concatenate(([0], np.cumsum(lengths)))
         self.flat = flat
 
-    def word_hashes(self) -> np.ndarray:
+    def word_hashes(self, base: int = _BASE) -> np.ndarray:
         """64-bit hash of every dictionary word: a polynomial of its bytes modulo 2**64, then mixed."""
         words = self.words.cast(pa.large_binary())
         if not len(words):
@@ -111,8 +115,8 @@ class Tokens:
         ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
         raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
         ends = ends - ends[0]
-        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _BASE, np.uint64))))
-        inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), _INVERSE, np.uint64))))
+        power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), base, np.uint64))))
+        inverse = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(raw), pow(base, -1, 1 << 64), np.uint64))))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(raw * power[:-1])))
         return mix64((sums[ends[1:]] - sums[ends[:-1]]) * inverse[ends[:-1]] ^ mix64(np.diff(ends).view(np.uint64)))
 
@@ -121,11 +125,6 @@ class Tokens:
         return self.word_hashes()[self.codes]
 
 
-#: Base of the polynomial hashes (odd), and its inverse modulo 2**64.
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of MurmurHash3 (public domain): spreads every input bit over the result."""
     x = x.astype(np.uint64, copy=True)

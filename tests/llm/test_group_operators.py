@@ -246,7 +246,7 @@ def test_embeddings(spark, most):
         assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
     else:  # cells larger than a block are compared block by block
         keyed = embedding_dedup._keyed(df, "vec_id", "embedding").where("key is not null")
-        classes = keyed.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v"))
+        classes = keyed.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v"), F.first("kind").alias("kind"))
         found = embedding_dedup.links(classes, 2, embedding_dedup.TABLES, 0.95, most).collect()
         size = {r.id: r.w for r in classes.collect()}
         others = Counter()
