@@ -1,11 +1,12 @@
 """Language-model scoring with a sharded Elias-Fano n-gram trie.
 
-Unigrams, bigrams and trigrams are counted over all training documents; bigrams and trigrams seen twice
-or more stay in the model. Words of a level are numbered relative to their context (a trigram's last
+Unigrams, bigrams and trigrams are counted over all training documents; those seen `least_count` times or
+more stay in the model. Words of a level are numbered relative to their context (a trigram's last
 word is its rank among the successors of the middle word), pointers and numbers are Elias-Fano coded,
 smoothed probabilities are quantised, and every shard is a file of levels that tasks memory-map.
 
-What a task counts travels as one packed block for each shard, not as rows.
+What a task counts travels as one packed block for each shard, not as rows. There are as many shards as
+the corpus needs for each to hold about TOKENS of it, so no task grows with the corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,6 +29,10 @@ from .elias_fano import EliasFano
 #: The end of a text, as a token; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(1)
 DISCOUNT, LEAST_COUNT = 0.75, 2
+#: Tokens a shard (words take twice as many), characters a token, and least shards.
+TOKENS, CHARACTERS, SHARDS = 1 << 21, 6, 8
+#: Shards of a level that a worker keeps mapped.
+MAPPED = 256
 #: Quantisation of log10 probabilities: 16 bits over [LOWEST, 0].
 LOWEST = -16.0
 #: Keys that a task gathers before it sends them on.
@@ -93,7 +99,15 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 
 
 def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences of their upper halves and plain lower halves, which compress well."""
+    """Sorted keys as differences of their upper halves and plain lower halves, which compress well. A count of
+    2**32 and more takes several entries of its key, which add up."""
+    most = (1 << 32) - 1
+    if len(counts) and counts.max() > most:
+        times = np.maximum(1, -(-counts // most))
+        last = np.cumsum(times) - 1
+        keys, rest = np.repeat(keys, times), counts - (times - 1) * most
+        counts = np.full(len(keys), most, np.int64)
+        counts[last] = rest
     high = (keys >> _U(32)).astype(np.uint32)
     return np.diff(high, prepend=np.uint32(0)).tobytes() + keys.astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes()
 
@@ -151,21 +165,27 @@ def each_shard(blocks: DataFrame, shards: int, work: Callable[[int, np.ndarray,
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        now = None
+        now, size, most = None, 0, GATHER
 
-        def done():
+        def together():
             keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            yield from work(now, *summed(keys, counts))
+            return summed(keys, counts)
 
         for b in batches:
             for s, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if s != now and held:
-                    yield from done()
+                    yield from work(now, *together())
+                    size, most = 0, GATHER
                 now = s
                 held.append(unpack_block(raw.as_buffer()))
+                size += len(held[-1][0])
+                if size > most:  # keys that came before take no further room
+                    held.append(together())
+                    size = len(held[-1][0])
+                    most = max(GATHER, 2 * size)
         if held:
-            yield from done()
+            yield from work(now, *together())
 
     return blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
@@ -173,12 +193,28 @@ def each_shard(blocks: DataFrame, shards: int, work: Callable[[int, np.ndarray,
 # --- the model
 
 
+class Mapped:
+    """Opens shards on use and keeps the latest ones mapped."""
+
+    def __init__(self, make: Callable, most: int | None = None):
+        self.make, self.most, self.held = make, most or MAPPED, OrderedDict()
+
+    def __getitem__(self, key):
+        if key in self.held:
+            self.held.move_to_end(key)
+        else:
+            self.held[key] = self.make(key)
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        return self.held[key]
+
+
 class Vocabulary:
     """All training words by hash, in shards by the top bits: counts, and numbers of the words that stay."""
 
-    def __init__(self, root: str, shards: int, sizes: dict[int, tuple[int, int]]):
-        self.bits = shards.bit_length() - 1
-        self.files = {s: map_arrays(f"{root}/words-{s}") for s in sizes}
+    def __init__(self, root: str, shards: int, sizes: dict[int, tuple[int, int]], least_count: int):
+        self.bits, self.least_count, self.known = shards.bit_length() - 1, least_count, sorted(sizes)
+        self.files = Mapped(lambda s: map_arrays(f"{root}/words-{s}"))
         held = np.array([sizes.get(s, (0, 0))[1] for s in range(shards)], np.int64)
         self.first = np.concatenate(([0], np.cumsum(held)))
 
@@ -188,14 +224,15 @@ class Vocabulary:
         shard = (hashes >> _U(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int64)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(1 << self.bits), "right")
-        for s, f in self.files.items():
+        for s in self.known:
             rows = order[ends[s - 1] if s else 0 : ends[s]]
             if not len(rows):
                 continue
+            f = self.files[s]
             at = np.minimum(np.searchsorted(f["hash"], hashes[rows]), len(f["hash"]) - 1)
             hit = f["hash"][at] == hashes[rows]
             count[rows] = np.where(hit, f["count"][at], 0)
-            number[rows] = np.where(hit & (f["count"][at] >= LEAST_COUNT), self.first[s] + f["rank"][at], -1)
+            number[rows] = np.where(hit & (f["count"][at] >= self.least_count), self.first[s] + f["rank"][at], -1)
         return count, number
 
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
@@ -243,7 +280,7 @@ def build2(vocabulary: Vocabulary, shard: int, shards: int, words: int, total: t
     back = np.clip(1 - kept / np.maximum(seen, 1), 1e-12, 1)
     p1 = 10 ** log_unigram(vocabulary.counts_of(second).astype(float), *total)
     p = left / seen[context] + back[context] * p1
-    out = {"p": quantise(np.log10(p)), "back": quantise(np.log10(back)), "n": counts.astype(np.uint32)}
+    out = {"p": quantise(np.log10(p)), "back": quantise(np.log10(back)), "n": counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64)}
     for name, ef in (("next", EliasFano.encode(context * words + second)), ("start", EliasFano.encode(start))):
         out |= {f"{name}.{k}": v for k, v in ef.arrays().items()}
     return out
@@ -284,28 +321,27 @@ def _finish3(level2: Level2, t: dict[str, np.ndarray], words: int, seen: np.ndar
 class Model:
     """Handles of all shards. root, shards and sizes are what travels; files are mapped on first use."""
 
-    def __init__(self, root: str, shards: int, word_shards: int, sizes: dict[int, tuple[int, int]], tokens: int, two: list[int] = (), three: list[int] = ()):
+    def __init__(self, root: str, shards: int, word_shards: int, sizes: dict[int, tuple[int, int]], tokens: int, least_count: int = LEAST_COUNT):
+        self.least_count = least_count
         self.root, self.shards, self.word_shards, self.sizes = root, shards, word_shards, sizes
         self.tokens, self.distinct = tokens, sum(n for n, _ in sizes.values())
         self.words = max(1, sum(k for _, k in sizes.values()))
-        self.two, self.three = list(two), list(three)
-        self._vocabulary = None
-        self._levels: dict = {}
+        self.two, self.three = [], []
+        self._vocabulary = self._levels = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_vocabulary": None, "_levels": {}}
+        return self.__dict__ | {"_vocabulary": None, "_levels": None}
 
     @property
     def vocabulary(self) -> Vocabulary:
         if self._vocabulary is None:
-            self._vocabulary = Vocabulary(self.root, self.word_shards, self.sizes)
+            self._vocabulary = Vocabulary(self.root, self.word_shards, self.sizes, self.least_count)
         return self._vocabulary
 
     def level(self, order: int, shard: int):
-        if (order, shard) not in self._levels:
-            kind = Level2 if order == 2 else Level3
-            self._levels[order, shard] = kind(map_arrays(f"{self.root}/level{order}-{shard}"), self.words)
-        return self._levels[order, shard]
+        if self._levels is None:
+            self._levels = {n: Mapped(lambda s, n=n, kind=kind: kind(map_arrays(f"{self.root}/level{n}-{s}"), self.words)) for n, kind in ((2, Level2), (3, Level3))}
+        return self._levels[order][shard]
 
     def contexts(self, shard: int) -> int:
         return (self.words - shard + self.shards - 1) // self.shards
@@ -411,12 +447,18 @@ class Stream:
         return t[(self.bigram[t - 1] >= 0) & ~self.first[t - 1]]
 
 
-def train(docs: DataFrame, shards: int | None = None) -> Model:
-    """Counts the documents and writes the model into the shared folder. Null texts are empty: an end alone."""
+def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_COUNT) -> Model:
+    """Counts the documents and writes the model into the shared folder. Null texts are empty: an end alone.
+
+    Words, bigrams and trigrams that occur fewer than `least_count` times are counted, but have no entry of
+    their own in the trie; 1 keeps all. Every one of them still has a probability, by the shorter context.
+    """
     spark = docs.sparkSession
     root = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
-    shards = shards or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    word_shards = 1 << (shards - 1).bit_length()
+    if not shards:
+        characters = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        shards = max(SHARDS, -(-characters // (CHARACTERS * TOKENS)))
+    word_shards = 1 << max(3, (shards // 2).bit_length())
     bits = word_shards.bit_length() - 1
     texts = docs.select("text")
 
@@ -427,20 +469,20 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
         yield from gathered((Stream(b.column(0)).hash for b in chunks(batches)), lambda k: (k >> _U(64 - bits)).astype(np.int64), word_shards)
 
     def write_words(s, keys, counts):
-        kept = counts >= LEAST_COUNT
+        kept = counts >= least_count
         write_arrays(f"{root}/words-{s}", {"hash": keys, "count": counts, "rank": (np.cumsum(kept) - kept).astype(np.uint32), "kept": counts[kept]})
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(kept.sum())], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["shard", "n", "kept", "tokens"])
 
     rows = each_shard(texts.mapInArrow(words, BLOCKS), word_shards, write_words, "shard int, n long, kept long, tokens long").collect()  # a row for each shard
-    model = Model(root, shards, word_shards, {r["shard"]: (r["n"], r["kept"]) for r in rows}, sum(r["tokens"] for r in rows))
+    model = Model(root, shards, word_shards, {r["shard"]: (r["n"], r["kept"]) for r in rows}, sum(r["tokens"] for r in rows), least_count)
     if model.words >= 1 << 31:
-        raise ValueError("more than 2**31 words seen twice: raise LEAST_COUNT")
+        raise ValueError("more than 2**31 words in the model: raise least_count")
 
     def kept(place):
         """Keys seen often enough go on to the shard of their context."""
 
         def work(s, keys, counts):
-            some = counts >= LEAST_COUNT
+            some = counts >= least_count
             keys, counts = keys[some], counts[some]
             yield from sent_blocks(keys, counts, place(keys), shards)
 
@@ -460,7 +502,7 @@ def train(docs: DataFrame, shards: int | None = None) -> Model:
     size2 = {r["shard"]: r["n"] for r in rows}
     first2 = np.concatenate(([0], np.cumsum([size2.get(s, 0) for s in range(shards)])))  # numbers bigrams of all shards
     if first2[-1] >= 1 << 33:
-        raise ValueError("more than 2**33 bigrams seen twice: raise LEAST_COUNT")
+        raise ValueError("more than 2**33 bigrams in the model: raise least_count")
 
     def trigrams(batches):
         def parts():

@@ -298,7 +298,7 @@ def test_elias_fano(values, queries):
     assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
 
 
-def brute_model(texts):
+def brute_model(texts, least=2):
     toks = [[*(w.lower() for w in words(t)), "END"] for t in texts]
     c1, c2, c3 = Counter(), Counter(), Counter()
     for w in toks:
@@ -308,18 +308,18 @@ def brute_model(texts):
     n, v, d = sum(c1.values()), len(c1), ngram_lm.DISCOUNT
     s2, s3 = Counter(), Counter()
     for (a, _), k in c2.items():
-        s2[a] += (k - d) * (k >= 2)
+        s2[a] += (k - d) * (k >= least)
     for (a, b, _), k in c3.items():
-        s3[a, b] += (k - d) * (k >= 2)
+        s3[a, b] += (k - d) * (k >= least)
     p1 = lambda w: (c1[w] + 1) / (n + v + 1)
 
     def p2(a, b):
-        return p1(b) if c1[a] < 2 else max(c2[a, b] - d, 0) * (c2[a, b] >= 2) / c1[a] + (1 - s2[a] / c1[a]) * p1(b)
+        return p1(b) if c1[a] < least else max(c2[a, b] - d, 0) * (c2[a, b] >= least) / c1[a] + (1 - s2[a] / c1[a]) * p1(b)
 
     def p3(a, b, c):
         if not s3[a, b]:
             return p2(b, c)
-        return max(c3[a, b, c] - d, 0) * (c3[a, b, c] >= 2) / c2[a, b] + (1 - s3[a, b] / c2[a, b]) * p2(b, c)
+        return max(c3[a, b, c] - d, 0) * (c3[a, b, c] >= least) / c2[a, b] + (1 - s3[a, b] / c2[a, b]) * p2(b, c)
 
     def score(t):
         w = [*(x.lower() for x in words(t)), "END"]
@@ -330,6 +330,30 @@ def brute_model(texts):
     return score
 
 
+@pytest.mark.parametrize("least, shards", [(1, 8), (2, 3), (3, 37)])
+def test_every_least_count_and_number_of_shards(spark, monkeypatch, least, shards):
+    rng = np.random.default_rng(least)
+    vocabulary = [f"v{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 60)), p=np.arange(60, 0, -1) / 1830)) for _ in range(60)]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), shards, least)
+    want = brute_model(texts, least)
+    monkeypatch.setattr(ngram_lm, "MAPPED", 2)  # shards are dropped and opened again
+    asked = [*texts[:10], "v1 new v2 v3 v1 v2", None]
+    for t, *got in zip(asked, *ngram_lm.score_stream(pa.array(asked), model), strict=True):
+        n, known, _, base, own = want(t)
+        assert (got[0], got[1]) == (n, known) and abs(got[2] - base) < 1e-9 * max(1, -base) and abs(got[3] - own) < 1e-3 * n
+    assert len(model.vocabulary.files.held) <= 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, (1 << 64) - 1), st.integers(1, 1 << 34), max_size=20))
+def test_blocks_keep_large_counts(counts):
+    keys = np.array(sorted(counts), np.uint64)
+    raw = ngram_lm.pack_block(keys, np.array([counts[k] for k in keys.tolist()], np.int64))
+    got, n = ngram_lm.summed(*ngram_lm.unpack_block(raw))
+    assert dict(zip(got.tolist(), n.tolist(), strict=True)) == counts
+
+
 def test_language_model(spark, edges, empty):
     rng = np.random.default_rng(3)
     vocabulary = [f"v{i}" for i in range(30)]
