@@ -25,7 +25,7 @@ from .common import chunks, stored, table
 
 WINDOW, END = 2048, 1
 #: Fill levels of a window; squared counts that a cut has to save; partitions whose open windows are packed on together.
-LEVELS, CUT, TOGETHER = 64, 3, 32
+LEVELS, CUT, TOGETHER = 64, 3, 8
 #: Bits of a window number below its partition.
 SHIFT = 36
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

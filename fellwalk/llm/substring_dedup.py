@@ -53,7 +53,7 @@ def sliding_least(x: np.ndarray, n: int) -> np.ndarray:
 
 def window_hashes(tok: Tokens, n: int, check: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """(row, position in the document, window hash, anchor, check) of every window of n words inside a
-    document. check: the upper half of a hash of the window on another base and other hashes of its words' bytes."""
+    document. check: the upper 24 bits of a hash of the window on another base and other hashes of its words' bytes."""
     words = tok.hashes()
     if len(words) < n:
         none = np.zeros(0, np.int64)
@@ -65,7 +65,7 @@ def window_hashes(tok: Tokens, n: int, check: bool = False) -> tuple[np.ndarray,
     row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - n + 1, 0))
     at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(lengths - n + 1, 0)) - np.maximum(lengths - n + 1, 0), np.maximum(lengths - n + 1, 0))
     place = tok.offsets[row] + at
-    other = Rolling(tok.word_hashes(OTHER)[tok.codes], _BASES[1]).windows(n)[place] >> np.uint64(32) if check else None
+    other = Rolling(tok.word_hashes(OTHER)[tok.codes], _BASES[1]).windows(n)[place] >> np.uint64(40) if check else None
     return row, at, full[place], anchor[place], other
 
 
@@ -106,8 +106,8 @@ def removable(keyed: DataFrame, n: int) -> DataFrame:
     """doc_id, row_key, starts: where windows begin that also start in a document with a smaller doc_id, as
     position << 32 | number of equal windows in a row.
 
-    Windows are equal if 96 bits agree: a 64-bit hash and 32 bits of another, on another hash of the words. Among
-    1.5e13 windows (100 TB), 0.001 pairs are expected to agree by chance.
+    Windows are equal if 88 bits agree: a 64-bit hash and 24 bits of another, on another hash of the words. Among
+    1.5e13 windows (100 TB), 0.4 pairs are expected to agree by chance.
     """
     sent = keyed.sparkSession.sparkContext.broadcast(anchor_filter(repeated_anchors(keyed, n)))
 
@@ -118,7 +118,7 @@ def removable(keyed: DataFrame, n: int) -> DataFrame:
             row, at, full, anchor, check = window_hashes(Tokens(b.column(2)), n, True)
             bit = anchor & mask
             maybe = np.flatnonzero((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-            row, at, full, check = row[maybe], at[maybe], full[maybe], check[maybe].astype(np.uint32).view(np.int32)
+            row, at, full, check = row[maybe], at[maybe], full[maybe], check[maybe].astype(np.int32)
             # a word repeated over and over makes the same window at one place after another: one row
             again = (full[1:] == full[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), ~again)))

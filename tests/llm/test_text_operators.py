@@ -173,7 +173,10 @@ def packed(docs, size, parts):
     for k in range(parts):
         for w, pieces, is_open in packing.pack_documents(iter(docs[k::parts]), k << 36, size):
             (still if is_open else rows).append((w, pieces))
-    last = list(packing.pack_on(still, 1 << 62, size))
+    groups = defaultdict(list)
+    for w, pieces in still:
+        groups[(w >> 36) // packing.TOGETHER].append((w, pieces))
+    last = [x for k, g in groups.items() for x in packing.pack_on(g, 1 << 62 | k << 36, size)]
     return rows + last, sum(len(p.ids) for w, pieces in last for p in pieces if w >= 1 << 62)
 
 
