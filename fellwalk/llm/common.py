@@ -29,6 +29,18 @@ def crc_mod(col, n: int):
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """doc_id, text, quality (0 or 1) of at most `most` labelled documents, chosen by a hash of doc_id.
+
+    Labels without a document, and documents without a label or doc_id, are left out before the choice. Of
+    conflicting labels 1 holds; of rows that share a doc_id the least text.
+    """
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = known.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

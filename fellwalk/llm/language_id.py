@@ -47,7 +47,7 @@ class Mixture:
     logp: np.ndarray  # languages x BINS
     penalty: float = 3.0  # times log(n-grams), for each further language
     rounds: int = 12
-    close: int = 3  # further languages tried at each step, the likeliest first
+    shares: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3)  # shares at which a further language is screened
 
     def __post_init__(self):
         self.p = np.exp(self.logp)
@@ -64,13 +64,18 @@ class Mixture:
         chosen, best, share = [int(np.argmax(single))], float(single.max()), np.ones(1)
         while len(chosen) < len(self.languages):
             mixed = share @ p[chosen]
-            # gain of giving a tenth of the text to another language, to first order
-            gains = np.array([-np.inf if k in chosen else float(n @ np.log(0.9 * mixed + 0.1 * p[k])) for k in range(len(p))])
-            tries = [k for k in np.argsort(-gains, kind="stable")[: self.close] if gains[k] > best - 0.5 * self.penalty * np.log(total)]
+            # The likelihood is concave in the share of a further language, so one that gains at its best share
+            # gains at every smaller one: none that the penalty lets in is screened out, from the least share on.
+            tries = []
+            for k in range(len(p)):
+                if k not in chosen:
+                    gain, s = max((float(n @ np.log((1 - s) * mixed + s * p[k])), s) for s in self.shares)
+                    if gain > best:
+                        tries.append((k, s))
             found = None
-            for k in tries:
+            for k, first in tries:
                 own = p[[*chosen, k]]
-                s = np.append(share * 0.9, 0.1)
+                s = np.append(share * (1 - first), first)
                 for _ in range(self.rounds):  # E: who drew each n-gram; M: their shares
                     mix = s @ own
                     s = s * (own @ (n / mix)) / total
@@ -133,7 +138,8 @@ def identify(docs: DataFrame, model: Mixture) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without doc_id is no training row and is not held out."""
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
-    out = identify(docs, model)
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    out = identify(docs, fit(docs.where(~held)))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, table
+from .common import chunks, crc_mod, labelled, table
 
 #: Hash bins of either kind of n-gram; latent dimensions; voters.
 BINS, LATENT, VOTERS = 1 << 12, 48, 25
@@ -79,6 +79,7 @@ class Voters:
         k = min(self.voters, len(self.labels))
         for i in range(0, len(texts), block):
             near = self.latent(texts[i : i + block]) @ self.vectors.T
+            near = near - 1e-13 * np.arange(len(self.labels))  # ties at the last place: the first of them
             at = np.argpartition(-near, k - 1, axis=1)[:, :k]
             w = np.clip(np.take_along_axis(near, at, 1), 0, 1).astype(float) ** self.sharpness + 1e-9
             out[i : i + block] = (w * self.labels[at]).sum(1) / w.sum(1)
@@ -86,21 +87,15 @@ class Voters:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, latent: int = LATENT) -> Voters:
-    """Voters from at most `max_labelled` of the labelled rows given."""
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
-    if chosen.empty:
-        return Voters(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    picked = docs.sparkSession.createDataFrame(chosen)  # at most max_labelled rows of two numbers
+    """Voters from at most `max_labelled` labelled documents; see labelled()."""
+    rows = labelled(docs, labels, max_labelled).select("text", "doc_id", "quality")
 
     def sparse(batches):
         for b in chunks(batches):
             rows = [counts(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in rows], pa.list_(pa.float32()))], ["doc_id", "quality", "at", "w"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("text", "doc_id", F.col("quality").cast("int"))
-    got = rows.mapInArrow(sparse, "doc_id long, quality int, at array<int>, w array<float>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id").head(max_labelled)
+    got = rows.mapInArrow(sparse, "doc_id long, quality int, at array<int>, w array<float>").toPandas().sort_values("doc_id")
     x = np.zeros((len(got), TERMS), np.float32)
     for i, (at, w) in enumerate(zip(got["at"], got["w"], strict=True)):
         x[i, at] = w
@@ -140,7 +135,8 @@ def score_documents(docs: DataFrame, model: Voters) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without doc_id is no training row and is not held out."""
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 3) == 1
     out = score_documents(docs, fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held)))
-    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -165,20 +165,13 @@ _STATS_SCHEMA = "doc_id long, " + ", ".join(f"{b} long" for b in BASE)
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `max_labelled` documents, by a hash of doc_id."""
-    spark = docs.sparkSession
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
-    if chosen.empty:
-        return np.zeros((0, len(FEATURES))), np.zeros(0)
-    picked = spark.createDataFrame(chosen)  # at most max_labelled rows of two numbers
-
+    """Features and labels of at most `max_labelled` documents; see labelled()."""
     def features(batches):
         for b in chunks(batches):
             f = statistics(b.column(0))[1]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(f), pa.list_(pa.float64()))], ["quality", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("quality").cast("int")).mapInArrow(features, "quality int, x array<double>").toPandas()
+    got = labelled(docs, labels, max_labelled).select("text", "quality").mapInArrow(features, "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["quality"].to_numpy()))  # the same sums in every run
     return x[order], got["quality"].to_numpy(float)[order]
@@ -208,7 +201,11 @@ def apply_rules(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFr
 
 
 def filter_documents(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> DataFrame:
-    """The rows of `docs` that the rules keep, all columns unchanged."""
+    """The rows of `docs` that the rules keep, all columns unchanged, under any names.
+
+    Null and empty texts have no words and go; rows with the same doc_id, or a null one, are judged one by
+    one; an empty table stays empty.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     at = docs.columns.index("text")
