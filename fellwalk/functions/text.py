@@ -50,3 +50,13 @@ def share_url(base: Column, **params: Column) -> Column:
 
 ERROR_LINE = r"^\w[\w.]*(Error|Exception|Warning):"
 PROGRESS_LINE = r"^progress:(\d+)\s+(.*)$"
+
+
+def coordinate_label(*values: Column, digits: int = 4) -> Column:
+    """Numbers with a fixed count of digits, joined by a comma: "45.0012, 7.0310"."""
+    return F.concat_ws(", ", *(F.format_string(f"%.{digits}f", v) for v in values))
+
+
+def vector_label(*values: Column) -> Column:
+    """Numbers rounded to integers, halves up, joined by a comma."""
+    return F.concat_ws(", ", *(F.floor(v + 0.5).cast("string") for v in values))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import inside
@@ -74,7 +74,7 @@ def staged(jobs: DataFrame) -> DataFrame:
 def cache_hits(uploads: DataFrame, done: DataFrame) -> DataFrame:
     """Jobs asked for, and whether an earlier result (done: job_id) answers them."""
     u = with_job_id(uploads).select("job_id").distinct()
-    return u.join(done.select("job_id").distinct(), "job_id", "left_semi").withColumn("hit", F.lit(True)).unionByName(u.join(done.select("job_id").distinct(), "job_id", "left_anti").withColumn("hit", F.lit(False)))
+    return u.join(done.select("job_id", F.lit(True).alias("hit")).distinct(), "job_id", "left").select("job_id", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
 def progress_lines(lines: DataFrame) -> DataFrame:
@@ -83,6 +83,25 @@ def progress_lines(lines: DataFrame) -> DataFrame:
     return x.select("job_id", "line_no", F.regexp_extract("line", PROGRESS_LINE, 1).cast("int").alias("pct"), F.substring(F.regexp_extract("line", PROGRESS_LINE, 2), 1, 80).alias("label"))
 
 
+def details(lines: DataFrame) -> DataFrame:
+    """job_id, line_no, detail: what a client sees of every other line that is not blank; 160 characters."""
+    line = F.trim("line")
+    return lines.where(~line.rlike(PROGRESS_LINE) & (line != "")).select("job_id", "line_no", F.substring(line, 1, 160).alias("detail"))
+
+
+def newest_first(shots: DataFrame, key: str, order: str) -> DataFrame:
+    """Adds `place`: 1 for the shot of each key that was saved last."""
+    return shots.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())).cast("int"))
+
+
+def looked_up(requests: DataFrame, wanted: str, choices: list[tuple[str, str]]) -> Column:
+    """Label of the choice (id, label) that is asked for, the first one's where none is."""
+    label = F.lit(choices[0][1])
+    for name, text in choices:
+        label = F.when(requests[wanted] == name, text).otherwise(label)
+    return label
+
+
 def last_errors(lines: DataFrame) -> DataFrame:
     """The last line that names an error, else the last that is not blank; trimmed, 300 characters."""
     line = F.trim("line")

@@ -1,7 +1,7 @@
 """Raster operators on (grid_id, r, c, z); r grows to the north, NULL is missing.
 
-Windows are partitioned by grid row or grid column, never by the whole grid unless a figure of the grid
-is asked for. tiled() cuts large grids with a halo, so that stencils run tile by tile.
+Windows are partitioned by grid row or grid column, never by the whole grid; figures of a grid
+are aggregated and joined back. tiled() cuts large grids with a halo, so that stencils run tile by tile.
 """
 
 from __future__ import annotations
@@ -11,10 +11,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import utm
 from ..functions.numeric import clamp, missing
 
 
-
 def along_row():
     return Window.partitionBy("grid_id", "r").orderBy("c")
 
@@ -23,8 +23,10 @@ def along_column():
     return Window.partitionBy("grid_id", "c").orderBy("r")
 
 
-def whole_grid():
-    return Window.partitionBy("grid_id")
+def with_figures(grid: DataFrame, **figures: Column) -> DataFrame:
+    """Adds figures of each grid: aggregated first, then joined back as one row a grid, so that no grid goes
+    through one task."""
+    return grid.join(grid.groupBy("grid_id").agg(*(f.alias(name) for name, f in figures.items())), "grid_id")
 
 
 def cleaned(grid: DataFrame) -> DataFrame:
@@ -49,9 +51,9 @@ def coverage(grid: DataFrame, sample: int | None = None) -> DataFrame:
 def fused(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """The primary where it has data, else the secondary (its own holes filled with its least height first),
     else the grid's least height, else 0."""
-    s = cleaned(secondary).select("grid_id", "r", "c", F.coalesce("z", F.min("z").over(whole_grid())).alias("z2"))
+    s = with_figures(cleaned(secondary), _low=F.min("z")).select("grid_id", "r", "c", F.coalesce("z", "_low").alias("z2"))
     g = cleaned(primary).join(s, ["grid_id", "r", "c"], "left").withColumn("z", F.coalesce("z", "z2")).drop("z2")
-    return g.withColumn("z", F.coalesce("z", F.min("z").over(whole_grid()), F.lit(0.0)))
+    return with_figures(g, _low=F.min("z")).withColumn("z", F.coalesce("z", "_low", F.lit(0.0))).drop("_low")
 
 
 def sampled(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -83,15 +85,16 @@ def cubic(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
     return at.select(*keys).join(s, keys, "left").select(*keys, F.when(F.col("_t") >= 0.5, F.col("_s") / F.col("_t")).alias("z"))
 
 
-def gradient(grid: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0) -> DataFrame:
-    """dx, dy: central differences inside, one-sided at the edges, 0 along a side of one cell."""
+def central(order, cell: float, value: str = "z") -> Column:
+    """Change of a value along a window per metre: central differences inside, one-sided at the ends, 0 alone."""
+    z, before, after = F.col(value), F.lag(value).over(order), F.lead(value).over(order)
+    has_before, has_after = F.lag(F.lit(1)).over(order).isNotNull(), F.lead(F.lit(1)).over(order).isNotNull()
+    return F.when(has_before & has_after, (after - before) / (2 * cell)).when(has_after, (after - z) / cell).when(has_before, (z - before) / cell).otherwise(F.lit(0.0))
 
-    def slope(window, cell):
-        z, before, after = F.col("z"), F.lag("z").over(window), F.lead("z").over(window)
-        has_before, has_after = F.lag(F.lit(1)).over(window).isNotNull(), F.lead(F.lit(1)).over(window).isNotNull()
-        return F.when(has_before & has_after, (after - before) / (2 * cell)).when(has_after, (after - z) / cell).when(has_before, (z - before) / cell).otherwise(F.lit(0.0))
 
-    return grid.withColumn("dx", slope(along_row(), cell_x)).withColumn("dy", slope(along_column(), cell_y))
+def gradient(grid: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0) -> DataFrame:
+    """dx, dy: central differences inside, one-sided at the edges, 0 along a side of one cell."""
+    return grid.withColumn("dx", central(along_row(), cell_x)).withColumn("dy", central(along_column(), cell_y))
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -100,47 +103,27 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def gaussian(grid: DataFrame, sigma: float) -> DataFrame:
-    """Separable Gaussian blur, reflected at the edges; a kernel of radius 0 is no step at all in the plan.
-
-    Rows are packed into arrays: the horizontal pass shuffles nothing more, the vertical one is a window of
-    arrays.
-    """
-    w = gaussian_kernel(sigma)
+def blurred(grid: DataFrame, rows: bool, w: list[float], value: str = "z") -> DataFrame:
+    """One pass of a blur with weights w, along the rows or the columns. Each cell takes its neighbours by lag and
+    lead, and those beyond an edge from the mirrored place, which is never farther than the kernel reaches."""
+    order, line = (along_row(), "r") if rows else (along_column(), "c")
     radius = len(w) // 2
     if not radius:
         return grid
-    rows = grid.groupBy("grid_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", "z"))).alias("p")).select("grid_id", "r", F.col("p.c").alias("cs"), F.col("p.z").alias("zs"))
-    n = F.size("zs")
-
-    def mirror(i, size):
-        j = F.pmod(i, size * 2)
-        return F.when(j < size, j).otherwise(size * 2 - 1 - j)
-
-    def smooth(_, i):
-        out = F.lit(0.0)
-        for k, x in enumerate(w):
-            out = out + F.element_at("zs", mirror(i + (k - radius), n) + 1) * F.lit(x)
-        return out
-
-    rows = rows.select("grid_id", "r", "cs", F.transform("zs", smooth).alias("zs"))
-    column = Window.partitionBy("grid_id").orderBy("r")
-    whole = column.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    height, at = F.count("*").over(whole), F.row_number().over(column) - 1
-    rows = rows.withColumn("_h", height.cast("int")).withColumn("_at", at)
-    near = F.array_sort(F.collect_list(F.struct("_at", "zs")).over(column.rowsBetween(-2 * radius, 2 * radius)))
-    rows = rows.withColumn("_near", near)
-
-    def down(_, i):
-        out = F.lit(0.0)
-        for k, x in enumerate(w):
-            row = mirror(F.col("_at") + (k - radius), F.col("_h"))
-            first = F.element_at("_near", 1)["_at"]
-            out = out + F.element_at(F.element_at("_near", row - first + 1)["zs"], i + 1) * F.lit(x)
-        return out
-
-    rows = rows.select("grid_id", "r", "cs", F.transform("zs", down).alias("zs"))
-    return rows.select("grid_id", "r", F.explode(F.arrays_zip("cs", "zs")).alias("p")).select("grid_id", "r", F.col("p.cs").alias("c"), F.col("p.zs").alias("z"))
+    near = F.array(*(F.lag(value, -o).over(order) if o else F.col(value) for o in range(-radius, radius + 1)))
+    grid = grid.withColumn("_near", near).withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("grid_id", line)))
+    out = F.lit(0.0)
+    for k, x in enumerate(w):
+        j = F.pmod(F.col("_at") + (k - radius), F.col("_n") * 2)
+        j = F.when(j < F.col("_n"), j).otherwise(F.col("_n") * 2 - 1 - j)
+        out = out + F.element_at("_near", (j - F.col("_at") + (radius + 1)).cast("int")) * F.lit(x)
+    return grid.withColumn(value, out).drop("_near", "_at", "_n")
+
+
+def gaussian(grid: DataFrame, sigma: float) -> DataFrame:
+    """Separable Gaussian blur, reflected at the edges; a kernel of radius 0 is no step at all in the plan."""
+    w = gaussian_kernel(sigma)
+    return blurred(blurred(grid, True, w), False, w)
 
 
 def unsharp(grid: DataFrame, amount: float = 0.5) -> DataFrame:
@@ -193,6 +176,88 @@ def contours(grid: DataFrame, step: float) -> DataFrame:
     return g.select("grid_id", level.alias("level"), "r", "c", (F.col("c") + (level - F.col("z")) / (F.col("z1") - F.col("z"))).alias("x"))
 
 
+def contour_segments(grid: DataFrame, step: float, major: float | None = None) -> DataFrame:
+    """grid_id, level, r, c, x1, y1, x2, y2, major: pieces of lines of constant height in each square of four
+    nodes (c to c + 1, r to r + 1), in cells. A level is crossed where one node lies below it and the other
+    does not; in a saddle, the mean of the nodes decides which corners belong together.
+    """
+    major = 5 * step if major is None else major
+    g = grid.select("grid_id", "r", "c", "z", F.lead("z").over(along_row()).alias("zr"))
+    g = g.select("*", F.lead("z").over(along_column()).alias("zu"), F.lead("zr").over(along_column()).alias("zur"))
+    g = g.where("z is not null and zr is not null and zu is not null and zur is not null")
+    low, high = F.least("z", "zr", "zu", "zur"), F.greatest("z", "zr", "zu", "zur")
+    first, last = F.floor(low / step).cast("int") + 1, F.floor(high / step).cast("int")
+    g = g.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k")).withColumn("level", F.col("k") * float(step))
+    above = lambda z: F.col(z) >= F.col("level")
+
+    def crossing(a, b, x, y):
+        return F.when(above(a) != above(b), F.struct(x((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("x"), y((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("y")))
+
+    c, r = F.col("c").cast("double"), F.col("r").cast("double")
+    bottom = crossing("z", "zr", lambda t: c + t, lambda t: r)
+    right = crossing("zr", "zur", lambda t: c + 1, lambda t: r + t)
+    top = crossing("zu", "zur", lambda t: c + t, lambda t: r + 1)
+    left = crossing("z", "zu", lambda t: c, lambda t: r + t)
+    g = g.select("grid_id", "level", "r", "c", bottom.alias("b"), right.alias("e"), top.alias("t"), left.alias("l"), ((F.col("z") + F.col("zr") + F.col("zu") + F.col("zur")) / 4 >= F.col("level")).alias("mid"), above("z").alias("corner"))
+    line = lambda p, q: F.struct(F.col(p).alias("p"), F.col(q).alias("q"))
+    saddle = F.when(F.col("mid") == F.col("corner"), F.array(line("b", "e"), line("l", "t"))).otherwise(F.array(line("l", "b"), line("e", "t")))
+    ends = F.filter(F.array("l", "b", "e", "t"), lambda p: p.isNotNull())
+    lines = F.when(F.size(ends) == 4, saddle).otherwise(F.array(F.struct(ends[0].alias("p"), F.element_at(ends, 2).alias("q"))))
+    g = g.where(F.size(ends) >= 2).select("grid_id", "level", "r", "c", F.explode(lines).alias("s"))
+    ratio = F.col("level") / float(major)
+    return g.select("grid_id", "level", "r", "c", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), (F.abs(ratio - F.round(ratio)) < 1e-6).alias("major"))
+
+
+def resize_weights(size: int, to: int, kernel: str) -> list[tuple[int, int, float]]:
+    """(new place, old place, weight) of a resampling along one side. The kernel widens when the side shrinks, and
+    weights are scaled to a sum of one where the edge cuts it off."""
+    reach, f = KERNELS[kernel]
+    scale = size / to
+    wide = max(scale, 1.0)
+    out = []
+    for i in range(to):
+        centre = (i + 0.5) * scale
+        taps = range(max(0, int(centre - reach * wide + 0.5)), min(size, int(centre + reach * wide + 0.5)))
+        w = [f((k - centre + 0.5) / wide) for k in taps]
+        out += [(i, k, x / sum(w)) for k, x in zip(taps, w, strict=True) if x]
+    return out
+
+
+def _bicubic(x: float) -> float:
+    x = abs(x)
+    return (1.5 * x - 2.5) * x * x + 1 if x < 1 else ((-0.5 * x + 2.5) * x - 4) * x + 2 if x < 2 else 0.0
+
+
+def _lanczos(x: float) -> float:
+    return 1.0 if x == 0 else math.sin(math.pi * x) * math.sin(math.pi * x / 3) / (math.pi * math.pi * x * x / 3) if abs(x) < 3 else 0.0
+
+
+#: Reach and curve of the resampling kernels.
+KERNELS = {"bicubic": (2.0, _bicubic), "lanczos": (3.0, _lanczos)}
+
+
+def resized(grid: DataFrame, shape: tuple[int, int], to: tuple[int, int], kernel: str = "bicubic", values: tuple[str, ...] = ("z",)) -> DataFrame:
+    """The grid at another size (rows, columns): one weighted sum along each row, then one along each column.
+
+    Each is a join with a table of weights, a few for each new row or column, so it is broadcast.
+    """
+
+    def along(g: DataFrame, side: str, other: str, size: int, n: int) -> DataFrame:
+        weights = grid.sparkSession.createDataFrame(resize_weights(size, n, kernel), f"_new int, {side} int, _w double")
+        g = g.join(F.broadcast(weights), side).groupBy("grid_id", other, "_new").agg(*(F.sum(F.col(v) * F.col("_w")).alias(v) for v in values))
+        return g.withColumnRenamed("_new", side)
+
+    return along(along(grid.select("grid_id", "r", "c", *values), "c", "r", shape[1], to[1]), "r", "c", shape[0], to[0])
+
+
+def warped(grid: DataFrame, at: DataFrame, n: int, origin: tuple[float, float], cell: float, keys: list[str], zone: int = 32) -> DataFrame:
+    """Cubic height at places (grid_id, lat, lon) from a grid in UTM metres whose node (0, 0) lies at `origin` (east,
+    north); NULL outside."""
+    east, north = utm(F.col("lat"), F.col("lon"), zone)
+    p = at.select(*keys, "grid_id", ((east - origin[0]) / cell).alias("x"), ((north - origin[1]) / cell).alias("y"))
+    return cubic(grid, p, n, keys)
+
+
 def percentile_bounds(grid: DataFrame, low: float = 0.02, high: float = 0.98, approximate: bool = False) -> DataFrame:
     """Interpolated percentiles of each grid; 0 where it has no heights. approximate: a bounded sketch."""
     f = F.percentile_approx if approximate else F.percentile
@@ -202,9 +267,8 @@ def percentile_bounds(grid: DataFrame, low: float = 0.02, high: float = 0.98, ap
 
 def mesh_vertices(grid: DataFrame, n: int, width: float, depth: float, exaggeration: float) -> DataFrame:
     """Scene position and texture place of every node."""
-    least = F.min("z").over(whole_grid())
     u, v = F.col("c") / float(n - 1), F.col("r") / float(n - 1)
-    return grid.select("grid_id", "r", "c", (u * width - width / 2).alias("x"), ((F.col("z") - least) * exaggeration).alias("y"), (F.lit(depth / 2) - v * depth).alias("zz"), u.alias("u"), v.alias("v"))
+    return with_figures(grid, _low=F.min("z")).select("grid_id", "r", "c", (u * width - width / 2).alias("x"), ((F.col("z") - F.col("_low")) * exaggeration).alias("y"), (F.lit(depth / 2) - v * depth).alias("zz"), u.alias("u"), v.alias("v"))
 
 
 def mesh_triangles(grid: DataFrame, n: int) -> DataFrame:

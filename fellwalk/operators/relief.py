@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, piecewise, u8, u8_cut
-from .raster import whole_grid
+from ..functions.numeric import clamp, lerp, piecewise, u8, u8_cut
+from .raster import with_figures
 
 # Fixed values of the map style.
 AZIMUTHS = (0, 45, 90, 135, 225, 270, 315)
@@ -16,11 +16,15 @@ SLOPE_COLOURS = ((20.0, (244, 226, 130)), (27.0, (237, 167, 64)), (30.0, (224, 9
 HYPSO_KNOTS = (0, 80, 150, 255)
 HYPSO = {"red": (62, 118, 184, 245), "green": (94, 142, 178, 239), "blue": (88, 94, 132, 230)}
 FOREST_CREAM, FOREST_LOW, FOREST_HIGH = (243, 239, 226), (120, 162, 104), (42, 86, 44)
+PAPER_LUMA, PAPER_DRAIN, PAPER_TINT, PAPER_SHARE = (0.299, 0.587, 0.114), 0.55, (1.05, 1.0, 0.88), 0.65
+RELIEF_BASE, RELIEF_SPAN = 0.72, 0.56
+FOREST_GAIN, FOREST_TINT = 6.0, (0.66, 0.92, 0.58)
 CHANNELS = ("red", "green", "blue")
 
 
-def slope_degrees() -> Column:
-    return F.degrees(F.atan(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))))
+def slope_degrees(dx: Column | None = None, dy: Column | None = None) -> Column:
+    dx, dy = F.col("dx") if dx is None else dx, F.col("dy") if dy is None else dy
+    return F.degrees(F.atan(F.sqrt(dx * dx + dy * dy)))
 
 
 def slope_class(degrees: Column) -> Column:
@@ -63,8 +67,8 @@ def normalised(z: Column, low: Column, high: Column) -> Column:
 
 def heightmap(grid: DataFrame) -> DataFrame:
     """Heights as 16-bit numbers between the grid's extremes."""
-    low, high = F.min("z").over(whole_grid()), F.max("z").over(whole_grid())
-    return grid.withColumn("q", F.floor(clamp((F.col("z") - low) / F.greatest(high - low, F.lit(1e-9)), 0.0, 1.0) * 65535 + 0.5).cast("int"))
+    g, low, high = with_figures(grid, _low=F.min("z"), _high=F.max("z")), F.col("_low"), F.col("_high")
+    return g.withColumn("q", F.floor(clamp((F.col("z") - low) / F.greatest(high - low, F.lit(1e-9)), 0.0, 1.0) * 65535 + 0.5).cast("int")).drop("_low", "_high")
 
 
 def normal_map() -> tuple[Column, Column, Column]:
@@ -113,8 +117,7 @@ def enhanced(pixels: DataFrame, saturation: float = 1.45, brightness: float = 0.
     """Saturation against the pixel's luma, brightness against black, contrast against the image's mean luma."""
     p = pixels.withColumn("_l", luma(*map(F.col, CHANNELS)))
     p = p.select("*", *(blend(F.lit(0), blend(F.col("_l"), F.col(c), saturation), brightness).alias(f"_{c}") for c in CHANNELS))
-    pivot = F.floor(F.avg(luma(*(F.col(f"_{c}") for c in CHANNELS))).over(whole_grid()) + 0.5).cast("int")
-    p = p.withColumn("_m", pivot)
+    p = with_figures(p, _m=F.floor(F.avg(luma(*(F.col(f"_{c}") for c in CHANNELS))) + 0.5).cast("int"))
     kept = [c for c in pixels.columns if c not in CHANNELS]
     return p.select(*kept, *(blend(F.col("_m"), F.col(f"_{c}"), contrast).alias(c) for c in CHANNELS))
 
@@ -133,6 +136,23 @@ def baked(pixels: DataFrame, shading: Column) -> DataFrame:
     return pixels.select(*[c for c in pixels.columns if c not in CHANNELS], *(u8_cut(F.col(c) * (clamp(shading, 0.0, 1.0) * 0.78 + 0.5)).alias(c) for c in CHANNELS))
 
 
+def papery(red: Column, green: Column, blue: Column, intensity: Column) -> tuple[Column, ...]:
+    """Map colours (0..1) drained toward their luma and warmed toward cream, where the relief is on."""
+    grey = red * PAPER_LUMA[0] + green * PAPER_LUMA[1] + blue * PAPER_LUMA[2]
+    return tuple(F.when(intensity > 0, lerp(c, lerp(c, grey, F.lit(PAPER_DRAIN)) * tint, F.lit(PAPER_SHARE))).otherwise(c) for c, tint in zip((red, green, blue), PAPER_TINT, strict=True))
+
+
+def relief_factor(relief: Column, contrast: Column, intensity: Column) -> Column:
+    """What the relief (0..1) multiplies colours with: 1 on average, so it neither lightens nor darkens a map."""
+    return lerp(F.lit(1.0), clamp((relief - 0.5) * contrast + 0.5, 0.0, 1.0) * RELIEF_SPAN + RELIEF_BASE, intensity)
+
+
+def forested(rgb: tuple[Column, ...], texel: tuple[Column, ...], intensity: Column) -> tuple[Column, ...]:
+    """Colours with a green tint where the forest layer's green stands out from its other channels."""
+    mask = clamp((texel[1] - F.greatest(texel[0], texel[2])) * FOREST_GAIN, 0.0, 1.0) * intensity
+    return tuple(F.when(intensity > 0, lerp(c, c * tint, mask)).otherwise(c) for c, tint in zip(rgb, FOREST_TINT, strict=True))
+
+
 def mosaic(tiles: DataFrame, tx0: int, ty0: int, size: int, crop: tuple[int, int, int, int]) -> DataFrame:
     """Pixels of tiles (tx, ty, px, py) placed side by side and cropped to (x, y, width, height)."""
     x, y, w, h = crop

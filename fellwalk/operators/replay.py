@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, lerp
+from .fold import ordered_fold
+from .jobs import MOST_POINTS
 from .raster import sampled
 
 # Fixed values of the follow camera, in metres.
@@ -16,17 +20,14 @@ LEAST_DISTANCE, MOST_DISTANCE = 1450.0, 2050.0
 def monotone(points: DataFrame) -> DataFrame:
     """Distances that never fall: one that does not grow is replaced by the one before plus the step in
     space. Ordered fold over (track_id, seq, d, x, y, z)."""
-    p = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "d", "x", "y", "z"))).alias("p"))
-    empty = F.slice(F.transform("p", lambda q: F.struct(q["seq"].alias("seq"), q["d"].alias("d"), q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"))), 1, 1)
 
-    def step(done, q):
-        last = F.element_at(done, -1)
-        gap = F.sqrt(sum(((q[k] - last[k]) * (q[k] - last[k]) for k in "xyz"), F.lit(0.0)))
-        d = F.when(q["d"] > last["d"], q["d"]).otherwise(last["d"] + gap)
-        return F.concat(done, F.array(F.struct(q["seq"].alias("seq"), d.alias("d"), q["x"].alias("x"), q["y"].alias("y"), q["z"].alias("z"))))
+    def step(last, row):
+        d, x, y, z = row
+        if last and not d > last[0]:
+            d = last[0] + math.sqrt((x - last[1]) * (x - last[1]) + (y - last[2]) * (y - last[2]) + (z - last[3]) * (z - last[3]))
+        return d, x, y, z
 
-    out = p.select("track_id", F.explode(F.aggregate(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), empty, step)).alias("q"))
-    return out.select("track_id", "q.seq", "q.d", "q.x", "q.y", "q.z")
+    return ordered_fold(points, "track_id", "seq", ["d", "x", "y", "z"], ["d", "x", "y", "z"], step)
 
 
 def at_distance(points: DataFrame, wanted: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
@@ -114,9 +115,11 @@ def default_camera(width: Column, depth: Column, low: Column, high: Column) -> t
 def nearest_points(places: DataFrame, points: DataFrame) -> DataFrame:
     """place_id, seq, dist: nearest point of one route (x, y), the earliest on ties.
 
-    The route is one track, at most 250,000 points by the import rule, so its array is sent to the places;
-    the places are many and stay where they are.
+    The route is one track. Its points are counted; beyond the import rule's 250,000 it is refused, up to that
+    its array is sent to the places, which are many and stay where they are.
     """
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"a route has at most {MOST_POINTS} points")
     route = points.agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("route"))
     j = places.crossJoin(F.broadcast(route))  # one row
     far = lambda q: F.sqrt((q["x"] - F.col("x")) * (q["x"] - F.col("x")) + (q["y"] - F.col("y")) * (q["y"] - F.col("y")))
@@ -133,14 +136,11 @@ def replay_clock(frames: DataFrame, duration_ms: float = 68_000.0, most_ms: floa
 def damped(frames: DataFrame, damping: float, reset: float = 1100.0, most_s: float = 0.05) -> DataFrame:
     """Value that follows its target (id, seq, dt in seconds, target) exponentially; it jumps where the gap
     exceeds `reset`. Ordered fold over each id's frames."""
-    p = frames.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "dt", "target"))).alias("p"))
-    one = lambda q, v: F.struct(q["seq"].alias("seq"), v.alias("value"))
-    start = F.transform(F.slice("p", 1, 1), lambda q: one(q, q["target"]))
 
-    def step(done, q):
-        last = F.element_at(done, -1)["value"]
-        alpha = F.lit(1.0) - F.exp(F.least(q["dt"], F.lit(most_s)) * -damping)
-        return F.concat(done, F.array(one(q, F.when(F.abs(q["target"] - last) > reset, q["target"]).otherwise(lerp(last, q["target"], alpha)))))
+    def step(last, row):
+        dt, target = row
+        if last is None or abs(target - last[0]) > reset:
+            return (target,)
+        return (last[0] + (target - last[0]) * (1.0 - math.exp(min(dt, most_s) * -damping)),)
 
-    out = p.select("id", F.explode(F.aggregate(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), start, step)).alias("q"))
-    return out.select("id", "q.seq", "q.value")
+    return ordered_fold(frames, "id", "seq", ["dt", "target"], ["value"], step)

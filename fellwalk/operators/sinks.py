@@ -60,11 +60,28 @@ def manifest_json(packages: DataFrame, options: dict[str, str] | None = None) ->
 
 
 def load_package(spark, folder: str) -> DataFrame:
-    """The manifest of an asset folder with its terrain and routes read in; rows without paths are left out."""
-    m = spark.read.json(f"{folder}/manifest.json", multiLine=True).where("terrain.path is not null")
-    r = spark.read.json(f"{folder}/route.json", multiLine=True).select(F.col("id").alias("route_id"), "points")
-    t = spark.read.json(f"{folder}/terrain.json", multiLine=True).select("gridSize", "heights")
-    return m.select("id", F.explode("routes").alias("route")).join(r, F.col("route.id") == F.col("route_id")).crossJoin(t)  # one terrain document
+    """The manifest of an asset folder with its terrain and routes read in. A manifest that names no terrain or no
+    route, and a document that it names but that is not there, are errors."""
+    from pyspark.errors import AnalysisException
+
+    m = spark.read.json(f"{folder}/manifest.json", multiLine=True)
+    has = lambda *path: path[0] in m.columns and (len(path) == 1 or path[1] in getattr(m.schema[path[0]].dataType, "names", ()))
+    row = m.select(F.col("terrain.path") if has("terrain", "path") else F.lit(None).alias("path"), (F.size("routes") if has("routes") else F.lit(0)).alias("routes")).first()
+    if row is None or not row["path"] or row["routes"] < 1:
+        raise ValueError(f"{folder}: the manifest names no {'terrain' if row is None or not row['path'] else 'route'}")
+    paths = [row["path"], *(r["path"] for r in m.select(F.explode("routes.path").alias("path")).collect())]  # a package has a handful
+    found = {}
+    for path in paths:
+        try:
+            found[path] = spark.read.json(f"{folder}/{path}", multiLine=True)
+        except AnalysisException as error:
+            raise ValueError(f"{folder}: {path} is missing") from error
+    routes = [found[p].select(F.lit(p).alias("path"), "points") for p in paths[1:]]
+    r = routes[0]
+    for other in routes[1:]:
+        r = r.unionByName(other)
+    t = found[paths[0]].select("gridSize", "heights")
+    return m.select("id", F.explode("routes").alias("route")).join(r, F.col("route.path") == r["path"]).drop("path").crossJoin(t)  # one terrain document
 
 
 def png(rows: np.ndarray) -> bytes:

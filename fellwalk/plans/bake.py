@@ -26,13 +26,31 @@ def covered(grid: DataFrame, every: int = 16) -> bool:
     return bool(raster.coverage(grid, every).where("covered").limit(1).count())
 
 
-def bake(points: DataFrame, primary: DataFrame, secondary: DataFrame, config: Config, cell_m: float) -> Bake:
+def layers(heights: DataFrame, config: Config, cell_m: float) -> DataFrame:
+    """grid_id, r, c, z, dx, dy, hill, multi, reference, slope, slope_class.
+
+    Shades come from the gradient of the relief surface. Slope has a surface of its own, smoothed by
+    slope_sigma, so that classes do not follow the noise of single cells.
+    """
+    w = raster.gaussian_kernel(config.slope_sigma)
+    rows, columns = raster.along_row(), raster.along_column()
+    g = raster.gaussian(heights.withColumn("_s", F.col("z")), config.relief_sigma)
+    # steps along rows, along columns and along rows again: each run of them shares one exchange and sort
+    g = raster.blurred(g.withColumn("dx", raster.central(rows, cell_m)), True, w, "_s")
+    g = raster.blurred(g.withColumn("dy", raster.central(columns, cell_m)), False, w, "_s")
+    g = g.withColumn("_sy", raster.central(columns, cell_m, "_s")).withColumn("_sx", raster.central(rows, cell_m, "_s"))
+    slope = relief.slope_degrees(F.col("_sx"), F.col("_sy"))
+    g = g.select("grid_id", "r", "c", "z", "dx", "dy", relief.hillshade().alias("hill"), relief.multishade().alias("multi"), relief.reference_shade().alias("reference"), slope.alias("slope"))
+    return g.withColumn("slope_class", relief.slope_class(F.col("slope")))
+
+
+def bake(points: DataFrame, primary: DataFrame, secondary: DataFrame, config: Config, cell_m: float, inner: int | None = None) -> Bake:
+    """One bake. With `inner`, the grids carry an apron of config.edge_pad_cells around inner x inner cells: blurs and
+    gradients see it, the results do not hold it."""
     smooth = track.smoothed(points, config.smooth_horizontal, config.smooth_vertical)
-    if covered(primary):
-        heights = raster.fused(primary, secondary)
-    else:
-        heights = raster.fused(secondary, secondary)
+    heights = raster.fused(primary, secondary) if covered(primary) else raster.fused(secondary, secondary)
     heights = raster.gaussian(heights, config.mesh_sigma)
-    g = raster.gradient(raster.gaussian(heights, config.relief_sigma), cell_m, cell_m)
-    layers = g.select("grid_id", "r", "c", "z", "dx", "dy", relief.hillshade().alias("hill"), relief.multishade().alias("multi"), relief.reference_shade().alias("reference"), relief.slope_degrees().alias("slope"))
-    return Bake(track.route(smooth, config.route_step_m), track.summary(points, config.route_step_m, config.gain_threshold_m), heights, layers.withColumn("slope_class", relief.slope_class(F.col("slope"))))
+    found = layers(heights, config, cell_m)
+    if inner:
+        heights, found = (raster.cropped(x, config.edge_pad_cells, inner) for x in (heights, found))
+    return Bake(track.route(smooth, config.route_step_m), track.summary(points, config.route_step_m, config.gain_threshold_m), heights, found)

@@ -312,6 +312,71 @@ SQL |= {
 }
 
 
+BLURRED = f"WITH k AS (SELECT * FROM (VALUES {KERNEL}) t(o, w)), h AS (SELECT g.grid_id, g.r, g.c, SUM(k.w * n.z) AS z FROM {{dem_grid}} g, k, {{dem_grid}} n WHERE n.grid_id = g.grid_id AND n.r = g.r AND n.c = {mirror('g.c + k.o')} GROUP BY g.grid_id, g.r, g.c), blurred AS (SELECT g.grid_id, g.r, g.c, SUM(k.w * n.z) AS z FROM h g, k, h n WHERE n.grid_id = g.grid_id AND n.c = g.c AND n.r = {mirror('g.r + k.o')} GROUP BY g.grid_id, g.r, g.c)"
+
+
+def resize(rows: int, columns: int, reach: int, kernel: str) -> str:
+    """Resampling of 64 x 64 cells as one weighted sum over all cells near each new one; `kernel` is a curve of d."""
+
+    def side(name: str, n: int) -> str:
+        scale = 64 / n
+        wide = max(scale, 1.0)
+        centre = f"(i + 0.5::DOUBLE) * {f(scale)}"
+        taps = f"SELECT i, k, (k - {centre} + 0.5::DOUBLE) / {f(wide)} AS d FROM range({n}) a(i), range(64) b(k) WHERE k >= CAST(trunc({centre} - {f(reach * wide)} + 0.5::DOUBLE) AS INT) AND k < CAST(trunc({centre} + {f(reach * wide)} + 0.5::DOUBLE) AS INT)"
+        return f"{name} AS (SELECT i, k, w / SUM(w) OVER (PARTITION BY i) AS w FROM (SELECT i, k, {kernel} AS w FROM ({taps})))"
+
+    return f"WITH {side('wy', rows)}, {side('wx', columns)} SELECT grid_id, CAST(wy.i AS INT) AS r, CAST(wx.i AS INT) AS c, {q('SUM(g.z * wx.w * wy.w)', 5)} AS z FROM {{dem_grid}} g JOIN wy ON wy.k = g.r JOIN wx ON wx.k = g.c GROUP BY grid_id, wy.i, wx.i"
+
+
+BICUBIC = "CASE WHEN abs(d) < 1 THEN 1.5::DOUBLE * pow(abs(d), 3) - 2.5::DOUBLE * d * d + 1 WHEN abs(d) < 2 THEN -0.5::DOUBLE * pow(abs(d), 3) + 2.5::DOUBLE * d * d - 4 * abs(d) + 2 ELSE 0::DOUBLE END"
+LANCZOS = "CASE WHEN d = 0 THEN 1::DOUBLE WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0::DOUBLE END"
+
+
+def contour_lines() -> str:
+    """Segments of each square from its edges, joined as a list of the edges that a level crosses."""
+    corners = "SELECT a.grid_id, a.r, a.c, a.z AS z00, b.z AS z01, u.z AS z10, v.z AS z11 FROM {dem_grid} a JOIN {dem_grid} b ON b.grid_id = a.grid_id AND b.r = a.r AND b.c = a.c + 1 JOIN {dem_grid} u ON u.grid_id = a.grid_id AND u.r = a.r + 1 AND u.c = a.c JOIN {dem_grid} v ON v.grid_id = a.grid_id AND v.r = a.r + 1 AND v.c = a.c + 1"
+    levels = "SELECT k, k * 40::DOUBLE AS level FROM range(-200, 200) t(k)"
+    edge = lambda n, a, b, x, y: f"SELECT grid_id, r, c, level, {n} AS e, {x} AS x, {y} AS y FROM s WHERE ({a} >= level) <> ({b} >= level)"
+    t = lambda a, b: f"(level - {a}) / ({b} - {a})"
+    parts = " UNION ALL ".join((edge(0, "z00", "z10", "c::DOUBLE", f"r + {t('z00', 'z10')}"), edge(1, "z00", "z01", f"c + {t('z00', 'z01')}", "r::DOUBLE"), edge(2, "z01", "z11", "c + 1::DOUBLE", f"r + {t('z01', 'z11')}"), edge(3, "z10", "z11", f"c + {t('z10', 'z11')}", "r + 1::DOUBLE")))
+    pair = "list_extract({}, {})"
+    return f"""WITH s AS (SELECT * FROM ({corners}) g JOIN ({levels}) l ON l.level <= greatest(z00, z01, z10, z11) AND l.level > least(z00, z01, z10, z11)),
+      e AS ({parts}), n AS (SELECT grid_id, r, c, level, list({{'x': x, 'y': y}} ORDER BY e) AS p FROM e GROUP BY grid_id, r, c, level),
+      m AS (SELECT n.*, ((z00 + z01 + z10 + z11) / 4 >= n.level) = (z00 >= n.level) AS same FROM n JOIN s ON s.grid_id = n.grid_id AND s.r = n.r AND s.c = n.c AND s.level = n.level),
+      o AS (SELECT grid_id, r, c, level, {pair.format('p', 1)} AS a, {pair.format('p', 2)} AS b FROM m WHERE len(p) = 2
+        UNION ALL SELECT grid_id, r, c, level, CASE WHEN same THEN p[2] ELSE p[1] END, CASE WHEN same THEN p[3] ELSE p[2] END FROM m WHERE len(p) = 4
+        UNION ALL SELECT grid_id, r, c, level, CASE WHEN same THEN p[1] ELSE p[3] END, p[4] FROM m WHERE len(p) = 4)
+      SELECT grid_id, level, r, c, {q('a.x', 6)} AS x1, {q('a.y', 6)} AS y1, {q('b.x', 6)} AS x2, {q('b.y', 6)} AS y2, CAST(level AS BIGINT) % 200 = 0 AS major FROM o"""
+
+
+def paper(c: str, tint: float) -> str:
+    grey = "(red * 0.299::DOUBLE + green * 0.587::DOUBLE + blue * 0.114::DOUBLE)"
+    return f"({c} + (({c} + ({grey} - {c}) * 0.55::DOUBLE) * {f(tint)} - {c}) * 0.65::DOUBLE)"
+
+
+def shader(c: str, tint: float, forest: float) -> str:
+    relief = f"(1 + ({clamp('(relief - 0.5::DOUBLE) * 1.3::DOUBLE + 0.5::DOUBLE', '0::DOUBLE', '1::DOUBLE')} * 0.56::DOUBLE + 0.72::DOUBLE - 1) * 0.8::DOUBLE)"
+    mask = f"({clamp('(fg - greatest(fr, fb)) * 6', '0::DOUBLE', '1::DOUBLE')} * 0.6::DOUBLE)"
+    lit = f"({paper(c, tint)} * {relief})"
+    return q(f"{lit} + ({lit} * {f(forest)} - {lit}) * {mask}", 6)
+
+
+WARP = f"SELECT place_id, ({_E} + 800000) / 30000 AS x, ({_N} - 4600000) / 30000 AS y FROM {{places}}"
+SQL |= {
+    "bake_layers": f"{BLURRED}, s AS (SELECT grid_id, r, c, {SLOPE} AS slope, CAST({CLASS} AS INT) AS slope_class FROM ({grad('blurred', 100.0)})), g AS (SELECT grid_id, r, c, {HILL} AS hill FROM ({grad('{dem_grid}', 100.0)})) SELECT grid_id, r - 8 AS r, c - 8 AS c, {q('hill', 5)} AS hill, {q('slope', 5)} AS slope, slope_class FROM g JOIN s USING (grid_id, r, c) WHERE r BETWEEN 8 AND 55 AND c BETWEEN 8 AND 55",
+    "contour_segments": contour_lines(),
+    "resize_bicubic": resize(40, 27, 2, BICUBIC),
+    "resize_lanczos": resize(24, 96, 3, LANCZOS),
+    "warp_projected": f"WITH a AS ({WARP}), i AS (SELECT * FROM a WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63), s AS (SELECT i.place_id, SUM(({cubic_case('y', 'o.k')}) * ({cubic_case('x', 'p.k')}) * g.z) AS s, SUM(({cubic_case('y', 'o.k')}) * ({cubic_case('x', 'p.k')})) AS w FROM i, range(-1, 3) o(k), range(-1, 3) p(k), {{dem_grid}} g WHERE g.grid_id = 0 AND g.r = least(greatest(CAST(floor(y) AS INT) + o.k, 0), 63) AND g.c = least(greatest(CAST(floor(x) AS INT) + p.k, 0), 63) GROUP BY i.place_id) SELECT a.place_id, CASE WHEN w >= 0.5 THEN {q('s / w', 4)} END AS z FROM a LEFT JOIN s USING (place_id)",
+    "shader_colours": f"SELECT grid_id, py, px, {shader('red', 1.05, 0.66)} AS red, {shader('green', 1.0, 0.92)} AS green, {shader('blue', 0.88, 0.58)} AS blue FROM (SELECT grid_id, py, px, red / 255::DOUBLE AS red, green / 255::DOUBLE AS green, blue / 255::DOUBLE AS blue, (px * 3 + py * 5) % 256 / 255::DOUBLE AS relief, px * 7 % 256 / 255::DOUBLE AS fr, (py * 11 + 90) % 256 / 255::DOUBLE AS fg, (px + py) % 256 / 255::DOUBLE AS fb FROM {{pixels}})",
+    "layer_lookup": "SELECT page_id, COALESCE((SELECT label FROM (VALUES ('ultra', 'Topo'), ('high', 'Slope'), ('fast', 'Forest')) t(id, label) WHERE id = quality), 'Topo') AS label FROM {uploads}",
+    "newest_first": "SELECT a.job_id, a.seq, CAST(COUNT(*) AS INT) AS place FROM {job_events} a JOIN {job_events} b ON b.job_id = a.job_id AND b.kind = 'finish' AND b.seq >= a.seq WHERE a.kind = 'finish' GROUP BY a.job_id, a.seq",
+    "coordinate_labels": f"SELECT track_id, printf('%.2f, %.2f', {q('(la_lo + la_hi) / 2', 6)}, {q('(lo_lo + lo_hi) / 2', 6)}) AS centre, concat(CAST(CAST(floor({q('(lo_hi - lo_lo) * 100000', 3)} + 0.5::DOUBLE) AS BIGINT) AS VARCHAR), ', ', CAST(CAST(floor({q('(la_hi - la_lo) * -100000', 3)} + 0.5::DOUBLE) AS BIGINT) AS VARCHAR)) AS vector FROM ({bounds(0.0).replace('track_points', '{track_points}')})",
+    "log_details": "SELECT job_id, line_no, left(trim(line), 160) AS detail FROM {log_lines} WHERE NOT regexp_matches(trim(line), '^progress:(\\d+)\\s+(.*)$') AND trim(line) <> ''",
+    "gpx_errors": "SELECT track_id, CAST(len(regexp_extract_all(text, '<ele>')) AS INT) AS n, CASE WHEN len(regexp_extract_all(text, '<ele>')) < 2 THEN 'fewer than two points' ELSE '' END AS error FROM {gpx_docs}",
+}
+
+
 def _views(sql: str) -> str:
     # struct literals of DuckDB also use braces; only names of views are replaced
     return with_views(sql)

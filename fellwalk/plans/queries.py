@@ -12,11 +12,16 @@ from ..functions.numeric import clamp, fit_inside, rounded
 from ..operators import jobs, overlay, raster, relief, replay, sinks, track
 from ..sources import gpx
 from ..sources.views import read
+from . import bake
+from .config import Config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Cells of the analogue rasters on a side, and their spacing.
 N, CELL = 64, 100.0
 CLIP = (6.97, 44.97, 7.03, 45.03)
+#: A made-up projected raster over all places, and the viewer's choices of layers.
+WARP_ORIGIN, WARP_CELL = (-800_000.0, 4_600_000.0), 30_000.0
+LAYERS = [("ultra", "Topo"), ("high", "Slope"), ("fast", "Forest")]
 
 
 def query(*views: str):
@@ -248,7 +253,7 @@ def slope_rgb(g):
 
 @query("dem_grid")
 def hypso_tint(g):
-    s = _steep(g).withColumn("u8", relief.normalised(F.col("z"), F.min("z").over(raster.whole_grid()), F.max("z").over(raster.whole_grid())))
+    s = raster.with_figures(_steep(g), low=F.min("z"), high=F.max("z")).withColumn("u8", relief.normalised(F.col("z"), F.col("low"), F.col("high")))
     return _rgb(raster.flipped(s, N), relief.hypso_rgb(F.col("u8"), relief.reference_shade()), "grid_id", "r", "c")
 
 
@@ -615,6 +620,76 @@ def normal_png(g):
     return sinks.images(_rgb(_steep(g), relief.normal_map(), "grid_id", "r", "c"), list(relief.CHANNELS))
 
 
+# --- bake layers, contours, resizing, viewer
+
+
+@query("dem_grid")
+def bake_layers(g):
+    """Relief of a bake without its apron: shade from the heights, slope from a surface smoothed for it."""
+    out = raster.cropped(bake.layers(g, Config(edge_pad_cells=8), CELL), 8, N - 16)
+    return _rounded(out.select("grid_id", "r", "c", "hill", "slope", "slope_class"), 5, "hill", "slope")
+
+
+@query("dem_grid")
+def contour_segments(g):
+    return _rounded(raster.contour_segments(g, 40.0, 200.0), 6, "x1", "y1", "x2", "y2")
+
+
+@query("dem_grid")
+def resize_bicubic(g):
+    return _rounded(raster.resized(g, (N, N), (40, 27), "bicubic"), 5, "z")
+
+
+@query("dem_grid")
+def resize_lanczos(g):
+    return _rounded(raster.resized(g, (N, N), (24, 96), "lanczos"), 5, "z")
+
+
+@query("dem_grid", "places")
+def warp_projected(g, p):
+    """Heights at places from a grid whose nodes lie in UTM metres."""
+    at = p.select("place_id", F.lit(0).alias("grid_id"), "lat", "lon")
+    return _rounded(raster.warped(g, at, N, WARP_ORIGIN, WARP_CELL, ["place_id"]), 4, "z")
+
+
+@query("pixels")
+def shader_colours(p):
+    """Map colours under relief and forest as the viewer mixes them."""
+    unit = lambda c: F.pmod(c, F.lit(256)).cast("double") / 255.0
+    x, y = F.col("px"), F.col("py")
+    rgb = relief.papery(*(F.col(c).cast("double") / 255.0 for c in relief.CHANNELS), F.lit(0.8))
+    factor = relief.relief_factor(unit(x * 3 + y * 5), F.lit(1.3), F.lit(0.8))
+    out = relief.forested(tuple(c * factor for c in rgb), (unit(x * 7), unit(y * 11 + 90), unit(x + y)), F.lit(0.6))
+    return _rounded(_rgb(p, out, "grid_id", "py", "px"), 6, *relief.CHANNELS)
+
+
+@query("uploads")
+def layer_lookup(u):
+    return u.select("page_id", jobs.looked_up(u, "quality", LAYERS).alias("label"))
+
+
+@query("job_events")
+def newest_first(e):
+    return jobs.newest_first(e.where("kind = 'finish'").select("job_id", "seq"), "job_id", "seq")
+
+
+@query("track_points")
+def coordinate_labels(p):
+    b = track.bounds(p)
+    position = [(F.col("lo_hi") - F.col("lo_lo")) * 100_000.0, (F.col("la_hi") - F.col("la_lo")) * -100_000.0]
+    return b.select("track_id", text.coordinate_label(rounded((F.col("la_lo") + F.col("la_hi")) / 2, 6), rounded((F.col("lo_lo") + F.col("lo_hi")) / 2, 6), digits=2).alias("centre"), text.vector_label(*(rounded(v, 3) for v in position)).alias("vector"))
+
+
+@query("log_lines")
+def log_details(lines):
+    return jobs.details(lines)
+
+
+@query("gpx_docs")
+def gpx_errors(d):
+    return gpx.point_errors(d, "track_id")
+
+
 def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state fold as a stream over a written log; the same rows as job_state."""
     import tempfile
@@ -623,10 +698,10 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.jobs import replay as run
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fellwalk-stream-")
-    log = f"{shared}/job-log-{uuid.uuid4().hex}"
+    folder = f"{shared}/job-log-{uuid.uuid4().hex}"
     events = read(spark, sf_dir, "job_events").select("job_id", "seq", "kind", "pct")
-    events.coalesce(1).write.parquet(log)
-    return run(spark.read.parquet(log), spark, f"job_states_{uuid.uuid4().hex}", log)
+    events.repartition("job_id").write.parquet(f"{folder}/log")  # a job's events are in one file
+    return run(spark.read.parquet(f"{folder}/log"), spark, folder, f"{folder}/log")
 
 
 QUERIES["job_stream"] = job_stream

@@ -29,7 +29,9 @@ def step(state: tuple[str, int], kind: str, pct: int) -> tuple[str, int]:
 
 
 def job_states(events: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Stream of (job_id, seq, kind, pct) to a stream of (job_id, status, progress) after each batch. The state
+    """Stream of (job_id, seq, kind, pct) to a stream of (job_id, status, progress) after each batch. Events of a
+    job must come in order across batches (one file or partition of the log for each job); inside a batch they
+    are sorted. The state
     of a job that hears nothing for ttl_ms is dropped; without ttl_ms it stays. A timeout keeps a query running
     even when its input has ended, so a replay of a finished log has none."""
 
@@ -54,10 +56,16 @@ def first_uploads(uploads: DataFrame, event_time: str, late: str = "1 hour") ->
     return with_job_id(uploads).withWatermark(event_time, late).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def replay(events: DataFrame, spark, name: str, source: str) -> DataFrame:
-    """Runs the fold over files of a finished log and returns the last state of each job."""
+def replay(events: DataFrame, spark, folder: str, source: str) -> DataFrame:
+    """Runs the fold over files of a finished log, each job's events in one file, and returns the last state of
+    each job. States are written as Parquet under `folder`."""
     stream = spark.readStream.schema(events.schema).parquet(source)
-    query = job_states(stream, None).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")  # a batch that runs again replaces its own
+
+    query = job_states(stream, None).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     rank = F.col("progress") + F.when(F.col("status").isin("error", "ready"), 1000).otherwise(0)  # an end is last
-    return spark.table(name).groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), rank).alias("s")).select("job_id", "s.status", "s.progress")
+    states = spark.read.schema("job_id long, status string, progress int").parquet(f"{folder}/states")
+    return states.groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), rank).alias("s")).select("job_id", "s.status", "s.progress")

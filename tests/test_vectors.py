@@ -2,6 +2,8 @@
 
 import json
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from fellwalk.functions import geo, numeric, text
 from fellwalk.operators import jobs, overlay, raster, relief, replay, sinks, track
 from fellwalk.plans.bake import bake
+from fellwalk.plans.bake import layers as bake_layers
 from fellwalk.plans.config import Config
 from fellwalk.sources import gpx, grids
 
@@ -224,7 +227,7 @@ def test_bake(spark):
     b = bake(line(spark, [(45 + i * 1e-4, 7, 1000 + i) for i in range(80)]), grid(spark, z), grid(spark, z), Config(route_step_m=50.0), 10.0)
     assert b.route.count() > 2 and b.summary.first().points == 80
     r = b.relief.toPandas()
-    assert np.allclose(r["slope"], math.degrees(math.atan(math.hypot(0.3, 0.2)))) and r["hill"].between(0, 1).all()
+    assert np.allclose(back(b.relief, "slope")[3:-3, 3:-3], math.degrees(math.atan(math.hypot(0.3, 0.2)))) and r["hill"].between(0, 1).all()
 
 
 def test_one_exchange_for_track_windows(spark):
@@ -245,3 +248,95 @@ def test_entry_without_the_optional_part(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert out.stdout.split()[1:] == ["False", "True"]
+
+
+def test_slope_has_a_surface_of_its_own(spark):
+    """On a rough grid, classes come from the blurred surface and shades from the heights themselves."""
+    z = np.random.default_rng(3).normal(1000, 30, (24, 24))
+    got = {(r.r, r.c): r for r in bake_layers(grid(spark, z), Config(), 10.0).collect()}
+
+    def steep(a):
+        dy, dx = np.gradient(a, 10.0)
+        return np.degrees(np.arctan(np.hypot(dx, dy)))
+
+    w = np.array(raster.gaussian_kernel(0.6))
+    blur = lambda a, axis: np.apply_along_axis(lambda v: np.convolve(np.pad(v, 2, "symmetric"), w, "valid"), axis, a)
+    smooth, rough = steep(blur(blur(z, 0), 1)), steep(z)
+    assert all(abs(got[r, c].slope - smooth[r, c]) < 1e-6 for r in range(24) for c in range(24))
+    assert np.abs(smooth - rough).max() > 5
+
+
+def test_apron_makes_crops_equal(spark):
+    """Two crops of one surface that overlap agree where they do: edges are taken with their neighbours."""
+    z = np.random.default_rng(4).normal(1000, 30, (40, 40))
+    whole = {(r.r, r.c): (r.hill, r.slope) for r in bake_layers(grid(spark, z), Config(), 10.0).collect()}
+    points = line(spark, [(45 + i * 1e-4, 7, 1000 + i) for i in range(80)])
+    b = bake(points, grid(spark, z), grid(spark, z), Config(edge_pad_cells=8), 10.0, inner=24)
+    part = {(r.r, r.c): (r.hill, r.slope) for r in b.relief.collect()}
+    assert len(part) == 24 * 24 and all(part[r, c] == whole[r + 8, c + 8] for r, c in part)
+
+
+def test_contours_are_closed_around_a_peak(spark):
+    """Each end of a segment inside the grid is the end of just one other, saddles included."""
+    y, x = np.mgrid[0:12, 0:12]
+    z = 100 * np.exp(-((x - 4) ** 2 + (y - 6) ** 2) / 9) + 80 * np.exp(-((x - 8) ** 2 + (y - 5) ** 2) / 6) + 0.01 * x
+    z[9:11, 2:4] = [[33.3, 0.1], [0.2, 32.9]]
+    ends = Counter()
+    rows = raster.contour_segments(grid(spark, z), 10.0, 50.0).collect()
+    for s in rows:
+        for p in ((s.x1, s.y1), (s.x2, s.y2)):
+            ends[s.level, round(p[0], 9), round(p[1], 9)] += 1
+    inner = {k: n for k, n in ends.items() if 0 < k[1] < 11 and 0 < k[2] < 11}
+    assert inner and set(inner.values()) == {2} and {s.level for s in rows if s.major} == {50.0}
+
+
+def test_resizing(spark):
+    z = np.random.default_rng(2).normal(0, 1, (8, 8))
+    for kernel in raster.KERNELS:
+        assert np.allclose(back(raster.resized(grid(spark, z), (8, 8), (8, 8), kernel)), z)
+        assert np.allclose(back(raster.resized(grid(spark, np.full((8, 8), 7.0)), (8, 8), (5, 13), kernel)), 7)
+        for size, to in ((8, 3), (8, 20)):
+            sums = Counter()
+            for i, _, w in raster.resize_weights(size, to, kernel):
+                sums[i] += w
+            assert len(sums) == to and all(abs(w - 1) < 1e-12 for w in sums.values())
+
+
+def test_packages_with_missing_parts(spark, tmp_path):
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+
+    put("manifest.json", '{"id": "a", "terrain": {"path": "terrain.json"}, "routes": [{"id": "r", "path": "route.json"}]}')
+    put("terrain.json", '{"gridSize": 2, "heights": [1, 2, 3, 4]}')
+    with pytest.raises(ValueError, match="route.json is missing"):
+        sinks.load_package(spark, f"file://{tmp_path}")
+    put("route.json", '{"id": "r", "points": [{"x": 1.0}]}')
+    (got,) = sinks.load_package(spark, f"file://{tmp_path}").collect()
+    assert got.id == "a" and got.gridSize == 2 and got.heights == [1, 2, 3, 4] and len(got.points) == 1
+    put("manifest.json", '{"id": "a", "terrain": {"path": null}, "routes": []}')
+    with pytest.raises(ValueError, match="names no"):
+        sinks.load_package(spark, f"file://{tmp_path}")
+
+
+def test_upload_limit_and_route_limit(spark, monkeypatch):
+    rows = spark.createDataFrame([("multipart/form-data; boundary=XX", "x" * 200)], "content_type string, body string")
+    assert gpx.uploads(rows, 100).first().error == "too large" and gpx.uploads(rows).first().error == "no file"
+    monkeypatch.setattr(replay, "MOST_POINTS", 3)
+    route = spark.createDataFrame([(i, float(i), 0.0) for i in range(4)], "seq int, x double, y double")
+    with pytest.raises(ValueError, match="at most 3"):
+        replay.nearest_points(spark.createDataFrame([(1, 0.0, 0.0)], "place_id long, x double, y double"), route)
+
+
+def test_folds_stream_over_long_tracks(spark):
+    n = 60_000
+    rows = spark.range(2 * n).select((F.col("id") % 2).alias("track_id"), (F.col("id") / 2).cast("int").alias("seq"))
+    rows = rows.select("*", F.when(F.col("seq") % 5 == 3, 0.0).otherwise(F.col("seq") * 2.0).alias("d"), (F.col("seq") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    got = replay.monotone(rows).groupBy("track_id").agg(F.count("*").alias("n"), F.max("d").alias("d"), F.sum((F.col("seq") % 5 == 3).cast("int") * (F.col("d") - 2 * F.col("seq") + 1)).alias("off")).collect()
+    assert [(r.n, r.d, r.off) for r in got] == [(n, 2.0 * (n - 1), 0.0)] * 2
+
+
+def test_no_grid_goes_through_one_task(spark):
+    g = grid(spark, np.zeros((6, 6)))
+    for df in (raster.gaussian(g, 0.6), raster.fused(g, g), relief.heightmap(g), raster.mesh_vertices(g, 6, 1.0, 1.0, 1.0)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"windowspecdefinition\(grid_id#\d+, (r#\d+ ASC|c#\d+ ASC|specified)", plan)
