@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Tokens, chunks, table
+from .common import SPACES, Tokens, chunks, labelled, table
 
 #: Base columns and the shapes the trees look at; the sign is the monotonic constraint on "good".
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
