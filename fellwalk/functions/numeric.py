@@ -34,11 +34,11 @@ def u8_cut(x: Column) -> Column:
 
 
 def piecewise(x: Column, knots: Sequence[float], values: Sequence[float]) -> Column:
-    """Straight lines between the knots, constant beyond the ends."""
-    out = F.when(x <= knots[0], F.lit(float(values[0])))
+    """Straight lines between the knots, constant beyond the ends: a sum of ramps, which names x once a stretch."""
+    out = F.lit(float(values[0]))
     for k0, k1, v0, v1 in zip(knots, knots[1:], values, values[1:], strict=False):
-        out = out.when(x <= k1, F.lit(float(v0)) + (x - float(k0)) / float(k1 - k0) * float(v1 - v0))
-    return out.otherwise(F.lit(float(values[-1])))
+        out = out + clamp(x - float(k0), 0.0, float(k1 - k0)) / float(k1 - k0) * float(v1 - v0)
+    return out
 
 
 def fit_inside(width: Column, height: Column, most_width: float, most_height: float) -> Column:

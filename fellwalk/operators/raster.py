@@ -85,16 +85,20 @@ def cubic(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
     return at.select(*keys).join(s, keys, "left").select(*keys, F.when(F.col("_t") >= 0.5, F.col("_s") / F.col("_t")).alias("z"))
 
 
-def central(order, cell: float, value: str = "z") -> Column:
-    """Change of a value along a window per metre: central differences inside, one-sided at the ends, 0 alone."""
-    z, before, after = F.col(value), F.lag(value).over(order), F.lead(value).over(order)
-    has_before, has_after = F.lag(F.lit(1)).over(order).isNotNull(), F.lead(F.lit(1)).over(order).isNotNull()
-    return F.when(has_before & has_after, (after - before) / (2 * cell)).when(has_after, (after - z) / cell).when(has_before, (z - before) / cell).otherwise(F.lit(0.0))
+def central(grid: DataFrame, rows: bool, cell: float, name: str, value: str = "z") -> DataFrame:
+    """Adds the change of a value along the rows or the columns per metre: central differences inside, one-sided at
+    the ends, 0 along a side of one cell. Neighbours are columns first, so that each is fetched once."""
+    order, along = (along_row(), "c") if rows else (along_column(), "r")
+    g = grid.select("*", *(f(c).over(order).alias(n + k) for f, n in ((F.lag, "_b"), (F.lead, "_a")) for c, k in ((value, "z"), (along, "n"))))
+    before, after = F.col("_bn").isNotNull(), F.col("_an").isNotNull()
+    rise = F.when(after, F.col("_az")).otherwise(F.col(value)) - F.when(before, F.col("_bz")).otherwise(F.col(value))
+    run = F.when(before & after, 2 * cell).otherwise(float(cell))
+    return g.withColumn(name, F.when(before | after, rise / run).otherwise(0.0)).drop("_bz", "_bn", "_az", "_an")
 
 
 def gradient(grid: DataFrame, cell_x: float = 1.0, cell_y: float = 1.0) -> DataFrame:
     """dx, dy: central differences inside, one-sided at the edges, 0 along a side of one cell."""
-    return grid.withColumn("dx", central(along_row(), cell_x)).withColumn("dy", central(along_column(), cell_y))
+    return central(central(grid, True, cell_x, "dx"), False, cell_y, "dy")
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -106,12 +110,13 @@ def gaussian_kernel(sigma: float) -> list[float]:
 def blurred(grid: DataFrame, rows: bool, w: list[float], value: str = "z") -> DataFrame:
     """One pass of a blur with weights w, along the rows or the columns. Each cell takes its neighbours by lag and
     lead, and those beyond an edge from the mirrored place, which is never farther than the kernel reaches."""
-    order, line = (along_row(), "r") if rows else (along_column(), "c")
+    order = along_row() if rows else along_column()
     radius = len(w) // 2
     if not radius:
         return grid
     near = F.array(*(F.lag(value, -o).over(order) if o else F.col(value) for o in range(-radius, radius + 1)))
-    grid = grid.withColumn("_near", near).withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("grid_id", line)))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the same order: one window step for all
+    grid = grid.select("*", near.alias("_near"), (F.row_number().over(order) - 1).alias("_at"), F.count("*").over(whole).cast("int").alias("_n"))
     out = F.lit(0.0)
     for k, x in enumerate(w):
         j = F.pmod(F.col("_at") + (k - radius), F.col("_n") * 2)

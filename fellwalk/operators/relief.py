@@ -79,14 +79,12 @@ def normal_map() -> tuple[Column, Column, Column]:
 
 
 def slope_rgb(degrees: Column, multi: Column) -> tuple[Column, ...]:
-    """Grey shading below the first class limit, the class colour times the shading above."""
-    out = []
-    for k in range(3):
-        c = normalised(multi, F.lit(0.0), F.lit(1.0))
-        for limit, colour in SLOPE_COLOURS:
-            c = F.when(degrees >= limit, u8(F.lit(float(colour[k])) * (multi * 0.34 + 0.72))).otherwise(c)
-        out.append(c)
-    return tuple(out)
+    """Grey shading below the first class limit, the class colour times the shading above. Colours are looked up by
+    class: chains of conditions for each channel make code too long for the JVM to compile."""
+    at = slope_class(degrees)
+    colour = lambda k: F.element_at(F.array(*(F.lit(float(rgb[k])) for rgb in ((255, 255, 255), *(c for _, c in SLOPE_COLOURS)))), at + 1)
+    factor = F.when(at > 0, multi * 0.34 + 0.72).otherwise(multi)
+    return tuple(u8(colour(k) * factor) for k in range(3))
 
 
 def hypso_rgb(height_u8: Column, reference: Column) -> tuple[Column, ...]:

@@ -142,8 +142,22 @@ def images(pixels: DataFrame, values: list[str], deep: bool = False) -> DataFram
     return rows.mapInArrow(encode, "grid_id int, png binary")
 
 
+def image_pixels(images: DataFrame, values: list[str]) -> DataFrame:
+    """grid_id, r, c and the channels of (grid_id, png), r counted from the top: images() read back. Bytes that are
+    no PNG raise an error, as a package must not hold them."""
+
+    def decode(batches):
+        for b in batches:
+            for grid_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                z = unpng(data)
+                z = z.reshape(*z.shape[:2], -1).astype(np.int32)
+                r, c = np.divmod(np.arange(z.shape[0] * z.shape[1], dtype=np.int32), np.int32(z.shape[1]))
+                flat = z.reshape(len(r), -1).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), grid_id, np.int32)), pa.array(r), pa.array(c), *(pa.array(np.ascontiguousarray(v)) for v in flat)], ["grid_id", "r", "c", *values])
+
+    return images.select("grid_id", "png").mapInArrow(decode, f"grid_id int, r int, c int, {', '.join(f'{v} int' for v in values)}")
+
+
 def build_log(lines: DataFrame, path: str) -> None:
     """Log lines as text files, a folder for each job."""
     lines.select("job_id", "line").write.partitionBy("job_id").mode("append").text(path)
-
-

@@ -33,12 +33,11 @@ def layers(heights: DataFrame, config: Config, cell_m: float) -> DataFrame:
     slope_sigma, so that classes do not follow the noise of single cells.
     """
     w = raster.gaussian_kernel(config.slope_sigma)
-    rows, columns = raster.along_row(), raster.along_column()
     g = raster.gaussian(heights.withColumn("_s", F.col("z")), config.relief_sigma)
     # steps along rows, along columns and along rows again: each run of them shares one exchange and sort
-    g = raster.blurred(g.withColumn("dx", raster.central(rows, cell_m)), True, w, "_s")
-    g = raster.blurred(g.withColumn("dy", raster.central(columns, cell_m)), False, w, "_s")
-    g = g.withColumn("_sy", raster.central(columns, cell_m, "_s")).withColumn("_sx", raster.central(rows, cell_m, "_s"))
+    g = raster.blurred(raster.central(g, True, cell_m, "dx"), True, w, "_s")
+    g = raster.blurred(raster.central(g, False, cell_m, "dy"), False, w, "_s")
+    g = raster.central(raster.central(g, False, cell_m, "_sy", "_s"), True, cell_m, "_sx", "_s")
     slope = relief.slope_degrees(F.col("_sx"), F.col("_sy"))
     g = g.select("grid_id", "r", "c", "z", "dx", "dy", relief.hillshade().alias("hill"), relief.multishade().alias("multi"), relief.reference_shade().alias("reference"), slope.alias("slope"))
     return g.withColumn("slope_class", relief.slope_class(F.col("slope")))

@@ -377,6 +377,44 @@ SQL |= {
 }
 
 
+def document(**parts: str) -> str:
+    return "CAST(to_json({" + ", ".join(f"'{k}': {v}" for k, v in parts.items()) + "}) AS VARCHAR)"
+
+
+_SUMMARY = SQL["route_summary"].replace("{track_points}", "track_points")
+_XYZ = {"x": f"radians(lon - lo_lo) * cos(radians(lat0)) * {R}", "y": f"radians(lat - la_lo) * {R}", "z": "ele", "d": "d"}
+_POINT = ", ".join(f"'{k}': {q(x, 2)}" for k, x in _XYZ.items()) + f", 'lat': {q('lat', 7)}, 'lon': {q('lon', 7)}"
+_SHOWN = f"SELECT * FROM ({distance(f'(SELECT track_id, seq, lat, lon, ele FROM ({simplified(distance("{track_points}"), 100)}))')}) JOIN ({bounds()}) USING (track_id)"
+_BORDER_AT = f"SELECT line_id, run, vseq, 0 AS grid_id, (lon - 6.97::DOUBLE) / {f(7.03 - 6.97)} * 63 AS x, (lat - 44.97::DOUBLE) / {f(45.03 - 44.97)} * 63 AS y FROM runs"
+_LAYERS = "{" + ", ".join(f"'{k}': 'terrain-{k}.png'" for k in ("hillshade", "multishade", "slope", "hypso", "normal")) + ", 'forest': NULL}"
+
+
+def camera(*places: str) -> str:
+    return "[" + ", ".join(q(x, 2) for x in places) + "]"
+
+
+SQL |= {
+    "route_json": f"WITH pts AS (SELECT track_id, list({{{_POINT}}} ORDER BY seq) AS pts FROM ({_SHOWN}) GROUP BY track_id) SELECT track_id, "
+    + document(id="CAST(track_id AS VARCHAR)", distanceKm="km", elevationGainM="gain", minElevationM="min_e", maxElevationM="max_e", pointCount="points", displayPointCount="len(pts)", points="pts")
+    + f" AS json FROM pts JOIN ({_SUMMARY}) USING (track_id)",
+    "terrain_json": f"WITH g AS (SELECT grid_id, list({q('z', 3)} ORDER BY r, c) AS h FROM {{dem_grid}} GROUP BY grid_id) SELECT grid_id, "
+    + document(gridSize="64", widthM="6300::DOUBLE", depthM="6300::DOUBLE", minHeightM="list_min(h)", maxHeightM="list_max(h)", heights="h")
+    + " AS json FROM g",
+    "manifest_json": f"WITH b AS (SELECT track_id, {q(f'radians(lo_hi - lo_lo) * cos(radians(lat0)) * {R}', 2)} AS w, {q(f'radians(la_hi - la_lo) * {R}', 2)} AS d FROM ({bounds().replace('track_points', '{track_points}')})), p AS (SELECT *, CAST(track_id AS VARCHAR) AS id FROM b JOIN ({_SUMMARY}) USING (track_id)) SELECT id, "
+    + document(
+        id="id", title="concat('Track ', id)", terrain="{'path': 'terrain.json', 'width': w, 'depth': d, 'low': min_e, 'high': max_e}", layers=_LAYERS,
+        routes="[{'id': id, 'path': 'route.json', 'distanceKm': km, 'elevationGainM': gain, 'pointCount': points}]", overlays="{'border': NULL}",
+        defaultCamera=f"{{'position': {camera('w * 0.55::DOUBLE', 'd * -0.7::DOUBLE', '(max_e - min_e) * 2.2::DOUBLE')}, 'target': {camera('w * 0.52::DOUBLE', 'd * 0.52::DOUBLE', '(min_e + max_e) / 2')}, 'fov': 42}}",
+    )
+    + " AS json FROM p",
+    "border_json": f"WITH {ISLANDS.replace('border_vertices', '{border_vertices}')}, zs AS ({sample(_BORDER_AT, 'line_id, run, vseq', '{dem_grid}')}), l AS (SELECT line_id, run, list([{q('(lon - 6.97::DOUBLE) * 78000', 2)}, {q('(lat - 44.97::DOUBLE) * 111000', 2)}, {q('z', 2)}] ORDER BY vseq) AS p FROM runs JOIN zs USING (line_id, run, vseq) GROUP BY line_id, run), m AS (SELECT line_id, list(p ORDER BY run) AS lines FROM l GROUP BY line_id) SELECT line_id, "
+    + document(id="CAST(line_id AS VARCHAR)", name="'border'", color="'#b54a3c'", lines="lines")
+    + " AS json FROM m",
+    "hillshade_png": f"SELECT grid_id, 63 - r AS r, c, {u8(f'{HILL} * 255')} AS v FROM ({STEEP.replace('dem_grid', '{dem_grid}')})",
+    "normal_png": SQL["normal_map"],
+}
+
+
 def _views(sql: str) -> str:
     # struct literals of DuckDB also use braces; only names of views are replaced
     return with_views(sql)

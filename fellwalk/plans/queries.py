@@ -452,7 +452,7 @@ def camera_rig(p):
 
 @query("track_points")
 def default_camera(p):
-    b = track.geotransforms(track.bounds(p), 2).select("track_id", "width_m", "depth_m").join(p.groupBy("track_id").agg(F.min("ele").alias("low"), F.max("ele").alias("high")), "track_id")
+    b = _rounded(track.geotransforms(track.bounds(p), 2).select("track_id", "width_m", "depth_m"), 2, "width_m", "depth_m").join(p.groupBy("track_id").agg(F.min("ele").alias("low"), F.max("ele").alias("high")), "track_id")
     position, target = replay.default_camera(F.col("width_m"), F.col("depth_m"), F.col("low"), F.col("high"))
     return b.select("track_id", *(rounded(c, 2).alias(f"{n}{i}") for n, cs in (("p", position), ("t", target)) for i, c in enumerate(cs)))
 
@@ -598,7 +598,7 @@ def terrain_json(g):
 
 @query("track_points")
 def manifest_json(p):
-    b = track.geotransforms(track.bounds(p), 2).select("track_id", "width_m", "depth_m").join(track.summary(p, 100.0), "track_id")
+    b = _rounded(track.geotransforms(track.bounds(p), 2).select("track_id", "width_m", "depth_m"), 2, "width_m", "depth_m").join(track.summary(p, 100.0), "track_id")
     return sinks.manifest_json(b.select(F.col("track_id").cast("string").alias("id"), F.concat(F.lit("Track "), F.col("track_id").cast("string")).alias("title"), F.col("width_m").alias("width"), F.col("depth_m").alias("depth"), F.col("min_e").alias("low"), F.col("max_e").alias("high"), "km", "gain", "points"))
 
 
@@ -612,12 +612,13 @@ def border_json(v, g):
 
 @query("dem_grid")
 def hillshade_png(g):
-    return sinks.images(_steep(g).withColumn("v", clamp(F.floor(relief.hillshade() * 255 + 0.5), 0.0, 255.0).cast("int")), ["v"])
+    """The images are encoded and read back, so that pixels can be compared."""
+    return sinks.image_pixels(sinks.images(_steep(g).withColumn("v", clamp(F.floor(relief.hillshade() * 255 + 0.5), 0.0, 255.0).cast("int")), ["v"]), ["v"])
 
 
 @query("dem_grid")
 def normal_png(g):
-    return sinks.images(_rgb(_steep(g), relief.normal_map(), "grid_id", "r", "c"), list(relief.CHANNELS))
+    return sinks.image_pixels(sinks.images(_rgb(_steep(g), relief.normal_map(), "grid_id", "r", "c"), list(relief.CHANNELS)), list(relief.CHANNELS))
 
 
 # --- bake layers, contours, resizing, viewer
