@@ -410,6 +410,10 @@ SQL |= {
     "border_json": f"WITH {ISLANDS.replace('border_vertices', '{border_vertices}')}, zs AS ({sample(_BORDER_AT, 'line_id, run, vseq', '{dem_grid}')}), l AS (SELECT line_id, run, list([{q('(lon - 6.97::DOUBLE) * 78000', 2)}, {q('(lat - 44.97::DOUBLE) * 111000', 2)}, {q('z', 2)}] ORDER BY vseq) AS p FROM runs JOIN zs USING (line_id, run, vseq) GROUP BY line_id, run), m AS (SELECT line_id, list(p ORDER BY run) AS lines FROM l GROUP BY line_id) SELECT line_id, "
     + document(id="CAST(line_id AS VARCHAR)", name="'border'", color="'#b54a3c'", lines="lines")
     + " AS json FROM m",
+    "grid_cache_cells": f"SELECT grid_id, r, c, {q('z', 3)} AS z FROM (SELECT grid_id, r, c, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {{dem_grid}}) WHERE grid_id <> 2",
+    "raw_raster_cells": f"SELECT grid_id, r, c, {q('z', 3)} AS z FROM (SELECT grid_id, r, c, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {{dem_grid}})",
+    "geotiff_cells": f"SELECT grid_id, r, c, 300050::DOUBLE + c * 100 AS x, 5000050::DOUBLE + r * 100 AS y, CASE WHEN z >= -1000 THEN {q('z', 3)} END AS z FROM (SELECT grid_id, r, c, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {{dem_primary}})",
+    "tree_cover_cells": f"SELECT grid_id, r, c, {q('CASE WHEN tcd > 100 THEN 0::DOUBLE ELSE least(greatest((tcd - 50) / 50::DOUBLE, 0), 1) END', 6)} AS density FROM {{canopy}}",
     "hillshade_png": f"SELECT grid_id, 63 - r AS r, c, {u8(f'{HILL} * 255')} AS v FROM ({STEEP.replace('dem_grid', '{dem_grid}')})",
     "normal_png": SQL["normal_map"],
 }

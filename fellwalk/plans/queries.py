@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..functions.numeric import clamp, fit_inside, rounded
 from ..operators import jobs, overlay, raster, relief, replay, sinks, track
-from ..sources import gpx
+from ..sources import gpx, grids, tiff
 from ..sources.views import read
 from . import bake
 from .config import Config
@@ -621,6 +621,38 @@ def normal_png(g):
     return sinks.image_pixels(sinks.images(_rgb(_steep(g), relief.normal_map(), "grid_id", "r", "c"), list(relief.CHANNELS)), list(relief.CHANNELS))
 
 
+# --- raster files: written as bytes and read back
+
+
+def _by_id(cells):
+    return cells.withColumn("grid_id", F.col("path").cast("int")).drop("path")
+
+
+@query("dem_grid")
+def grid_cache_cells(g):
+    """Grids through the cache's format; the bytes of grid 2 are cut short, which is a miss."""
+    contents = grids.encoded(g, lambda name, z: grids.encode_grid(z)[: -4 if name == "2" else None])
+    return _rounded(_by_id(grids.cache_cells(contents)), 3, "z")
+
+
+@query("dem_grid")
+def raw_raster_cells(g):
+    return _rounded(_by_id(grids.raw_cells(grids.encoded(g, lambda _, z: z.astype("<f4").tobytes()), N)), 3, "z")
+
+
+@query("dem_primary")
+def geotiff_cells(g):
+    """Heights in a projection as GeoTIFFs; a sentinel is no data."""
+    return _rounded(_by_id(grids.geotiff_cells(grids.encoded(g, lambda _, z: tiff.encode(z, 300_000.0, 5_000_000.0, CELL)))), 3, "z")
+
+
+@query("canopy")
+def tree_cover_cells(g):
+    """Tree cover as GeoTIFFs of bytes, read into the forest's density; numbers above 100 count as none."""
+    contents = grids.encoded(g.withColumn("z", F.col("tcd").cast("double")), lambda _, z: tiff.encode(z.astype("u1"), 300_000.0, 5_000_000.0, CELL, 255.0))
+    return _by_id(grids.geotiff_cells(contents)).select("grid_id", "r", "c", rounded(relief.canopy_density(F.col("z")), 6).alias("density"))
+
+
 # --- bake layers, contours, resizing, viewer
 
 
