@@ -1,15 +1,20 @@
-"""One bake as a lazily composed plan: track, fused heights, relief layers and figures."""
+"""One bake: as a lazily composed plan of track, fused heights, relief layers and figures, or step by step into a folder."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import raster, relief, track
+from ..functions.numeric import rounded
+from ..operators import jobs, raster, relief, sinks, track
 from .config import Config
 
+#: Percent and label of the steps after the worker's start.
+STEPS = jobs.STAGES[1:]
+
 
 @dataclass
 class Bake:
@@ -43,13 +48,57 @@ def layers(heights: DataFrame, config: Config, cell_m: float) -> DataFrame:
     return g.withColumn("slope_class", relief.slope_class(F.col("slope")))
 
 
+def terrain(primary: DataFrame, secondary: DataFrame, config: Config) -> DataFrame:
+    """The surface of a bake: the primary raster where it has data, else the secondary, smoothed by mesh_sigma."""
+    return raster.gaussian(raster.fused(primary if covered(primary) else secondary, secondary), config.mesh_sigma)
+
+
+def manifest(points: DataFrame, summary: DataFrame) -> DataFrame:
+    """id, json: the manifest of each track's package."""
+    size = track.geotransforms(track.bounds(points), 2).select("track_id", rounded(F.col("width_m"), 2).alias("width"), rounded(F.col("depth_m"), 2).alias("depth"))
+    name = F.col("track_id").cast("string")
+    b = size.join(summary, "track_id")
+    return sinks.manifest_json(b.select(name.alias("id"), F.concat(F.lit("Track "), name).alias("title"), "width", "depth", F.col("min_e").alias("low"), F.col("max_e").alias("high"), "km", "gain", "points"))
+
+
 def bake(points: DataFrame, primary: DataFrame, secondary: DataFrame, config: Config, cell_m: float, inner: int | None = None) -> Bake:
     """One bake. With `inner`, the grids carry an apron of config.edge_pad_cells around inner x inner cells: blurs and
     gradients see it, the results do not hold it."""
     smooth = track.smoothed(points, config.smooth_horizontal, config.smooth_vertical)
-    heights = raster.fused(primary, secondary) if covered(primary) else raster.fused(secondary, secondary)
-    heights = raster.gaussian(heights, config.mesh_sigma)
+    heights = terrain(primary, secondary, config)
     found = layers(heights, config, cell_m)
     if inner:
         heights, found = (raster.cropped(x, config.edge_pad_cells, inner) for x in (heights, found))
     return Bake(track.route(smooth, config.route_step_m), track.summary(points, config.route_step_m, config.gain_threshold_m), heights, found)
+
+
+def run(points: DataFrame, primary: DataFrame, secondary: DataFrame, config: Config, cell_m: float, folder: str, pixels: DataFrame | None = None, canopy: DataFrame | None = None, inner: int | None = None, report: Callable[[int, str], None] | None = None) -> DataFrame:
+    """A bake written as Parquet tables below `folder`, step by step, so that a lost executor costs a step at most and
+    later steps read what earlier ones made. report(percent, label) is called as a step begins.
+
+    Gives pct, label and rows (of the step's tables) of the seven steps; one without its input (pixels, canopy) has none.
+    """
+    spark, done = points.sparkSession, []
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    crop = lambda g: raster.cropped(g, config.edge_pad_cells, inner) if inner else g
+
+    def step(**tables: Callable[[], DataFrame]) -> None:
+        pct, label = STEPS[len(done)]
+        if report:
+            report(pct, label)
+        for name, make in tables.items():
+            make().write.parquet(f"{folder}/{name}")
+        done.append((pct, label, sum(read(name).count() for name in tables)))
+
+    def forest() -> DataFrame:
+        rgb = relief.forest_rgb(F.col("tcd"), F.col("reference"), config.forest_min_cover)
+        return canopy.join(read("relief"), ["grid_id", "r", "c"]).select("grid_id", "r", "c", *(v.alias(k) for k, v in zip(relief.CHANNELS, rgb, strict=True)))
+
+    step(summary=lambda: track.summary(points, config.route_step_m, config.gain_threshold_m))
+    step(surface=lambda: terrain(primary, secondary, config))
+    step(route=lambda: track.route(track.smoothed(points, config.smooth_horizontal, config.smooth_vertical), config.route_step_m), heights=lambda: crop(read("surface")))
+    step(**{} if pixels is None else {"texture": lambda: relief.enhanced(pixels, config.saturation, config.brightness, config.contrast)})
+    step(relief=lambda: crop(layers(read("surface"), config, cell_m)))
+    step(**{} if canopy is None else {"forest": forest})
+    step(manifest=lambda: manifest(points, read("summary")))
+    return spark.createDataFrame(done, "pct int, label string, rows long")

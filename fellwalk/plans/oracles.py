@@ -387,6 +387,11 @@ _POINT = ", ".join(f"'{k}': {q(x, 2)}" for k, x in _XYZ.items()) + f", 'lat': {q
 _SHOWN = f"SELECT * FROM ({distance(f'(SELECT track_id, seq, lat, lon, ele FROM ({simplified(distance("{track_points}"), 100)}))')}) JOIN ({bounds()}) USING (track_id)"
 _BORDER_AT = f"SELECT line_id, run, vseq, 0 AS grid_id, (lon - 6.97::DOUBLE) / {f(7.03 - 6.97)} * 63 AS x, (lat - 44.97::DOUBLE) / {f(45.03 - 44.97)} * 63 AS y FROM runs"
 _LAYERS = "{" + ", ".join(f"'{k}': 'terrain-{k}.png'" for k in ("hillshade", "multishade", "slope", "hypso", "normal")) + ", 'forest': NULL}"
+#: Rows of the tables that each step of a bake writes.
+_WRITTEN = (
+    "SELECT COUNT(DISTINCT track_id) FROM {track_points}", "SELECT COUNT(*) FROM {dem_primary}", f"SELECT SUM(display_points) + (SELECT COUNT(*) FROM {{dem_primary}}) FROM ({_SUMMARY})",
+    "SELECT COUNT(*) FROM {pixels}", "SELECT COUNT(*) FROM {dem_primary}", "SELECT COUNT(*) FROM {canopy}", "SELECT COUNT(DISTINCT track_id) FROM {track_points}",
+)
 
 
 def camera(*places: str) -> str:
@@ -414,6 +419,9 @@ SQL |= {
     "raw_raster_cells": f"SELECT grid_id, r, c, {q('z', 3)} AS z FROM (SELECT grid_id, r, c, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {{dem_grid}})",
     "geotiff_cells": f"SELECT grid_id, r, c, 300050::DOUBLE + c * 100 AS x, 5000050::DOUBLE + r * 100 AS y, CASE WHEN z >= -1000 THEN {q('z', 3)} END AS z FROM (SELECT grid_id, r, c, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM {{dem_primary}})",
     "tree_cover_cells": f"SELECT grid_id, r, c, {q('CASE WHEN tcd > 100 THEN 0::DOUBLE ELSE least(greatest((tcd - 50) / 50::DOUBLE, 0), 1) END', 6)} AS density FROM {{canopy}}",
+    "bake_progress": "SELECT pct, label, CAST(n AS BIGINT) AS rows FROM (VALUES "
+    + ", ".join(f"({pct}, '{label}', ({rows}))" for (pct, label), rows in zip(STAGES[1:], _WRITTEN, strict=True))
+    + ") t(pct, label, n)",
     "hillshade_png": f"SELECT grid_id, 63 - r AS r, c, {u8(f'{HILL} * 255')} AS v FROM ({STEEP.replace('dem_grid', '{dem_grid}')})",
     "normal_png": SQL["normal_map"],
 }

@@ -598,8 +598,7 @@ def terrain_json(g):
 
 @query("track_points")
 def manifest_json(p):
-    b = _rounded(track.geotransforms(track.bounds(p), 2).select("track_id", "width_m", "depth_m"), 2, "width_m", "depth_m").join(track.summary(p, 100.0), "track_id")
-    return sinks.manifest_json(b.select(F.col("track_id").cast("string").alias("id"), F.concat(F.lit("Track "), F.col("track_id").cast("string")).alias("title"), F.col("width_m").alias("width"), F.col("depth_m").alias("depth"), F.col("min_e").alias("low"), F.col("max_e").alias("high"), "km", "gain", "points"))
+    return bake.manifest(p, track.summary(p, 100.0))
 
 
 @query("border_vertices", "dem_grid")
@@ -723,15 +722,30 @@ def gpx_errors(d):
     return gpx.point_errors(d, "track_id")
 
 
-def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state fold as a stream over a written log; the same rows as job_state."""
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; a local one only where none is set, as in tests."""
     import tempfile
     import uuid
 
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fellwalk-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def bake_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven steps of a bake of all grids and tracks, with the rows that each has written."""
+    views = (read(spark, sf_dir, v) for v in ("track_points", "dem_primary", "dem_secondary", "pixels", "canopy"))
+    points, primary, secondary, pixels, canopy = views
+    return bake.run(points, primary, secondary, Config(route_step_m=100.0), CELL, _folder(spark, "bake"), pixels, canopy)
+
+
+QUERIES["bake_progress"] = bake_progress
+
+
+def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state fold as a stream over a written log; the same rows as job_state."""
     from ..streaming.jobs import replay as run
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fellwalk-stream-")
-    folder = f"{shared}/job-log-{uuid.uuid4().hex}"
+    folder = _folder(spark, "job-log")
     events = read(spark, sf_dir, "job_events").select("job_id", "seq", "kind", "pct")
     events.repartition("job_id").write.parquet(f"{folder}/log")  # a job's events are in one file
     return run(spark.read.parquet(f"{folder}/log"), spark, folder, f"{folder}/log")

@@ -3,6 +3,7 @@
 import json
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 
 from fellwalk.functions import geo, numeric, text
 from fellwalk.operators import jobs, overlay, raster, relief, replay, sinks, track
-from fellwalk.plans.bake import bake
+from fellwalk.plans.bake import bake, run
 from fellwalk.plans.bake import layers as bake_layers
 from fellwalk.plans.config import Config
-from fellwalk.sources import gpx, grids
+from fellwalk.sources import gpx, grids, tiff
 
 
 def one(spark, *cols):
@@ -230,6 +231,43 @@ def test_bake(spark):
     assert np.allclose(back(b.relief, "slope")[3:-3, 3:-3], math.degrees(math.atan(math.hypot(0.3, 0.2)))) and r["hill"].between(0, 1).all()
 
 
+def test_bake_steps(spark, tmp_path):
+    z = 1000 + np.add.outer(np.arange(12) * 3.0, np.arange(12) * 2.0)
+    p, g, seen = line(spark, [(45 + i * 1e-4, 7, 1000 + i) for i in range(80)]), grid(spark, z), []
+    steps = run(p, g, g, Config(route_step_m=50.0, edge_pad_cells=3), 10.0, f"file://{tmp_path}/b", inner=6, report=lambda pct, label: seen.append(pct)).collect()
+    assert seen == [8, 22, 58, 70, 82, 90, 97] == [s.pct for s in steps]
+    assert [steps[i].rows for i in (0, 1, 3, 4, 5, 6)] == [1, 144, 0, 36, 0, 1]
+    assert np.allclose(back(spark.read.parquet(f"file://{tmp_path}/b/relief"), "slope"), math.degrees(math.atan(math.hypot(0.3, 0.2))))
+
+
+def test_geotiff(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    z = rng.normal(500, 90, (7, 5)).astype(np.float32).astype(float)
+    z[2, 3] = np.nan
+    (tmp_path / "h.tif").write_bytes(tiff.encode(z, 1000.0, 2000.0, 10.0, rows=3))
+    got = grids.read_geotiff(spark, str(tmp_path / "h.tif"))
+    assert np.allclose(back(got), z, equal_nan=True) and got.where("z is null").count() == 1
+    assert {(r.x, r.y) for r in got.where("r = 0 and c = 1").collect()} == {(1015.0, 2005.0)}
+    with pytest.raises(ValueError):
+        tiff.decode(b"II+\0" + bytes(20))
+    # predictors: differences of whole numbers, and of the bytes of floats by significance
+    whole = rng.integers(0, 60_000, (4, 6)).astype("<u2")
+    parts = np.diff(whole, axis=1, prepend=np.zeros((4, 1), "<u2")).astype("<u2").tobytes()
+    assert (tiff.block(zlib.compress(parts), (4, 6), np.dtype("<u2"), tiff.DEFLATE, 2) == whole).all()
+    real = rng.normal(0, 5, (3, 4)).astype(">f4")
+    planes = real.view(np.uint8).reshape(3, 4, 4).transpose(0, 2, 1).reshape(3, -1)
+    parts = np.diff(planes, axis=1, prepend=np.zeros((3, 1), np.uint8)).astype(np.uint8).tobytes()
+    assert (tiff.block(parts, (3, 4), np.dtype("<f4"), tiff.NONE, 3) == real).all()
+    with pytest.raises(ValueError, match="compression 5"):
+        tiff.block(b"", (1, 1), np.dtype("u1"), 5, 1)
+
+
+def test_build_log(spark, tmp_path):
+    lines = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "job_id int, line string")
+    sinks.build_log(lines, f"file://{tmp_path}/log")
+    assert sorted((r.job_id, r.value) for r in spark.read.text(f"file://{tmp_path}/log").collect()) == [(1, "a"), (1, "b"), (2, "c")]
+
+
 def test_one_exchange_for_track_windows(spark):
     p = line(spark, [(45 + i * 1e-4, 7, 0) for i in range(9)])
     plan = track.with_minutes(p)._jdf.queryExecution().executedPlan().toString()
