@@ -28,7 +28,7 @@ from .elias_fano import EliasFano
 
 #: The end of a text, as a token; no word hashes to it but by chance (1 in 2**64).
 END = np.uint64(1)
-DISCOUNT, LEAST_COUNT = 0.75, 2
+DISCOUNT, LEAST_COUNT = 0.75, 1
 #: Tokens a shard (words take twice as many), characters a token, and least shards.
 TOKENS, CHARACTERS, SHARDS = 1 << 21, 6, 8
 #: Shards of a level that a worker keeps mapped.
