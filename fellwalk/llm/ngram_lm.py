@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, crc_mod, local_path, mix64, shared_dir, table
+from .common import Tokens, chunks, crc_mod, local_path, mix64, shared_dir, shuffles_dropped, table
 from .elias_fano import EliasFano
 
 #: The end of a text, as a token; no word hashes to it but by chance (1 in 2**64).
@@ -447,6 +447,7 @@ class Stream:
         return t[(self.bigram[t - 1] >= 0) & ~self.first[t - 1]]
 
 
+@shuffles_dropped
 def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_COUNT) -> Model:
     """Counts the documents and writes the model into the shared folder. Null texts are empty: an end alone.
 
