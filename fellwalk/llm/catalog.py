@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .centroid_clustering import OP13_SQL, op13_centroid_clustering
+from .edit_fingerprints import op11_edit_fingerprints
 from .embedding_dedup import OP10_SQL, op10_embedding_dedup
+from .filter_audit import OP12_SQL, op12_filter_audit
 from .html_main import op2_html_extraction
 from .language_id import op1_language_id
 from .mixing import OP6_SQL, op6_mixing
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_edit_fingerprints": op11_edit_fingerprints,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
-ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL, "op9_substring_dedup": OP9_SQL, "op10_embedding_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_centroid_clustering": OP13_SQL}

@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_embedding_dedup": "vec_id n_links component_id kept",
+    "op11_edit_fingerprints": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op12_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_centroid_clustering": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
 }
 HELD = {"op1_language_id": (4, 2), "op3_quality_classifier": (3, 1), "op8_lm_scoring": (7, 2)}
 TEXT = " ".join(f"word{i % 83} of{i % 7}" for i in range(120))
@@ -48,6 +51,10 @@ def edges(tmp_path_factory):
 
 
 def rows_of(name, folder):
+    if name.startswith("op12"):  # the sources a, b, c, hot and the empty one
+        return 600 * 5
+    if name.startswith("op13"):  # no vector of 64 components
+        return 0
     table = "pages" if name.startswith("op2") else "embeddings" if name.startswith("op10") else "documents"
     return pq.read_table(f"{folder}/{table}.parquet").num_rows
 
