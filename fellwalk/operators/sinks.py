@@ -48,14 +48,14 @@ def border_json(runs: DataFrame, name: str = "border", colour: str = "#b54a3c")
 
 def manifest_json(packages: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """id, json: figures of a package (id, title, width, depth, low, high, km, gain, points) with its layers;
-    layers that were not made stay as nulls."""
+    layers that were not made stay as nulls. Sizes are rounded where they are written, not before the camera is set."""
     from .replay import default_camera
 
     position, target = default_camera(F.col("width"), F.col("depth"), F.col("low"), F.col("high"))
     two = lambda cs: F.array(*(rounded(c, 2) for c in cs))
     layers = F.struct(*(F.lit(f"terrain-{k}.png").alias(k) for k in ("hillshade", "multishade", "slope", "hypso", "normal")), F.lit(None).cast("string").alias("forest"))
     route = F.struct("id", F.lit("route.json").alias("path"), F.col("km").alias("distanceKm"), F.col("gain").alias("elevationGainM"), F.col("points").alias("pointCount"))
-    body = F.struct("id", "title", F.struct(F.lit("terrain.json").alias("path"), "width", "depth", "low", "high").alias("terrain"), layers.alias("layers"), F.array(route).alias("routes"), F.struct(F.lit(None).cast("string").alias("border")).alias("overlays"), F.struct(two(position).alias("position"), two(target).alias("target"), F.lit(42).alias("fov")).alias("defaultCamera"))
+    body = F.struct("id", "title", F.struct(F.lit("terrain.json").alias("path"), *(rounded(F.col(k), 2).alias(k) for k in ("width", "depth")), "low", "high").alias("terrain"), layers.alias("layers"), F.array(route).alias("routes"), F.struct(F.lit(None).cast("string").alias("border")).alias("overlays"), F.struct(two(position).alias("position"), two(target).alias("target"), F.lit(42).alias("fov")).alias("defaultCamera"))
     return packages.select("id", F.to_json(body, options or {"ignoreNullFields": "false"}).alias("json"))
 
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import rounded
 from ..operators import jobs, raster, relief, sinks, track
 from .config import Config
 
@@ -55,7 +54,7 @@ def terrain(primary: DataFrame, secondary: DataFrame, config: Config) -> DataFra
 
 def manifest(points: DataFrame, summary: DataFrame) -> DataFrame:
     """id, json: the manifest of each track's package."""
-    size = track.geotransforms(track.bounds(points), 2).select("track_id", rounded(F.col("width_m"), 2).alias("width"), rounded(F.col("depth_m"), 2).alias("depth"))
+    size = track.geotransforms(track.bounds(points), 2).select("track_id", F.col("width_m").alias("width"), F.col("depth_m").alias("depth"))
     name = F.col("track_id").cast("string")
     b = size.join(summary, "track_id")
     return sinks.manifest_json(b.select(name.alias("id"), F.concat(F.lit("Track "), name).alias("title"), "width", "depth", F.col("min_e").alias("low"), F.col("max_e").alias("high"), "km", "gain", "points"))

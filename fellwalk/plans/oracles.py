@@ -405,9 +405,9 @@ SQL |= {
     "terrain_json": f"WITH g AS (SELECT grid_id, list({q('z', 3)} ORDER BY r, c) AS h FROM {{dem_grid}} GROUP BY grid_id) SELECT grid_id, "
     + document(gridSize="64", widthM="6300::DOUBLE", depthM="6300::DOUBLE", minHeightM="list_min(h)", maxHeightM="list_max(h)", heights="h")
     + " AS json FROM g",
-    "manifest_json": f"WITH b AS (SELECT track_id, {q(f'radians(lo_hi - lo_lo) * cos(radians(lat0)) * {R}', 2)} AS w, {q(f'radians(la_hi - la_lo) * {R}', 2)} AS d FROM ({bounds().replace('track_points', '{track_points}')})), p AS (SELECT *, CAST(track_id AS VARCHAR) AS id FROM b JOIN ({_SUMMARY}) USING (track_id)) SELECT id, "
+    "manifest_json": f"WITH b AS (SELECT track_id, radians(lo_hi - lo_lo) * cos(radians(lat0)) * {R} AS w, radians(la_hi - la_lo) * {R} AS d FROM ({bounds().replace('track_points', '{track_points}')})), p AS (SELECT *, CAST(track_id AS VARCHAR) AS id FROM b JOIN ({_SUMMARY}) USING (track_id)) SELECT id, "
     + document(
-        id="id", title="concat('Track ', id)", terrain="{'path': 'terrain.json', 'width': w, 'depth': d, 'low': min_e, 'high': max_e}", layers=_LAYERS,
+        id="id", title="concat('Track ', id)", terrain=f"{{'path': 'terrain.json', 'width': {q('w', 2)}, 'depth': {q('d', 2)}, 'low': min_e, 'high': max_e}}", layers=_LAYERS,
         routes="[{'id': id, 'path': 'route.json', 'distanceKm': km, 'elevationGainM': gain, 'pointCount': points}]", overlays="{'border': NULL}",
         defaultCamera=f"{{'position': {camera('w * 0.55::DOUBLE', 'd * -0.7::DOUBLE', '(max_e - min_e) * 2.2::DOUBLE')}, 'target': {camera('w * 0.52::DOUBLE', 'd * 0.52::DOUBLE', '(min_e + max_e) / 2')}, 'fov': 42}}",
     )
