@@ -22,7 +22,7 @@ BINS = 1 << 15
 UNKNOWN = "und"
 #: Bytes kept as they are: ASCII lower-case letters and every byte of a longer code point.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # also numbers that are no digits
 
 
 def gram_bins(text: str) -> np.ndarray:
@@ -39,6 +39,11 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, full[at].astype(float)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is in one of the Unicode categories of letters (not, like a half or a Roman number, of numbers)."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 @dataclass
 class Mixture:
     """Log-probability of each bin in each language, and the settings of the inference."""
@@ -54,7 +59,7 @@ class Mixture:
 
     def proportions(self, text: str | None) -> dict[str, float]:
         """Share of each selected language; empty if the text has no letter or nothing was learned."""
-        if not self.languages or text is None or not _LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return {}
         at, n = gram_counts(text)
         logp, p, total = self.logp[:, at], self.p[:, at], n.sum()
@@ -65,7 +70,8 @@ class Mixture:
         while len(chosen) < len(self.languages):
             mixed = share @ p[chosen]
             # The likelihood is concave in the share of a further language, so one that gains at its best share
-            # gains at every smaller one: none that the penalty lets in is screened out, from the least share on.
+            # gains at every smaller one: of the languages with a share of 0.01 or more, none that the penalty lets in is
+            # screened out. Smaller shares are not looked for.
             tries = []
             for k in range(len(p)):
                 if k not in chosen:

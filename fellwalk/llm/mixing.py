@@ -64,7 +64,7 @@ def runs_of(goals: DataFrame, bits: int) -> DataFrame:
 
     Slot i holds the source whose share of the cumulative targets covers the van der Corput point of i.
     Points are the reversed bits of i, so a source's slots are the reversals of a run of integers. A source
-    with a target below one slot gets one all the same.
+    with a target below one slot gets one all the same, which it shares with its neighbour.
     """
     upto = F.sum("take").over(Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     all_ = F.greatest(F.sum("take").over(Window.partitionBy()), F.lit(1)).cast("double")
@@ -137,7 +137,8 @@ def taken(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus with the columns of `docs`: every document as often as the mix takes it, each copy at
-    the slot at which its lap begins. Partitions are stretches of the schedule, sorted.
+    the slot at which its lap begins. Partitions are stretches of the schedule, sorted; copies of one slot come in the
+    order of doc_id, source and a hash of the text.
 
     Only the one document of each source at which its last lap ends is taken in part; it is rounded to
     whole copies. Rows that share doc_id, source and size share their copies evenly, also rounded, and
@@ -149,10 +150,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     slots = F.array(*[F.coalesce(*reversed(laps[: m + 1])) for m in range(MOST)])
     t = taken(docs).groupBy("doc_id", "source", "size").agg(n.alias("copies"), slots.alias("slots")).where("copies > 0")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), words.alias("words"))
+    rows = docs.select(whole_rows(docs), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("of"), words.alias("words"), F.xxhash64("text").alias("key"))
     joined = rows.join(t, F.col("id").eqNullSafe(t["doc_id"]) & F.col("of").eqNullSafe(t["source"]) & (F.col("words") == t["size"]))
-    placed = joined.select("whole", F.explode(F.slice("slots", F.lit(1), F.col("copies"))).alias("slot"))
-    return placed.repartitionByRange("slot").sortWithinPartitions("slot").select("whole.*")
+    placed = joined.select("whole", "id", "of", "key", F.explode(F.slice("slots", F.lit(1), F.col("copies"))).alias("slot"))
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot", "id", "of", "key").select("whole.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

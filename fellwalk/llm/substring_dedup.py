@@ -132,7 +132,7 @@ def removable(keyed: DataFrame, n: int) -> DataFrame:
     least = rows.groupBy("window", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "check", "least")
     # stored, so that both sides of the join are plain exchanges, and a window that is everywhere can be split
     late = rows.join(stored(least, "windows"), ["window", "check"]).where("doc_id > least")
-    return late.groupBy("doc_id", "row_key").agg(F.collect_list("span").alias("starts"))
+    return late.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("starts"))  # a set, as repeated rows bring each window again
 
 
 def intervals(starts: np.ndarray, n: int, times: np.ndarray | None = None) -> list[tuple[int, int]]:

@@ -361,3 +361,9 @@ def test_mixed_documents_follow_the_schedule(spark):
     for i, r in enumerate(mixed):
         assert i - at.get(r.doc_id, -1200) >= 120  # another lap
         at[r.doc_id] = i
+
+
+def test_copies_of_one_slot_have_an_order(spark):
+    docs = [(k, f"text {k} of a few words", "one", "", "") for k in range(200)]
+    mixed = [[r.doc_id for r in mixing.mix_documents(spark.createDataFrame(docs, SCHEMA).repartition(n)).collect()] for n in (1, 7)]
+    assert mixed[0] == mixed[1]

@@ -301,7 +301,7 @@ def test_elias_fano(values, queries):
     assert (at == np.searchsorted(v, x)).all() and (hit == np.isin(x, v)).all()
 
 
-def brute_model(texts, least=2):
+def brute_model(texts, least=ngram_lm.LEAST_COUNT):
     toks = [[*(w.lower() for w in words(t)), "END"] for t in texts]
     c1, c2, c3 = Counter(), Counter(), Counter()
     for w in toks:
@@ -374,3 +374,19 @@ def test_language_model(spark, edges, empty):
     assert {r.base_score for r in ngram_lm.score(edges, none).collect()} == {0.0}
     assert ngram_lm.score(empty, own).count() == 0
     assert json.dumps(own.sizes)
+
+
+@pytest.mark.parametrize("text, letters", [("½", False), ("①②", False), ("Ⅷ ²³ 12_", False), ("٣ 1", False), ("½ a", True), ("é", True), ("語", True), ("", False)])
+def test_letters(text, letters):
+    assert language_id.has_letter(text) is letters
+
+
+def test_repeated_rows_stay_linear(spark):
+    """Ten thousand rows of one document bring its windows once each to the row they are cut from."""
+    text = " ".join(f"w{k}" for k in range(300))
+    rows = spark.createDataFrame([(1, "first " + text), (3, text)], "doc_id long, text string")
+    many = rows.where("doc_id = 1").union(rows.where("doc_id = 3").crossJoin(spark.range(10_000)).select("doc_id", "text")).repartition(4)
+    found = substring_dedup.removable(substring_dedup._keyed(many), 50).collect()
+    assert [(r.doc_id, len(r.starts)) for r in found] == [(3, 251)]
+    got = substring_dedup.removed_words(many).groupBy("doc_id", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(1, 0, 1), (3, 300, 10_000)}
