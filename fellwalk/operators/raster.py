@@ -1,7 +1,7 @@
 """Raster operators on (grid_id, r, c, z); r grows to the north, NULL is missing.
 
 Windows are partitioned by grid row or grid column, never by the whole grid; figures of a grid
-are aggregated and joined back. tiled() cuts large grids with a halo, so that stencils run tile by tile.
+are aggregated and joined back. tiles.py cuts large grids into tiles with a halo, for places and for stencils.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import utm
-from ..functions.numeric import clamp, missing
+from ..functions.numeric import missing
+from . import tiles
 
 
 def along_row():
@@ -56,33 +57,14 @@ def fused(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return with_figures(g, _low=F.min("z")).withColumn("z", F.coalesce("z", "_low", F.lit(0.0))).drop("_low")
 
 
-def sampled(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Bilinear height at (grid_id, y, x) in cells, clamped to the grid: one equi-join on four weighted corners."""
-    p = at.withColumn("_y", clamp(F.col("y"), 0.0, float(n - 1))).withColumn("_x", clamp(F.col("x"), 0.0, float(n - 1)))
-    p = p.withColumn("_r", F.floor("_y").cast("int")).withColumn("_c", F.floor("_x").cast("int"))
-    fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
-    corner = lambda dr, dc, w: F.struct(F.least(F.col("_r") + dr, F.lit(n - 1)).alias("r"), F.least(F.col("_c") + dc, F.lit(n - 1)).alias("c"), w.alias("_w"))
-    corners = F.array(corner(0, 0, (1 - fy) * (1 - fx)), corner(0, 1, (1 - fy) * fx), corner(1, 0, fy * (1 - fx)), corner(1, 1, fy * fx))
-    q = p.select(*keys, "grid_id", F.inline(corners))
-    return q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.col("_w") * F.col("z")).alias("z"))
+def sampled(grid: DataFrame, at: DataFrame, n: int, keys: list[str], side: int = tiles.SIDE) -> DataFrame:
+    """tiles.sampled of a grid of n x n cells that is packed for it."""
+    return tiles.sampled(tiles.packed(grid, side, 1), at, n, keys, side)
 
 
-def cubic_weights(f: Column) -> list[Column]:
-    """Cubic convolution (a = -1/2) weights of the four neighbours around a fraction f."""
-    return [((-f + 2) * f - 1) * f / 2, ((f * 3 - 5) * f * f + 2) / 2, ((f * -3 + 4) * f + 1) * f / 2, (f - 1) * f * f / 2]
-
-
-def cubic(grid: DataFrame, at: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Cubic height at (grid_id, y, x); missing neighbours drop out and the rest are weighted anew, and a
-    place outside the grid, or with less than half its weight, is NULL."""
-    inside = F.col("y").between(0, n - 1) & F.col("x").between(0, n - 1)
-    p = at.where(inside).withColumn("_r", F.floor("y").cast("int")).withColumn("_c", F.floor("x").cast("int"))
-    wy, wx = cubic_weights(F.col("y") - F.col("_r")), cubic_weights(F.col("x") - F.col("_c"))
-    edge = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
-    cells = [F.struct(edge(F.col("_r") + (i - 1)).alias("r"), edge(F.col("_c") + (j - 1)).alias("c"), (wy[i] * wx[j]).alias("_w")) for i in range(4) for j in range(4)]
-    q = p.select(*keys, "grid_id", F.inline(F.array(*cells)))
-    s = q.join(grid, ["grid_id", "r", "c"]).groupBy(*keys).agg(F.sum(F.when(F.col("z").isNotNull(), F.col("_w") * F.col("z"))).alias("_s"), F.sum(F.when(F.col("z").isNotNull(), F.col("_w"))).alias("_t"))
-    return at.select(*keys).join(s, keys, "left").select(*keys, F.when(F.col("_t") >= 0.5, F.col("_s") / F.col("_t")).alias("z"))
+def cubic(grid: DataFrame, at: DataFrame, n: int, keys: list[str], side: int = tiles.SIDE) -> DataFrame:
+    """tiles.cubic of a grid of n x n cells that is packed for it."""
+    return tiles.cubic(tiles.packed(grid, side, 2), at, n, keys, side)
 
 
 def central(grid: DataFrame, rows: bool, cell: float, name: str, value: str = "z") -> DataFrame:
@@ -154,18 +136,6 @@ def flipped(grid: DataFrame, height: int, row: str = "r") -> DataFrame:
     return grid.withColumn(row, F.lit(height - 1) - F.col(row))
 
 
-def tiled(grid: DataFrame, tile: int = 256, halo: int = 8) -> DataFrame:
-    """Adds (tr, tc): each cell goes to its tile and to the neighbours that need it as their edge. A stencil
-    partitioned by (grid_id, tr, tc) is exact inside the tile; own() drops the halo."""
-    of = lambda v, by: F.floor((F.col(v) + by) / tile).cast("int")
-    places = lambda v: F.array_distinct(F.array(of(v, -halo), of(v, 0), of(v, halo)))
-    return grid.withColumn("tr", F.explode(places("r"))).withColumn("tc", F.explode(places("c")))
-
-
-def own(grid: DataFrame, tile: int = 256) -> DataFrame:
-    return grid.where((F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))).drop("tr", "tc")
-
-
 def map_grid(grid: DataFrame, f) -> DataFrame:
     """Applies a Column function to every height."""
     return grid.withColumn("z", f(F.col("z")))

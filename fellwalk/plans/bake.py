@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import jobs, raster, relief, sinks, track
+from ..operators import jobs, raster, relief, sinks, tiles, track
 from .config import Config
 
 #: Percent and label of the steps after the worker's start.
@@ -30,18 +30,20 @@ def covered(grid: DataFrame, every: int = 16) -> bool:
     return bool(raster.coverage(grid, every).where("covered").limit(1).count())
 
 
-def layers(heights: DataFrame, config: Config, cell_m: float) -> DataFrame:
+def layers(heights: DataFrame, config: Config, cell_m: float, tile: int = tiles.WIDE) -> DataFrame:
     """grid_id, r, c, z, dx, dy, hill, multi, reference, slope, slope_class.
 
     Shades come from the gradient of the relief surface. Slope has a surface of its own, smoothed by
-    slope_sigma, so that classes do not follow the noise of single cells.
+    slope_sigma, so that classes do not follow the noise of single cells. Blurs and gradients are one stencil on tiles, in one exchange.
     """
-    w = raster.gaussian_kernel(config.slope_sigma)
-    g = raster.gaussian(heights.withColumn("_s", F.col("z")), config.relief_sigma)
-    # steps along rows, along columns and along rows again: each run of them shares one exchange and sort
-    g = raster.blurred(raster.central(g, True, cell_m, "dx"), True, w, "_s")
-    g = raster.blurred(raster.central(g, False, cell_m, "dy"), False, w, "_s")
-    g = raster.central(raster.central(g, False, cell_m, "_sy", "_s"), True, cell_m, "_sx", "_s")
+    relief_w, slope_w = (raster.gaussian_kernel(s) for s in (config.relief_sigma, config.slope_sigma))
+
+    def surfaces(z):
+        z, smooth = tiles.convolved(z, relief_w), tiles.convolved(z, slope_w)
+        (dx, dy), (sx, sy) = tiles.slopes(z, cell_m), tiles.slopes(smooth, cell_m)
+        return {"z": z, "dx": dx, "dy": dy, "_sx": sx, "_sy": sy}
+
+    g = tiles.stencil(heights, surfaces, ["z"], ["z", "dx", "dy", "_sx", "_sy"], max(len(relief_w), len(slope_w)) // 2 + 1, tile)
     slope = relief.slope_degrees(F.col("_sx"), F.col("_sy"))
     g = g.select("grid_id", "r", "c", "z", "dx", "dy", relief.hillshade().alias("hill"), relief.multishade().alias("multi"), relief.reference_shade().alias("reference"), slope.alias("slope"))
     return g.withColumn("slope_class", relief.slope_class(F.col("slope")))
@@ -49,7 +51,7 @@ def layers(heights: DataFrame, config: Config, cell_m: float) -> DataFrame:
 
 def terrain(primary: DataFrame, secondary: DataFrame, config: Config) -> DataFrame:
     """The surface of a bake: the primary raster where it has data, else the secondary, smoothed by mesh_sigma."""
-    return raster.gaussian(raster.fused(primary if covered(primary) else secondary, secondary), config.mesh_sigma)
+    return tiles.blurred(raster.fused(primary if covered(primary) else secondary, secondary), raster.gaussian_kernel(config.mesh_sigma))
 
 
 def manifest(points: DataFrame, summary: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def sample(at: str, keys: str, grid: str = "dem_grid") -> str:
       WHERE g.grid_id = a.grid_id AND g.r = least(CAST(floor(yy) AS INT) + o.dr, 63) AND g.c = least(CAST(floor(xx) AS INT) + o.dc, 63) GROUP BY {k}"""
 
 
-AT = "SELECT place_id, 0 AS grid_id, (lon + 6) * 4 AS x, (lat - 43) * 10 AS y FROM places"
+AT = "SELECT place_id, CAST(place_id % (SELECT COUNT(DISTINCT grid_id) FROM dem_grid) AS INT) AS grid_id, (lon + 6) * 4 AS x, (lat - 43) * 10 AS y FROM places"
 CUBIC = ["((-{f} + 2) * {f} - 1) * {f} / 2", "(({f} * 3 - 5) * {f} * {f} + 2) / 2", "(({f} * -3 + 4) * {f} + 1) * {f} / 2", "({f} - 1) * {f} * {f} / 2"]
 
 
@@ -361,6 +361,31 @@ def shader(c: str, tint: float, forest: float) -> str:
     return q(f"{lit} + ({lit} * {f(forest)} - {lit}) * {mask}", 6)
 
 
+#: The queries' meshes (west, east, south, north, nodes on a side).
+MESHES = {"coarse": (6.452, 6.536, 45.128, 45.192, 17), "fine": (6.47, 6.495, 45.14, 45.158, 41)}
+BAKED = (6.456, 6.53, 45.13, 45.186, 64)
+
+
+def curve(d: str) -> str:
+    return f"(CASE WHEN abs({d}) < 1 THEN (abs({d}) * 1.5::DOUBLE - 2.5::DOUBLE) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((abs({d}) * -0.5::DOUBLE + 2.5::DOUBLE) * abs({d}) - 4) * abs({d}) + 2 ELSE 0::DOUBLE END)"
+
+
+def reprojected(meshes: dict[str, tuple]) -> str:
+    """warped (grid_id, mesh, r, c, z): every node against every cell in reach of its widened kernel."""
+    boxes = ", ".join(f"('{k}', {f(w)}, {f(e)}, {f(s)}, {f(n)}, {m})" for k, (w, e, s, n, m) in meshes.items())
+    tap = lambda v, wide: f"UNNEST(range(CAST(greatest(ceil({v} - 2 * {wide}), 0) AS BIGINT), CAST(least(floor({v} + 2 * {wide}), 63) AS BIGINT) + 1))"
+    return f"""projected AS (SELECT grid_id, r, c, CASE WHEN z >= -1000 THEN z END AS z FROM {{dem_primary}}),
+      nodes AS (SELECT grid_id, mesh, r, c, west + (east - west) / (n - 1) * c AS lon, south + (north - south) / (n - 1) * r AS lat
+        FROM (SELECT DISTINCT grid_id FROM projected), (VALUES {boxes}) b(mesh, west, east, south, north, n), range(64) y(r), range(64) x(c) WHERE r < n AND c < n),
+      metres AS (SELECT grid_id, mesh, r, c, ({_E} - 300050) / 100 AS x, ({_N} - 5000050) / 100 AS y FROM nodes),
+      widths AS (SELECT grid_id, mesh, greatest((MAX(x) - MIN(x)) / (MAX(c) - MIN(c)), 1) AS wx, greatest((MAX(y) - MIN(y)) / (MAX(r) - MIN(r)), 1) AS wy FROM metres GROUP BY grid_id, mesh),
+      inner_nodes AS (SELECT * FROM metres JOIN widths USING (grid_id, mesh) WHERE x BETWEEN -0.5 AND 63.5 AND y BETWEEN -0.5 AND 63.5),
+      columns_of AS (SELECT *, {tap('x', 'wx')} AS cc FROM inner_nodes), taps AS (SELECT *, {tap('y', 'wy')} AS rr FROM columns_of),
+      weighted AS (SELECT t.grid_id, t.mesh, t.r, t.c, {curve('((cc - x) / wx)')} * {curve('((rr - y) / wy)')} AS k, wx * wy AS whole, p.z FROM taps t JOIN projected p ON p.grid_id = t.grid_id AND p.r = rr AND p.c = cc),
+      sums AS (SELECT grid_id, mesh, r, c, SUM(k * z) AS s, SUM(CASE WHEN z IS NOT NULL THEN k END) AS w, ANY_VALUE(whole) AS whole FROM weighted GROUP BY grid_id, mesh, r, c),
+      warped AS (SELECT n.grid_id, n.mesh, n.r, n.c, CASE WHEN w >= 0.5 * whole THEN s / w END AS z FROM nodes n LEFT JOIN sums USING (grid_id, mesh, r, c))"""
+
+
 WARP = f"SELECT place_id, ({_E} + 800000) / 30000 AS x, ({_N} - 4600000) / 30000 AS y FROM {{places}}"
 SQL |= {
     "bake_layers": f"{BLURRED}, s AS (SELECT grid_id, r, c, {SLOPE} AS slope, CAST({CLASS} AS INT) AS slope_class FROM ({grad('blurred', 100.0)})), g AS (SELECT grid_id, r, c, {HILL} AS hill FROM ({grad('{dem_grid}', 100.0)})) SELECT grid_id, r - 8 AS r, c - 8 AS c, {q('hill', 5)} AS hill, {q('slope', 5)} AS slope, slope_class FROM g JOIN s USING (grid_id, r, c) WHERE r BETWEEN 8 AND 55 AND c BETWEEN 8 AND 55",
@@ -368,6 +393,8 @@ SQL |= {
     "resize_bicubic": resize(40, 27, 2, BICUBIC),
     "resize_lanczos": resize(24, 96, 3, LANCZOS),
     "warp_projected": f"WITH a AS ({WARP}), i AS (SELECT * FROM a WHERE x BETWEEN 0 AND 63 AND y BETWEEN 0 AND 63), s AS (SELECT i.place_id, SUM(({cubic_case('y', 'o.k')}) * ({cubic_case('x', 'p.k')}) * g.z) AS s, SUM(({cubic_case('y', 'o.k')}) * ({cubic_case('x', 'p.k')})) AS w FROM i, range(-1, 3) o(k), range(-1, 3) p(k), {{dem_grid}} g WHERE g.grid_id = 0 AND g.r = least(greatest(CAST(floor(y) AS INT) + o.k, 0), 63) AND g.c = least(greatest(CAST(floor(x) AS INT) + p.k, 0), 63) GROUP BY i.place_id) SELECT a.place_id, CASE WHEN w >= 0.5 THEN {q('s / w', 4)} END AS z FROM a LEFT JOIN s USING (place_id)",
+    "reproject_nodes": f"WITH {reprojected(MESHES)} SELECT grid_id, mesh, CAST(r AS INT) AS r, CAST(c AS INT) AS c, {q('z', 4)} AS z FROM warped",
+    "projected_terrain": f"WITH {reprojected({'bake': BAKED})}, f AS (SELECT grid_id, r, c, COALESCE(MIN(z) OVER (PARTITION BY grid_id), 0) AS low, z FROM (SELECT grid_id, r, c, COALESCE(w.z, s.z) AS z FROM warped w LEFT JOIN (SELECT grid_id, r, c, COALESCE(z, MIN(z) OVER (PARTITION BY grid_id)) AS z FROM (SELECT grid_id, r, c, CASE WHEN z >= -1000 THEN z END AS z FROM {{dem_secondary}})) s USING (grid_id, r, c))), filled AS (SELECT grid_id, r, c, COALESCE(z, low) AS z FROM f), {BLURRED[5:].replace('{dem_grid}', 'filled')} SELECT grid_id, CAST(r AS INT) AS r, CAST(c AS INT) AS c, {q('z', 5)} AS z FROM blurred",
     "shader_colours": f"SELECT grid_id, py, px, {shader('red', 1.05, 0.66)} AS red, {shader('green', 1.0, 0.92)} AS green, {shader('blue', 0.88, 0.58)} AS blue FROM (SELECT grid_id, py, px, red / 255::DOUBLE AS red, green / 255::DOUBLE AS green, blue / 255::DOUBLE AS blue, (px * 3 + py * 5) % 256 / 255::DOUBLE AS relief, px * 7 % 256 / 255::DOUBLE AS fr, (py * 11 + 90) % 256 / 255::DOUBLE AS fg, (px + py) % 256 / 255::DOUBLE AS fb FROM {{pixels}})",
     "layer_lookup": "SELECT page_id, COALESCE((SELECT label FROM (VALUES ('ultra', 'Topo'), ('high', 'Slope'), ('fast', 'Forest')) t(id, label) WHERE id = quality), 'Topo') AS label FROM {uploads}",
     "newest_first": "SELECT a.job_id, a.seq, CAST(COUNT(*) AS INT) AS place FROM {job_events} a JOIN {job_events} b ON b.job_id = a.job_id AND b.kind = 'finish' AND b.seq >= a.seq WHERE a.kind = 'finish' GROUP BY a.job_id, a.seq",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numeric import clamp, fit_inside, rounded
-from ..operators import jobs, overlay, raster, relief, replay, sinks, track
+from ..operators import jobs, overlay, raster, relief, replay, reproject, sinks, tiles, track
 from ..sources import gpx, grids, tiff
 from ..sources.views import read
 from . import bake
@@ -19,6 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Cells of the analogue rasters on a side, and their spacing.
 N, CELL = 64, 100.0
 CLIP = (6.97, 44.97, 7.03, 45.03)
+#: Side of a tile, less than a grid, so that these have several; first cell of the projected rasters; meshes over them, and
+#: one of the rasters' size: west, east, south, north, nodes on a side.
+SIDE, PROJECTED = 24, (300_050.0, 5_000_050.0)
+MESHES = {"coarse": (6.452, 6.536, 45.128, 45.192, 17), "fine": (6.47, 6.495, 45.14, 45.158, 41)}
+BAKED = (6.456, 6.53, 45.13, 45.186, N)
 #: A made-up projected raster over all places, and the viewer's choices of layers.
 WARP_ORIGIN, WARP_CELL = (-800_000.0, 4_600_000.0), 30_000.0
 LAYERS = [("ultra", "Topo"), ("high", "Slope"), ("fast", "Forest")]
@@ -180,16 +185,49 @@ def raster_fill(a, b):
     return _rounded(raster.fused(a, b), 6, "z")
 
 
+def _on_grids(p, g):
+    """Places dealt to all grids, with rows and columns."""
+    grids_ = g.select(F.count_distinct("grid_id")).scalar()
+    return p.select("place_id", (F.col("place_id") % grids_).cast("int").alias("grid_id"), ((F.col("lon") + 6) * 4).alias("x"), ((F.col("lat") - 43) * 10).alias("y"))
+
+
 @query("dem_grid", "places")
 def bilinear_sample(g, p):
-    at = p.select("place_id", F.lit(0).alias("grid_id"), ((F.col("lon") + 6) * 4).alias("x"), ((F.col("lat") - 43) * 10).alias("y"))
-    return _rounded(raster.sampled(g, at, N, ["place_id"]), 6, "z")
+    return _rounded(tiles.sampled(tiles.packed(g, SIDE), _on_grids(p, g), N, ["place_id"], SIDE), 6, "z")
 
 
 @query("dem_grid", "places")
 def cubic_resample(g, p):
-    at = p.select("place_id", F.lit(0).alias("grid_id"), ((F.col("lon") + 6) * 4).alias("x"), ((F.col("lat") - 43) * 10).alias("y"))
-    return _rounded(raster.cubic(g, at, N, ["place_id"]), 5, "z")
+    return _rounded(tiles.cubic(tiles.packed(g, SIDE), _on_grids(p, g), N, ["place_id"], SIDE), 5, "z")
+
+
+def _projected(g):
+    """The primary rasters with the metres of their cells."""
+    east, north = PROJECTED
+    return raster.cleaned(g).withColumns({"x": east + F.col("c") * CELL, "y": north + F.col("r") * CELL})
+
+
+def _meshes(g, meshes):
+    """Nodes of each mesh over every grid."""
+    n = F.explode(F.array(*(F.struct(F.lit(name).alias("mesh"), *(F.lit(v).alias(k) for k, v in zip(("west", "east", "south", "north", "n"), box, strict=True))) for name, box in meshes.items())))
+    m = g.groupBy("grid_id").agg(F.lit(0)).select("grid_id", n.alias("m")).select("grid_id", "m.*")
+    side = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    m = m.withColumn("r", side).withColumn("c", side)
+    at = lambda low, high, k: F.col(low) + (F.col(high) - F.col(low)) / (F.col("n") - 1) * F.col(k)
+    return m.select("grid_id", "mesh", "r", "c", at("west", "east", "c").alias("lon"), at("south", "north", "r").alias("lat"))
+
+
+@query("dem_primary")
+def reproject_nodes(g):
+    """Rasters in metres at the nodes of a coarse mesh (four cells a step) and a fine one (half a cell)."""
+    return _rounded(reproject.reprojected(_projected(g), _meshes(g, MESHES), ["mesh"], tile=SIDE), 4, "z")
+
+
+@query("dem_primary", "dem_secondary")
+def projected_terrain(a, b):
+    """The surface of a bake whose primary raster is projected: reprojected, filled from the secondary and smoothed."""
+    primary = reproject.reprojected(_projected(a), _meshes(a, {"bake": BAKED}).drop("mesh"), tile=SIDE)
+    return _rounded(bake.terrain(primary, b, Config(mesh_sigma=0.6)), 5, "z")
 
 
 @query("dem_grid")
@@ -360,10 +398,10 @@ def apron_crop(g):
 @query("dem_grid")
 def tiled_unsharp(g):
     """The unsharp mask tile by tile with a halo: the same result as on whole grids."""
-    t = raster.tiled(g, 16, 2).withColumn("grid", F.col("grid_id"))
+    t = tiles.tiled(g, 16, 2).withColumn("grid", F.col("grid_id"))
     t = t.withColumn("grid_id", F.struct("grid", "tr", "tc"))
     s = raster.unsharp(t).withColumn("grid_id", F.col("grid")).drop("grid")
-    return _rounded(raster.own(s, 16).select("grid_id", "r", "c", "z"), 6, "z")
+    return _rounded(tiles.own(s, 16).select("grid_id", "r", "c", "z"), 6, "z")
 
 
 # --- overlays

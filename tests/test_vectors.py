@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fellwalk.functions import geo, numeric, text
-from fellwalk.operators import jobs, overlay, raster, relief, replay, sinks, track
+from fellwalk.operators import jobs, overlay, raster, relief, replay, reproject, sinks, tiles, track
 from fellwalk.plans.bake import bake, run
 from fellwalk.plans.bake import layers as bake_layers
 from fellwalk.plans.config import Config
@@ -151,7 +151,7 @@ def test_stencils(spark):
     same = grid(spark, z)
     assert raster.gaussian(same, 0.1) is same and raster.gaussian(same, 0) is same
     assert np.allclose(back(raster.gaussian(grid(spark, np.full((5, 5), 3.0)), 1.0)), 3)
-    wide = raster.own(raster.unsharp(raster.tiled(grid(spark, z), 4, 1).withColumn("g", F.col("grid_id")).withColumn("grid_id", F.struct("g", "tr", "tc"))).withColumn("grid_id", F.col("g")), 4)
+    wide = tiles.own(raster.unsharp(tiles.tiled(grid(spark, z), 4, 1).withColumn("g", F.col("grid_id")).withColumn("grid_id", F.struct("g", "tr", "tc"))).withColumn("grid_id", F.col("g")), 4)
     assert np.allclose(back(wide), back(raster.unsharp(grid(spark, z))))
 
 
