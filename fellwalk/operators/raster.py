@@ -233,11 +233,36 @@ def warped(grid: DataFrame, at: DataFrame, n: int, origin: tuple[float, float],
     return cubic(grid, p, n, keys)
 
 
-def percentile_bounds(grid: DataFrame, low: float = 0.02, high: float = 0.98, approximate: bool = False) -> DataFrame:
-    """Interpolated percentiles of each grid; 0 where it has no heights. approximate: a bounded sketch."""
-    f = F.percentile_approx if approximate else F.percentile
-    p = f("z", F.array(F.lit(low), F.lit(high)))
-    return grid.groupBy("grid_id").agg(p.alias("p")).select("grid_id", F.coalesce(F.col("p")[0], F.lit(0.0)).alias("p_low"), F.coalesce(F.col("p")[1], F.lit(0.0)).alias("p_high"))
+#: Accuracy of the sketch that brackets a percentile, and heights of a grid that need no bracket.
+ACCURACY, FEW = 10_000, 40_000
+
+
+def percentile_bounds(grid: DataFrame, low: float = 0.02, high: float = 0.98, accuracy: int = ACCURACY, few: int = FEW) -> DataFrame:
+    """Interpolated percentiles of each grid, exact; 0 where it has no heights.
+
+    A mergeable sketch brackets both ranks between two heights. A second pass counts what lies below the brackets and the
+    different heights inside, some 4 / accuracy of a grid, and only these are sorted. No task holds a grid.
+    """
+    error, few = 2.0 / accuracy, max(few, 4 * accuracy)  # below that, ranks are coarser than the brackets
+    marks = [min(max(p + e, 0.0), 1.0) for p in (low, high) for e in (-error, error)]
+    first = grid.where("z is not null").groupBy("grid_id").agg(F.count("*").alias("n"), F.percentile_approx("z", F.array(*map(F.lit, marks)), accuracy).alias("b"))
+
+    def bracket(k: int, p: float) -> Column:
+        rank = (F.col("n") - 1) * p
+        below = F.when((F.col("n") > few) & F.lit(marks[2 * k] > 0), F.col("b")[2 * k])
+        above = F.when((F.col("n") > few) & F.lit(marks[2 * k + 1] < 1), F.col("b")[2 * k + 1])
+        return F.struct(F.lit(k).alias("which"), F.floor(rank).alias("lower"), F.ceil(rank).alias("upper"), (rank - F.floor(rank)).alias("part"), below.alias("from"), above.alias("to"))
+
+    brackets = first.select("grid_id", F.inline(F.array(bracket(0, low), bracket(1, high))))
+    held = grid.where("z is not null").select("grid_id", "z").join(brackets, "grid_id").where("to is null or z <= to")
+    # all that lies below a bracket is one row, before any height
+    held = held.groupBy("grid_id", "which", "lower", "upper", "part", F.when(~F.coalesce(F.col("z") < F.col("from"), F.lit(False)), F.col("z")).alias("z")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("grid_id", "which").orderBy(F.col("z").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = held.withColumn("_upto", upto)
+    at = lambda rank: F.min(F.when(F.col("_upto") > F.col(rank), F.col("z")))
+    found = held.groupBy("grid_id", "which").agg((at("lower") + (at("upper") - at("lower")) * F.first("part")).alias("v"))
+    both = grid.select("grid_id").distinct().join(found, "grid_id", "left").groupBy("grid_id")
+    return both.agg(*(F.coalesce(F.max(F.when(F.col("which") == k, F.col("v"))), F.lit(0.0)).alias(name) for k, name in enumerate(("p_low", "p_high"))))
 
 
 def mesh_vertices(grid: DataFrame, n: int, width: float, depth: float, exaggeration: float) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, lerp
 from .fold import ordered_fold
-from .jobs import MOST_POINTS
 from .raster import sampled
 
 # Fixed values of the follow camera, in metres.
@@ -112,21 +111,6 @@ def default_camera(width: Column, depth: Column, low: Column, high: Column) -> t
     return [width * 0.55, depth * -0.7, (high - low) * 2.2], [width * 0.52, depth * 0.52, (low + high) / 2]
 
 
-def nearest_points(places: DataFrame, points: DataFrame) -> DataFrame:
-    """place_id, seq, dist: nearest point of one route (x, y), the earliest on ties.
-
-    The route is one track. Its points are counted; beyond the import rule's 250,000 it is refused, up to that
-    its array is sent to the places, which are many and stay where they are.
-    """
-    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        raise ValueError(f"a route has at most {MOST_POINTS} points")
-    route = points.agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("route"))
-    j = places.crossJoin(F.broadcast(route))  # one row
-    far = lambda q: F.sqrt((q["x"] - F.col("x")) * (q["x"] - F.col("x")) + (q["y"] - F.col("y")) * (q["y"] - F.col("y")))
-    best = F.array_min(F.transform("route", lambda q: F.struct(far(q).alias("dist"), q["seq"].alias("seq"))))
-    return j.select("place_id", best["seq"].alias("seq"), best["dist"].alias("dist"))
-
-
 def replay_clock(frames: DataFrame, duration_ms: float = 68_000.0, most_ms: float = 120.0) -> DataFrame:
     """Per cent of the replay after each frame (id, seq, dt in ms): long gaps count as most_ms, it stops at 100."""
     w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)

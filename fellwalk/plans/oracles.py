@@ -274,7 +274,7 @@ SQL: dict[str, str] = {
     "geojson_lines": f"WITH v AS (SELECT *, COUNT(*) OVER (PARTITION BY line_id) AS n FROM {{border_vertices}}), p AS (SELECT line_id, CASE WHEN n >= 4 AND vseq >= n // 2 THEN 1 ELSE 0 END AS part, vseq, lon, lat FROM v) SELECT line_id, CAST(part AS INT) AS part, CAST(COUNT(*) AS INT) AS n, {q('arg_min(lon, vseq)', 5)} AS lon, {q('arg_min(lat, vseq)', 5)} AS lat FROM p GROUP BY line_id, part HAVING COUNT(*) > 1",
     "distance_sampler": f"WITH {SCENE.replace('track_points', '{track_points}')}, {WANTED}, {STEPS} SELECT track_id, CAST(pct AS INT) AS pct, {q('x', 3)} AS x, {q('y', 3)} AS y, {q('z', 3)} AS z FROM ({at_distance('SELECT * FROM wanted', 'track_id, pct', ['x', 'y', 'z'])})",
     "route_heading": f"WITH {SCENE.replace('track_points', '{track_points}')}, {WANTED}, {STEPS}, b AS ({at_distance('SELECT track_id, pct, pos - 500 AS pos FROM wanted', 'track_id, pct', ['x', 'z'])}), a AS ({at_distance('SELECT track_id, pct, pos + 740 AS pos FROM wanted', 'track_id, pct', ['x', 'z'])}), d AS (SELECT track_id, pct, a.x - b.x AS dx, a.z - b.z AS dz FROM a JOIN b USING (track_id, pct)), h AS (SELECT track_id, pct, CASE WHEN dx * dx + dz * dz < 1 THEN 0 ELSE dx / sqrt(dx * dx + dz * dz) END AS hx, CASE WHEN dx * dx + dz * dz < 1 THEN -1 ELSE dz / sqrt(dx * dx + dz * dz) END AS hz FROM d) SELECT track_id, CAST(pct AS INT) AS pct, {q('hx', 4)} AS hx, {q('hz', 4)} AS hz, {q('(degrees(atan2(hx, -hz)) + 360) - 360 * floor((degrees(atan2(hx, -hz)) + 360) / 360)', 4)} AS degrees FROM h",
-    "nearest_route_point": f"WITH t AS (SELECT seq, lon AS x, lat AS y FROM {{track_points}} WHERE track_id = (SELECT MIN(track_id) FROM {{track_points}})), d AS (SELECT place_id, seq, sqrt((t.x - p.lon) * (t.x - p.lon) + (t.y - p.lat) * (t.y - p.lat)) AS dist FROM {{places}} p, t) SELECT place_id, seq, {q('dist', 6)} AS dist FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY place_id ORDER BY dist, seq) AS k FROM d) WHERE k = 1",
+    "nearest_route_point": f"SELECT place_id, track_id, s.seq AS seq, {q('s.dist', 6)} AS dist FROM (SELECT place_id, track_id, MIN(struct_pack(dist := sqrt((t.lon - p.lon) * (t.lon - p.lon) + (t.lat - p.lat) * (t.lat - p.lat)), seq := seq)) AS s FROM {{places}} p, {{track_points}} t GROUP BY place_id, track_id)",
     "sightline_occlusion": f"WITH {SIGHTS.replace('places', '{places}')} SELECT place_id, {q('score', 4)} AS score FROM ({occlusion('sights', 'place_id').replace('dem_grid', '{dem_grid}')})",
     "side_offset": f"WITH {SIGHTS.replace('places', '{places}')}, moved AS (SELECT place_id, side, grid_id, eye_x + hz * side * 6.8::DOUBLE AS eye_x, eye_z - hx * side * 6.8::DOUBLE AS eye_z, eye_y, target_x + hz * side * 6.8::DOUBLE * 0.2::DOUBLE AS target_x, target_z - hx * side * 6.8::DOUBLE * 0.2::DOUBLE AS target_z, target_y FROM sights, (VALUES (0), (-1), (1)) s(side)), sc AS ({occlusion('moved', 'place_id, side').replace('dem_grid', '{dem_grid}')}), b AS (SELECT place_id, MAX(CASE WHEN side = 0 THEN score END) AS straight, MAX(CASE WHEN side = -1 THEN score END) AS l, MAX(CASE WHEN side = 1 THEN score END) AS r FROM sc GROUP BY place_id) SELECT place_id, {q('CASE WHEN straight <= 0 THEN 0 ELSE (CASE WHEN l < straight AND l <= r THEN -1 WHEN r < straight THEN 1 ELSE 0 END) * 6.8::DOUBLE * least(greatest(straight / 260, 0.25::DOUBLE), 1) END', 4)} AS offset FROM b",
     "camera_rig": f"WITH d AS (SELECT place_id, CAST(place_id * 37 % 4001 - 2000 AS DOUBLE) AS dx, CAST(place_id * 53 % 4001 - 2000 AS DOUBLE) AS dy, CAST(place_id * 71 % 4001 - 2000 AS DOUBLE) AS dz FROM {{places}}), g AS (SELECT *, greatest(10, sqrt(dx * dx + dy * dy + dz * dz)) AS radius FROM d), p AS (SELECT *, atan2(dx, dz) AS theta, acos(least(greatest(dy / radius, 0.08::DOUBLE), 0.98::DOUBLE)) AS phi FROM g) SELECT place_id, {', '.join(f'{q(x, 5)} AS {k}' for k, x in (('radius', 'radius'), ('theta', 'theta'), ('phi', 'phi'), ('bx', 'radius * sin(phi) * sin(theta)'), ('by', 'radius * cos(phi)'), ('bz', 'radius * sin(phi) * cos(theta)'), ('follow', 'CASE WHEN radius < 1 THEN 1 ELSE least(greatest(radius, 1450), 2050) / radius END')))} FROM p",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numeric import clamp, fit_inside, rounded
-from ..operators import jobs, overlay, raster, relief, replay, reproject, sinks, tiles, track
+from ..operators import jobs, nearest, overlay, raster, relief, replay, reproject, sinks, tiles, track
 from ..sources import gpx, grids, tiff
 from ..sources.views import read
 from . import bake
@@ -455,10 +455,10 @@ def route_heading(p):
 
 @query("places", "track_points")
 def nearest_route_point(places, p):
-    first = p.join(F.broadcast(p.agg(F.min("track_id").alias("track_id"))), "track_id")
-    route = first.select("seq", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    """The nearest point of every track to every place."""
+    route = p.select("track_id", "seq", F.col("lon").alias("x"), F.col("lat").alias("y"))
     at = places.select("place_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return _rounded(replay.nearest_points(at, route), 6, "dist")
+    return _rounded(nearest.nearest_points(at, route), 6, "dist")
 
 
 def _sights(p):

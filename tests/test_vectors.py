@@ -356,13 +356,9 @@ def test_packages_with_missing_parts(spark, tmp_path):
         sinks.load_package(spark, f"file://{tmp_path}")
 
 
-def test_upload_limit_and_route_limit(spark, monkeypatch):
+def test_upload_limit(spark):
     rows = spark.createDataFrame([("multipart/form-data; boundary=XX", "x" * 200)], "content_type string, body string")
     assert gpx.uploads(rows, 100).first().error == "too large" and gpx.uploads(rows).first().error == "no file"
-    monkeypatch.setattr(replay, "MOST_POINTS", 3)
-    route = spark.createDataFrame([(i, float(i), 0.0) for i in range(4)], "seq int, x double, y double")
-    with pytest.raises(ValueError, match="at most 3"):
-        replay.nearest_points(spark.createDataFrame([(1, 0.0, 0.0)], "place_id long, x double, y double"), route)
 
 
 def test_folds_stream_over_long_tracks(spark):
