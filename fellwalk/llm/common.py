@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import tempfile
 import uuid
@@ -154,21 +153,3 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if "://" not in uri and os.path.isabs(uri) else None
-
-
-def shuffles_dropped(f):
-    """f(docs, ...) with the shuffle files of each of its actions deleted when that action has ended, for functions whose
-    actions share no shuffle. Otherwise they stay until the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-    @functools.wraps(f)
-    def run(docs: DataFrame, *args, **more):
-        conf = docs.sparkSession.conf
-        before = conf.get(name, "false")
-        conf.set(name, "true")
-        try:
-            return f(docs, *args, **more)
-        finally:
-            conf.set(name, before)
-
-    return run

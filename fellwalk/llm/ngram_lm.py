@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tokens, chunks, crc_mod, local_path, mix64, shared_dir, shuffles_dropped, table
+from .common import Tokens, chunks, crc_mod, local_path, mix64, shared_dir, table
 from .elias_fano import EliasFano
 
 #: The end of a text, as a token; no word hashes to it but by chance (1 in 2**64).
@@ -31,6 +31,8 @@ END = np.uint64(1)
 DISCOUNT, LEAST_COUNT = 0.75, 1
 #: Tokens a shard (words take twice as many), characters a token, and least shards.
 TOKENS, CHARACTERS, SHARDS = 1 << 21, 6, 8
+#: Tokens a unit of level 3, and bits of a word's number in keys; the rest holds a context or a place in a shard.
+UNIT, WORD_BITS = 1 << 22, 33
 #: Shards of a level that a worker keeps mapped.
 MAPPED = 256
 #: Quantisation of log10 probabilities: 16 bits over [LOWEST, 0].
@@ -127,29 +129,39 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def sent_blocks(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, block) of sorted keys."""
-    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-    ends = np.cumsum(np.bincount(shard, minlength=shards))
-    begin = 0
-    for s, end in enumerate(ends.tolist()):
-        if end > begin:
-            at = order[begin:end]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack_block(keys[at], counts[at])], pa.binary())], ["shard", "block"])
-        begin = end
+def cut_by(values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array, with where it lies; nothing is looped over but the values that are there."""
+    if len(values):
+        begin = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+        for s, e in zip(begin.tolist(), [*begin[1:].tolist(), len(values)], strict=True):
+            yield int(values[s]), slice(s, e)
+
+
+def rows_by(numbers: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number that is there, with the rows that have it."""
+    small = numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers  # 16 bits sort by radix
+    order = np.argsort(small, kind="stable")
+    for n, at in cut_by(numbers[order]):
+        yield n, order[at]
 
 
-def gathered(parts: Iterator[np.ndarray], shard_of: Callable, shards: int) -> Iterator[pa.RecordBatch]:
-    """Counts keys as they come and sends them on in blocks."""
+def gathered(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Adds up (owner, key, count) as they come and sends them on: one row (shard, block) for each owner."""
     held, size = [], 0
 
     def flush():
-        keys, counts = summed(np.concatenate(held))
-        yield from sent_blocks(keys, counts, shard_of(keys), shards)
+        owner, keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((keys, owner.astype(np.uint16) if owner.max() < 1 << 16 else owner))
+        owner, keys, counts = owner[order], keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1]))))
+        owner, keys, counts = owner[first], keys[first], np.add.reduceat(counts, first)
+        for s, at in cut_by(owner):
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack_block(keys[at], counts[at])], pa.binary())], ["shard", "block"])
 
-    for keys in parts:
-        held.append(keys)
-        size += len(keys)
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            size += len(part[0])
         if size >= GATHER:
             yield from flush()
             held, size = [], 0
@@ -213,7 +225,7 @@ class Vocabulary:
     """All training words by hash, in shards by the top bits: counts, and numbers of the words that stay."""
 
     def __init__(self, root: str, shards: int, sizes: dict[int, tuple[int, int]], least_count: int):
-        self.bits, self.least_count, self.known = shards.bit_length() - 1, least_count, sorted(sizes)
+        self.bits, self.least_count, self.known = shards.bit_length() - 1, least_count, sizes
         self.files = Mapped(lambda s: map_arrays(f"{root}/words-{s}"))
         held = np.array([sizes.get(s, (0, 0))[1] for s in range(shards)], np.int64)
         self.first = np.concatenate(([0], np.cumsum(held)))
@@ -221,12 +233,8 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, number or -1) of each hash."""
         count, number = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
-        shard = (hashes >> _U(64 - self.bits)).astype(np.uint16 if self.bits <= 16 else np.int64)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(1 << self.bits), "right")
-        for s in self.known:
-            rows = order[ends[s - 1] if s else 0 : ends[s]]
-            if not len(rows):
+        for s, rows in rows_by((hashes >> _U(64 - self.bits)).astype(np.int64)):
+            if s not in self.known:
                 continue
             f = self.files[s]
             at = np.minimum(np.searchsorted(f["hash"], hashes[rows]), len(f["hash"]) - 1)
@@ -238,8 +246,7 @@ class Vocabulary:
     def counts_of(self, numbers: np.ndarray) -> np.ndarray:
         shard = np.searchsorted(self.first, numbers, "right") - 1
         out = np.zeros(len(numbers), np.int64)
-        for s in np.unique(shard).tolist():
-            rows = np.flatnonzero(shard == s)
+        for s, rows in rows_by(shard):
             out[rows] = self.files[s]["kept"][numbers[rows] - self.first[s]]
         return out
 
@@ -256,7 +263,7 @@ class Level2:
 
 
 class Level3:
-    """Trigrams of one shard: under each middle word its first words, under these the last words, numbered
+    """Trigrams of one unit: under each middle word its first words, under these the last words, numbered
     by their rank among the middle word's successors."""
 
     def __init__(self, arrays: dict[str, np.ndarray], words: int):
@@ -269,9 +276,8 @@ def log_unigram(count: np.ndarray, tokens: int, words: int) -> np.ndarray:
 
 
 def build2(vocabulary: Vocabulary, shard: int, shards: int, words: int, total: tuple[int, int], keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Level 2 of a shard from bigram keys (first word << 32 | second) and counts."""
-    first, second = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
-    context = first // shards
+    """Level 2 of a shard from bigram keys (context number << WORD_BITS | second word) and counts."""
+    context, second = (keys >> _U(WORD_BITS)).astype(np.int64), (keys & _U((1 << WORD_BITS) - 1)).astype(np.int64)
     n_context = (words - shard + shards - 1) // shards
     start = np.searchsorted(context, np.arange(n_context + 1))
     seen = vocabulary.counts_of(np.arange(n_context) * shards + shard).astype(float)
@@ -286,9 +292,9 @@ def build2(vocabulary: Vocabulary, shard: int, shards: int, words: int, total: t
     return out
 
 
-def build3(level2: Level2, shard: int, shards: int, n_context: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Level 3 from keys (place of the bigram (middle, last) in level 2 << 31 | first word)."""
-    bigram, first = (keys >> _U(31)).astype(np.int64), (keys & _U((1 << 31) - 1)).astype(np.int64)
+def build3(level2: Level2, n_context: int, keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """Level 3 from keys (place of the bigram (middle, last) in its shard of level 2 << WORD_BITS | first word)."""
+    bigram, first = (keys >> _U(WORD_BITS)).astype(np.int64), (keys & _U((1 << WORD_BITS) - 1)).astype(np.int64)
     start2 = level2.start.access(np.arange(n_context + 1))
     middle = np.searchsorted(start2, bigram, "right") - 1
     rank = bigram - start2[middle]
@@ -326,9 +332,24 @@ class Model:
         self.root, self.shards, self.word_shards, self.sizes = root, shards, word_shards, sizes
         self.tokens, self.distinct = tokens, sum(n for n, _ in sizes.values())
         self.words = max(1, sum(k for _, k in sizes.values()))
-        self.two, self.three = [], []
+        self.two, self.three = np.zeros(shards, bool), np.zeros(0, bool)  # shards and units that have a file
+        self.units = np.arange(shards + 1)  # the first unit of each shard
         self._vocabulary = self._levels = None
 
+    def cut(self, tokens: np.ndarray) -> None:
+        """Cuts level 3 of each shard, by tokens, into units: those of a middle word that is a large part of the corpus are
+        dealt by first word, so that no unit grows with it."""
+        self.units = np.concatenate(([0], np.cumsum(np.maximum(1, -(-tokens // UNIT)))))
+
+    def unit_of(self, first: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """The unit of level 3 that holds the context (first, middle)."""
+        shard = middle % self.shards
+        parts = (self.units[shard + 1] - self.units[shard]).astype(np.uint64)
+        return self.units[shard] + (mix64(first.astype(np.uint64)) % parts).astype(np.int64)
+
+    def shard_of(self, unit: int) -> int:
+        return int(np.searchsorted(self.units, unit, "right")) - 1
+
     def __getstate__(self):
         return self.__dict__ | {"_vocabulary": None, "_levels": None}
 
@@ -349,7 +370,7 @@ class Model:
     def find2(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in the level of the first word's shard or -1, log10 probability of the second given the first)."""
         place, logp = np.full(len(first), -1, np.int64), np.full(len(first), np.nan)
-        for s, rows in self._by_shard(first, self.two):
+        for s, rows in self._by_shard(first):
             level = self.level(2, s)
             at, hit = level.find(first[rows] // self.shards, second[rows])
             place[rows[hit]] = at[hit]
@@ -359,13 +380,13 @@ class Model:
     def back2(self, word: np.ndarray) -> np.ndarray:
         """log10 of the mass that a context word leaves to unigrams."""
         out = np.zeros(len(word))
-        for s, rows in self._by_shard(word, self.two):
+        for s, rows in self._by_shard(word):
             out[rows] = dequantise(self.level(2, s).a["back"][word[rows] // self.shards])
         return out
 
     def seen2(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         out = np.zeros(len(first), np.int64)
-        for s, rows in self._by_shard(first, self.two):
+        for s, rows in self._by_shard(first):
             level = self.level(2, s)
             at, hit = level.find(first[rows] // self.shards, second[rows])
             out[rows[hit]] = level.a["n"][at[hit]]
@@ -374,34 +395,30 @@ class Model:
     def find_context(self, first: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the context or -1, log10 of the mass it leaves to bigrams)."""
         place, back = np.full(len(first), -1, np.int64), np.zeros(len(first))
-        for s, rows in self._by_shard(middle, self.three):
+        for s, rows in rows_by(self.unit_of(first, middle)):
+            if not self.three[s]:
+                continue
             level = self.level(3, s)
             at, hit = level.before.successor(middle[rows] // self.shards * self.words + first[rows])
             place[rows[hit]] = at[hit]
             back[rows[hit]] = dequantise(level.a["back"][at[hit]])
         return place, back
 
-    def find3(self, context: np.ndarray, middle: np.ndarray, bigram: np.ndarray) -> np.ndarray:
-        """log10 probability of the trigrams under known contexts, NaN where there is none. bigram: place of
-        (middle, last)."""
+    def find3(self, context: np.ndarray, first: np.ndarray, middle: np.ndarray, bigram: np.ndarray) -> np.ndarray:
+        """log10 probability of the trigrams under known contexts (places of (first, middle)), NaN where there is none.
+        bigram: place of (middle, last)."""
         out = np.full(len(context), np.nan)
-        for s, rows in self._by_shard(middle, self.three):
-            level, level2 = self.level(3, s), self.level(2, s)
+        for s, rows in rows_by(self.unit_of(first, middle)):
+            level, level2 = self.level(3, s), self.level(2, self.shard_of(s))
             c = middle[rows] // self.shards
             words, of = np.unique(c, return_inverse=True)
-            first, begin, end, base = level2.start.access(words)[of], level.start.access(words)[of], level2.start.access(words + 1)[of], level.base.access(words)[of]
-            at, hit = level.last.successor(base + (context[rows] - begin) * (end - first) + bigram[rows] - first)
+            left, begin, end, base = level2.start.access(words)[of], level.start.access(words)[of], level2.start.access(words + 1)[of], level.base.access(words)[of]
+            at, hit = level.last.successor(base + (context[rows] - begin) * (end - left) + bigram[rows] - left)
             out[rows[hit]] = dequantise(level.a["p"][at[hit]])
         return out
 
-    def _by_shard(self, words: np.ndarray, known: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-        shard = (words % self.shards).astype(np.uint16 if self.shards < 1 << 16 else np.int64)  # 16 bits sort by radix
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(self.shards), "right")
-        for s in known:
-            rows = order[ends[s - 1] if s else 0 : ends[s]]
-            if len(rows):
-                yield s, rows
+    def _by_shard(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        return ((s, rows) for s, rows in rows_by(words % self.shards) if self.two[s])
 
 
 class Stream:
@@ -422,23 +439,22 @@ class Stream:
         at = np.full(len(self.hash), len(own))
         at[inner] = tok.codes
         self.count, self.number = count[at], number[at]
-        # j: places with a token before them in the same document; both words numbered
-        first = np.zeros(len(self.hash), bool)
-        first[self.ends - self.lengths] = True
-        j = np.flatnonzero(~first)
+        # places with a token before them in the same document, both words numbered; each different pair of the slice once
+        self.first = np.zeros(len(self.hash), bool)
+        self.first[self.ends - self.lengths] = True
+        j = np.flatnonzero(~self.first)
         self.pair_at = j[(self.number[j] >= 0) & (self.number[j - 1] >= 0)]
-        self.pair = self.number[self.pair_at - 1].astype(np.uint64) << _U(32) | self.number[self.pair_at].astype(np.uint64)
-        self.first = first
+        pairs, self.pair, self.pair_count = np.unique(at[self.pair_at - 1] * (len(own) + 1) + at[self.pair_at], return_inverse=True, return_counts=True)
+        self.left, self.right = number[pairs // (len(own) + 1)], number[pairs % (len(own) + 1)]
 
-    def pairs(self, model: Model):
-        """Looks every different pair up once: (place or -1, log10 p) for each token, -1 and NaN where there is none."""
-        u, at = np.unique(self.pair, return_inverse=True)
-        place, logp = model.find2((u >> _U(32)).astype(np.int64), (u & _U(0xFFFFFFFF)).astype(np.int64))
+    def pairs(self, model: Model) -> np.ndarray:
+        """Looks every different pair up: gives its place or -1, and sets place and log10 p of each token (-1 and NaN where there is none)."""
+        place, logp = model.find2(self.left, self.right)
         self.bigram, self.logp2 = np.full(len(self.hash), -1, np.int64), np.full(len(self.hash), np.nan)
-        self.bigram[self.pair_at], self.logp2[self.pair_at] = place[at], logp[at]
+        self.bigram[self.pair_at], self.logp2[self.pair_at] = place[self.pair], logp[self.pair]
         self.pair_number = np.zeros(len(self.hash), np.int64)
-        self.pair_number[self.pair_at] = at
-        return u, at, place
+        self.pair_number[self.pair_at] = self.pair
+        return place
 
     def triples(self) -> np.ndarray:
         """Places whose last two pairs are both in the model."""
@@ -447,12 +463,12 @@ class Stream:
         return t[(self.bigram[t - 1] >= 0) & ~self.first[t - 1]]
 
 
-@shuffles_dropped
 def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_COUNT) -> Model:
     """Counts the documents and writes the model into the shared folder. Null texts are empty: an end alone.
 
     Words, bigrams and trigrams that occur fewer than `least_count` times are counted, but have no entry of
     their own in the trie; 1 keeps all. Every one of them still has a probability, by the shorter context.
+    Each order is counted once: a task adds up what it reads and sends it straight to the shard that keeps it.
     """
     spark = docs.sparkSession
     root = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
@@ -463,11 +479,13 @@ def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_C
     bits = word_shards.bit_length() - 1
     texts = docs.select("text")
 
-    def spread(keys):
-        return (mix64(keys) % _U(shards)).astype(np.int64)
-
     def words(batches):
-        yield from gathered((Stream(b.column(0)).hash for b in chunks(batches)), lambda k: (k >> _U(64 - bits)).astype(np.int64), word_shards)
+        def parts():
+            for b in chunks(batches):
+                keys, counts = summed(Stream(b.column(0)).hash)
+                yield (keys >> _U(64 - bits)).astype(np.int64), keys, counts
+
+        yield from gathered(parts())
 
     def write_words(s, keys, counts):
         kept = counts >= least_count
@@ -476,34 +494,32 @@ def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_C
 
     rows = each_shard(texts.mapInArrow(words, BLOCKS), word_shards, write_words, "shard int, n long, kept long, tokens long").collect()  # a row for each shard
     model = Model(root, shards, word_shards, {r["shard"]: (r["n"], r["kept"]) for r in rows}, sum(r["tokens"] for r in rows), least_count)
-    if model.words >= 1 << 31:
-        raise ValueError("more than 2**31 words in the model: raise least_count")
-
-    def kept(place):
-        """Keys seen often enough go on to the shard of their context."""
-
-        def work(s, keys, counts):
-            some = counts >= least_count
-            keys, counts = keys[some], counts[some]
-            yield from sent_blocks(keys, counts, place(keys), shards)
-
-        return work
+    if model.words >= 1 << WORD_BITS:
+        raise OverflowError(f"more than 2**{WORD_BITS} different words: raise least_count")
 
     def bigrams(batches):
-        yield from gathered((Stream(b.column(0), model).pair for b in chunks(batches)), spread, shards)
+        def parts():
+            for b in chunks(batches):
+                s = Stream(b.column(0), model)
+                yield s.left % shards, (s.left // shards).astype(np.uint64) << _U(WORD_BITS) | s.right.astype(np.uint64), s.pair_count
+
+        yield from gathered(parts())
 
     def write2(s, keys, counts):
-        arrays = build2(model.vocabulary, s, shards, model.words, (model.tokens, model.distinct), keys, counts)
-        write_arrays(f"{root}/level2-{s}", arrays)
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64())], ["shard", "n"])
-
-    counted = each_shard(texts.mapInArrow(bigrams, BLOCKS), shards, kept(lambda k: ((k >> _U(32)) % _U(shards)).astype(np.int64)), BLOCKS)
-    rows = each_shard(counted, shards, write2, "shard int, n long").collect()
-    model.two = sorted(r["shard"] for r in rows)
-    size2 = {r["shard"]: r["n"] for r in rows}
-    first2 = np.concatenate(([0], np.cumsum([size2.get(s, 0) for s in range(shards)])))  # numbers bigrams of all shards
-    if first2[-1] >= 1 << 33:
-        raise ValueError("more than 2**33 bigrams in the model: raise least_count")
+        kept = counts >= least_count
+        keys, counts = keys[kept], counts[kept]
+        if len(keys) >= 1 << (64 - WORD_BITS):
+            raise OverflowError(f"more than 2**{64 - WORD_BITS} bigrams in a shard: take more shards")
+        if len(keys):
+            write_arrays(f"{root}/level2-{s}", build2(model.vocabulary, s, shards, model.words, (model.tokens, model.distinct), keys, counts))
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([int(counts.sum())], pa.int64())], ["shard", "tokens"])
+
+    rows = each_shard(texts.mapInArrow(bigrams, BLOCKS), shards, write2, "shard int, tokens long").collect()
+    tokens = np.zeros(shards, np.int64)
+    for r in rows:
+        tokens[r["shard"]] = r["tokens"]
+    model.two = tokens > 0
+    model.cut(tokens)
 
     def trigrams(batches):
         def parts():
@@ -511,23 +527,27 @@ def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_C
                 s = Stream(b.column(0), model)
                 s.pairs(model)
                 t = s.triples()
-                place = first2[s.number[t - 1] % shards] + s.bigram[t]
-                yield place.astype(np.uint64) << _U(31) | s.number[t - 2].astype(np.uint64)
-
-        yield from gathered(parts(), spread, shards)
+                # each different triple of the slice once: its first pair and its last
+                _, at, counts = np.unique(s.pair_number[t - 1] * len(s.left) + s.pair_number[t], return_index=True, return_counts=True)
+                t = t[at]
+                first, middle = s.number[t - 2], s.number[t - 1]
+                yield model.unit_of(first, middle), s.bigram[t].astype(np.uint64) << _U(WORD_BITS) | first.astype(np.uint64), counts
 
-    def owner(keys):
-        return np.searchsorted(first2, (keys >> _U(31)).astype(np.int64), "right") - 1
+        yield from gathered(parts())
 
-    def write3(s, keys, counts):
-        level2 = model.level(2, s)
-        t = build3(level2, s, shards, model.contexts(s), keys - (_U(int(first2[s])) << _U(31)), counts)
-        seen = model.seen2(t["first"], t["middle"] * shards + s).astype(float)
-        write_arrays(f"{root}/level3-{s}", _finish3(level2, t, model.words, seen))
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], ["shard"])
-
-    counted = each_shard(texts.mapInArrow(trigrams, BLOCKS), shards, kept(owner), BLOCKS)
-    model.three = sorted(r["shard"] for r in each_shard(counted, shards, write3, "shard int").collect())
+    def write3(unit, keys, counts):
+        kept = counts >= least_count
+        if kept.any():
+            s = model.shard_of(unit)
+            level2 = model.level(2, s)
+            t = build3(level2, model.contexts(s), keys[kept], counts[kept])
+            seen = model.seen2(t["first"], t["middle"] * shards + s).astype(float)
+            write_arrays(f"{root}/level3-{unit}", _finish3(level2, t, model.words, seen))
+            yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32())], ["unit"])
+
+    units = int(model.units[-1])
+    rows = each_shard(texts.mapInArrow(trigrams, BLOCKS), units, write3, "unit int").collect()
+    model.three = np.isin(np.arange(units), [r["unit"] for r in rows])
     return model
 
 
@@ -535,7 +555,7 @@ def score_stream(text: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     """(tokens, known tokens, base score, model score) of each text."""
     s = Stream(text, model)
     base = log_unigram(s.count.astype(float), model.tokens, model.distinct)
-    u, at, place = s.pairs(model)
+    place = s.pairs(model)
     logp = base.copy()
     # a numbered word before: its bigram, or what it leaves to the unigram
     follows = np.flatnonzero(~s.first)
@@ -545,19 +565,19 @@ def score_stream(text: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     logp[follows] = np.where(np.isnan(two), model.back2(w)[of] + base[follows], two)
     # a known pair before: its trigram, or what it leaves to the above
     some = np.flatnonzero(place >= 0)
-    context, back = np.full(len(u), -1, np.int64), np.zeros(len(u))
-    context[some], back[some] = model.find_context((u[some] >> _U(32)).astype(np.int64), (u[some] & _U(0xFFFFFFFF)).astype(np.int64))
+    context, back = np.full(len(place), -1, np.int64), np.zeros(len(place))
+    context[some], back[some] = model.find_context(s.left[some], s.right[some])
     context_at, back_at = np.full(len(s.hash), -1, np.int64), np.zeros(len(s.hash))
-    context_at[s.pair_at], back_at[s.pair_at] = context[at], back[at]
+    context_at[s.pair_at], back_at[s.pair_at] = context[s.pair], back[s.pair]
     under = follows[context_at[follows - 1] >= 0]
     three = np.full(len(under), np.nan)
     hit = np.flatnonzero(s.bigram[under] >= 0)
     t = under[hit]
     if len(t):
         # each different triple is looked up once
-        _, one, back_to = np.unique(s.pair_number[t - 1] * len(u) + s.pair_number[t], return_index=True, return_inverse=True)
+        _, one, back_to = np.unique(s.pair_number[t - 1] * len(place) + s.pair_number[t], return_index=True, return_inverse=True)
         one = t[one]
-        three[hit] = model.find3(context_at[one - 1], s.number[one - 1], s.bigram[one])[back_to]
+        three[hit] = model.find3(context_at[one - 1], s.number[one - 2], s.number[one - 1], s.bigram[one])[back_to]
     logp[under] = np.where(np.isnan(three), back_at[under - 1] + logp[under], three)
     begin = s.ends - s.lengths
     total = lambda x: np.add.reduceat(x, begin) if len(x) else np.zeros(0)

@@ -390,3 +390,19 @@ def test_repeated_rows_stay_linear(spark):
     assert [(r.doc_id, len(r.starts)) for r in found] == [(3, 251)]
     got = substring_dedup.removed_words(many).groupBy("doc_id", "n_removed").count().collect()
     assert {tuple(r) for r in got} == {(1, 0, 1), (3, 300, 10_000)}
+
+
+@pytest.mark.parametrize("unit", [40, 1 << 22])
+def test_a_word_that_is_half_of_all_middles(spark, monkeypatch, unit):
+    """Its trigrams are dealt to many units by first word; scores stay those of the brute-force model."""
+    monkeypatch.setattr(ngram_lm, "UNIT", unit)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(w for k in range(int(rng.integers(1, 60))) for w in ("hot", f"v{rng.integers(0, 40)}")) for _ in range(50)]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 5)
+    parts = np.diff(model.units)
+    assert parts.max() > 20 if unit == 40 else parts.max() == 1
+    want = brute_model(texts)
+    asked = [*texts[:12], "hot hot v1 hot v2 new hot", "v3", None]
+    for t, *got in zip(asked, *ngram_lm.score_stream(pa.array(asked), model), strict=True):
+        n, known, _, base, own = want(t)
+        assert (got[0], got[1]) == (n, known) and abs(got[2] - base) < 1e-9 * max(1, -base) and abs(got[3] - own) < 1e-3 * n
