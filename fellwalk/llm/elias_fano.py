@@ -75,9 +75,8 @@ class EliasFano:
             return np.zeros(len(i), np.uint64)
         at = i.astype(np.uint64) * _U(self.low_bits)
         word, shift = (at >> _U(6)).astype(np.int64), at & _U(63)
-        out = self.low[word] >> shift
-        over = shift > _U(0)
-        out[over] |= self.low[word[over] + 1] << (_U(64) - shift[over])
+        # the upper word is moved in two steps, as a shift by 64 is none
+        out = self.low[word] >> shift | self.low[word + 1] << _U(1) << (_U(63) - shift)
         return out & ((_U(1) << _U(self.low_bits)) - _U(1))
 
     def select(self, i: np.ndarray) -> np.ndarray:
@@ -91,6 +90,12 @@ class EliasFano:
             return np.zeros(0, np.int64)
         return ((self.select(i) - i).astype(np.uint64) << _U(self.low_bits) | self.lows(i)).astype(np.int64)
 
+    def ones_from(self, place: np.ndarray) -> np.ndarray:
+        """How many bits are set in a row from a place on, 64 for that many and more."""
+        word, shift = place >> 6, (place & 63).astype(np.uint64)
+        seen = self.high[word] >> shift | self.high[np.minimum(word + 1, len(self.high) - 1)] << _U(1) << (_U(63) - shift)
+        return np.bitwise_count(seen & ~(seen + _U(1))).astype(np.int64)
+
     def below(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below h: the ones before the h-th zero."""
         out = np.full(len(h), self.n, np.int64)
@@ -106,21 +111,35 @@ class EliasFano:
         return out
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value >= x, whether it equals x)."""
+        """(place of the first value >= x, whether it equals x). Looked up in order, which touches memory in order."""
+        order = np.argsort(x)
+        at, found = self._successor(x[order])
+        back = np.empty_like(order)
+        back[order] = np.arange(len(x))
+        return at[back], found[back]
+
+    def _successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = (x.astype(np.uint64) >> _U(self.low_bits)).astype(np.int64)
-        lo, end = self.below(h), self.below(h + 1)
+        lo = self.below(h)
+        # values with the same high part are a run of ones; only a run beyond 63 is looked up by its end
+        inside = np.flatnonzero(lo < self.n)
+        run = self.ones_from(lo[inside] + h[inside])
+        end = lo.copy()
+        end[inside] += run
+        long = inside[run > 63]
+        end[long] = self.below(h[long] + 1)
         hi, want = end.copy(), x.astype(np.uint64) & ((_U(1) << _U(self.low_bits)) - _U(1))
         active = np.flatnonzero(lo < hi)
+        a, b, w = lo[active], hi[active], want[active]
         while len(active):
-            mid = (lo[active] + hi[active]) >> 1
-            less = self.lows(mid) < want[active]
-            lo[active[less]] = mid[less] + 1
-            hi[active[~less]] = mid[~less]
-            active = active[lo[active] < hi[active]]
-        found = np.zeros(len(x), bool)
-        some = np.flatnonzero(lo < end)
-        found[some] = self.lows(lo[some]) == want[some]
-        return lo, found
+            mid = (a + b) >> 1
+            less = self.lows(mid) < w
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+            lo[active] = a
+            more = np.flatnonzero(a < b)
+            active, a, b, w = active[more], a[more], b[more], w[more]
+        inside = lo < end
+        return lo, inside & (self.lows(np.minimum(lo, max(0, self.n - 1))) == want)
 
     def arrays(self) -> dict[str, np.ndarray]:
         return {"shape": np.array([self.n, self.low_bits], np.int64), "high": self.high, "ones": self.ones, "zeros": self.zeros, "low": self.low}

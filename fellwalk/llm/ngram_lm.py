@@ -101,8 +101,9 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
 
 
 def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences of their upper halves and plain lower halves, which compress well. A count of
-    2**32 and more takes several entries of its key, which add up."""
+    """Sorted keys as differences of their upper halves and plain lower halves, and counts, all byte by byte: first bytes,
+    second bytes and so on, most of which are zeros and compress to nothing. A count of 2**32 and more takes
+    several entries of its key, which add up."""
     most = (1 << 32) - 1
     if len(counts) and counts.max() > most:
         times = np.maximum(1, -(-counts // most))
@@ -111,11 +112,12 @@ def pack_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
         counts = np.full(len(keys), most, np.int64)
         counts[last] = rest
     high = (keys >> _U(32)).astype(np.uint32)
-    return np.diff(high, prepend=np.uint32(0)).tobytes() + keys.astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes()
+    rows = np.stack((np.diff(high, prepend=np.uint32(0)), keys.astype(np.uint32), counts.astype(np.uint32)))
+    return rows.view(np.uint8).reshape(3, len(keys), 4).transpose(0, 2, 1).tobytes()
 
 
 def unpack_block(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(raw, np.uint32).reshape(3, -1)
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(3, 4, -1).transpose(0, 2, 1)).view(np.uint32)[..., 0]
     return np.cumsum(a[0], dtype=np.uint32).astype(np.uint64) << _U(32) | a[1].astype(np.uint64), a[2].astype(np.int64)
 
 
@@ -541,7 +543,8 @@ def train(docs: DataFrame, shards: int | None = None, least_count: int = LEAST_C
             s = model.shard_of(unit)
             level2 = model.level(2, s)
             t = build3(level2, model.contexts(s), keys[kept], counts[kept])
-            seen = model.seen2(t["first"], t["middle"] * shards + s).astype(float)
+            # a token follows every pair of a text but the last, so with all n-grams kept a context was seen as often as what follows it
+            seen = np.bincount(t["group"], t["counts"]) if least_count == 1 else model.seen2(t["first"], t["middle"] * shards + s).astype(float)
             write_arrays(f"{root}/level3-{unit}", _finish3(level2, t, model.words, seen))
             yield pa.RecordBatch.from_arrays([pa.array([unit], pa.int32())], ["unit"])
 
