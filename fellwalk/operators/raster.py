@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import utm
@@ -39,10 +39,34 @@ def ranges(grid: DataFrame) -> DataFrame:
     return grid.groupBy("grid_id").agg(F.coalesce(F.min("z"), F.lit(0.0)).alias("min_z"), F.coalesce(F.max("z"), F.lit(0.0)).alias("max_z"))
 
 
+#: Spacings of the nested lattices of a layout, coarsest first.
+SPACINGS = (64, 16, 8, 4, 2, 1)
+
+
+def write_lattice(grid: DataFrame, folder: str, tile: int = 256) -> None:
+    """Writes a grid as nested lattices: each cell lies in the folder of the coarsest lattice that it is on (rows and columns
+    at multiples of the spacing), and there by tile. A probe of every n-th row and column reads the folders from n up and no
+    other; the finer a read, the more it adds, and all folders are the whole grid."""
+    on = lambda s: (F.col("r") % s == 0) & (F.col("c") % s == 0)
+    spacing = F.coalesce(*[F.when(on(s), s) for s in SPACINGS])
+    cells = grid.select("grid_id", "r", "c", "z", spacing.alias("spacing"), F.floor(F.col("r") / tile).alias("_tr"), F.floor(F.col("c") / tile).alias("_tc"))
+    order = ["spacing", "grid_id", "_tr", "_tc"]
+    cells.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tr", "_tc").write.partitionBy("spacing").parquet(folder)
+
+
+def lattice(spark: SparkSession, folder: str, every: int) -> DataFrame:
+    """The cells of a layout at every n-th row and column, n being one of SPACINGS; other folders are not read."""
+    if every not in SPACINGS:
+        raise ValueError(f"no lattice of {every}")
+    schema = "grid_id int, r int, c int, z double, spacing int"
+    return spark.read.schema(schema).parquet(folder).where(F.col("spacing") >= every).drop("spacing")
+
+
 def coverage(grid: DataFrame, sample: int | None = None) -> DataFrame:
     """Cells with data of a raw grid, all cells, and whether any sampled cell lies above the sentinel.
 
-    With `sample`, only every so many rows and columns are looked at: a cheap probe before a full read.
+    With `sample`, only every so many rows and columns are looked at; of a layout by write_lattice, lattice() reads no more
+    than these.
     """
     g = grid if sample is None else grid.where((F.col("r") % sample == 0) & (F.col("c") % sample == 0))
     z = missing(F.col("z"))

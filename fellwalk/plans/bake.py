@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import jobs, raster, relief, sinks, tiles, track
 from .config import Config
+from .store import Store, content, digest
 
 #: Percent and label of the steps after the worker's start.
 STEPS = jobs.STAGES[1:]
@@ -77,29 +78,39 @@ def run(points: DataFrame, primary: DataFrame, secondary: DataFrame, config: Con
     """A bake written as Parquet tables below `folder`, step by step, so that a lost executor costs a step at most and
     later steps read what earlier ones made. report(percent, label) is called as a step begins.
 
-    Gives pct, label and rows (of the step's tables) of the seven steps; one without its input (pixels, canopy) has none.
+    Gives pct, label, rows (of the step's tables), reused and tables (their folders) of the seven steps; one without its
+    input (pixels, canopy) has none. Steps are kept by the content of their inputs and the settings that they read: a
+    further run into the same folder, also after a lost driver, makes only what is not there.
     """
-    spark, done = points.sparkSession, []
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    spark, done, store = points.sparkSession, [], Store(points.sparkSession, folder)
+    inputs = {"points": points, "primary": primary, "secondary": secondary, "pixels": pixels, "canopy": canopy}
+    keys = {name: content(df) for name, df in inputs.items() if df is not None}
+    read = lambda name: spark.read.parquet(store.path(name, keys[name]))
     crop = lambda g: raster.cropped(g, config.edge_pad_cells, inner) if inner else g
+    cut = (config.edge_pad_cells, inner) if inner else ()
 
-    def step(**tables: Callable[[], DataFrame]) -> None:
+    def step(needs: str, settings: tuple, **tables: Callable[[], DataFrame]) -> None:
+        """A step from the named inputs and tables; settings are all values that it reads."""
         pct, label = STEPS[len(done)]
         if report:
             report(pct, label)
-        for name, make in tables.items():
-            make().write.parquet(f"{folder}/{name}")
-        done.append((pct, label, sum(read(name).count() for name in tables)))
+        if not all(n in keys for n in needs.split()):
+            done.append((pct, label, 0, False, []))
+            return
+        key = digest(label, settings, [keys[n] for n in needs.split()])
+        keys.update(dict.fromkeys(tables, key))
+        done.append((pct, label, *store.made(key, tables), [store.path(n, key) for n in tables]))
 
     def forest() -> DataFrame:
         rgb = relief.forest_rgb(F.col("tcd"), F.col("reference"), config.forest_min_cover)
         return canopy.join(read("relief"), ["grid_id", "r", "c"]).select("grid_id", "r", "c", *(v.alias(k) for k, v in zip(relief.CHANNELS, rgb, strict=True)))
 
-    step(summary=lambda: track.summary(points, config.route_step_m, config.gain_threshold_m))
-    step(surface=lambda: terrain(primary, secondary, config))
-    step(route=lambda: track.route(track.smoothed(points, config.smooth_horizontal, config.smooth_vertical), config.route_step_m), heights=lambda: crop(read("surface")))
-    step(**{} if pixels is None else {"texture": lambda: relief.enhanced(pixels, config.saturation, config.brightness, config.contrast)})
-    step(relief=lambda: crop(layers(read("surface"), config, cell_m)))
-    step(**{} if canopy is None else {"forest": forest})
-    step(manifest=lambda: manifest(points, read("summary")))
-    return spark.createDataFrame(done, "pct int, label string, rows long")
+    smoothing, colours = (config.smooth_horizontal, config.smooth_vertical), (config.saturation, config.brightness, config.contrast)
+    step("points", (config.route_step_m, config.gain_threshold_m), summary=lambda: track.summary(points, config.route_step_m, config.gain_threshold_m))
+    step("primary secondary", (config.mesh_sigma,), surface=lambda: terrain(primary, secondary, config))
+    step("points surface", (*smoothing, config.route_step_m, *cut), route=lambda: track.route(track.smoothed(points, *smoothing), config.route_step_m), heights=lambda: crop(read("surface")))
+    step("pixels", colours, texture=lambda: relief.enhanced(pixels, *colours))
+    step("surface", (config.relief_sigma, config.slope_sigma, cell_m, *cut), relief=lambda: crop(layers(read("surface"), config, cell_m)))
+    step("canopy relief", (config.forest_min_cover,), forest=forest)
+    step("points summary", (), manifest=lambda: manifest(points, read("summary")))
+    return spark.createDataFrame(done, "pct int, label string, rows long, reused boolean, tables array<string>")

@@ -175,11 +175,6 @@ def coverage(g):
     return raster.coverage(g)
 
 
-@query("dem_secondary")
-def coverage_probe(g):
-    return raster.coverage(g, 8).select("grid_id", "covered")
-
-
 @query("dem_primary", "dem_secondary")
 def raster_fill(a, b):
     return _rounded(raster.fused(a, b), 6, "z")
@@ -773,12 +768,22 @@ def bake_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven steps of a bake of all grids and tracks, with the rows that each has written."""
     views = (read(spark, sf_dir, v) for v in ("track_points", "dem_primary", "dem_secondary", "pixels", "canopy"))
     points, primary, secondary, pixels, canopy = views
-    return bake.run(points, primary, secondary, Config(route_step_m=100.0), CELL, _folder(spark, "bake"), pixels, canopy)
+    return bake.run(points, primary, secondary, Config(route_step_m=100.0), CELL, _folder(spark, "bake"), pixels, canopy).select("pct", "label", "rows")
 
 
 QUERIES["bake_progress"] = bake_progress
 
 
+def coverage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one cell in 64 of a grid has data, from a layout of which these cells are a part of their own."""
+    folder = _folder(spark, "lattice")
+    raster.write_lattice(read(spark, sf_dir, "dem_secondary"), folder)
+    return raster.coverage(raster.lattice(spark, folder, 8)).select("grid_id", "covered")
+
+
+QUERIES["coverage_probe"] = coverage_probe
+
+
 def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state fold as a stream over a written log; the same rows as job_state."""
     from ..streaming.jobs import replay as run

@@ -237,7 +237,7 @@ def test_bake_steps(spark, tmp_path):
     steps = run(p, g, g, Config(route_step_m=50.0, edge_pad_cells=3), 10.0, f"file://{tmp_path}/b", inner=6, report=lambda pct, label: seen.append(pct)).collect()
     assert seen == [8, 22, 58, 70, 82, 90, 97] == [s.pct for s in steps]
     assert [steps[i].rows for i in (0, 1, 3, 4, 5, 6)] == [1, 144, 0, 36, 0, 1]
-    assert np.allclose(back(spark.read.parquet(f"file://{tmp_path}/b/relief"), "slope"), math.degrees(math.atan(math.hypot(0.3, 0.2))))
+    assert np.allclose(back(spark.read.parquet(steps[4].tables[0]), "slope"), math.degrees(math.atan(math.hypot(0.3, 0.2))))
 
 
 def test_geotiff(spark, tmp_path):
