@@ -176,9 +176,15 @@ def contours(grid: DataFrame, step: float) -> DataFrame:
 
 
 def contour_segments(grid: DataFrame, step: float, major: float | None = None) -> DataFrame:
-    """grid_id, level, r, c, x1, y1, x2, y2, major: pieces of lines of constant height in each square of four
+    """grid_id, level, r, c, x1, y1, x2, y2, major: pieces of lines of constant height, see edge_segments."""
+    return edge_segments(grid, step, major).drop("k", "e1", "e2")
+
+
+def edge_segments(grid: DataFrame, step: float, major: float | None = None) -> DataFrame:
+    """grid_id, k, level, r, c, x1, y1, e1, x2, y2, e2, major: pieces of the k-th lines of constant height in each square of four
     nodes (c to c + 1, r to r + 1), in cells. A level is crossed where one node lies below it and the other
-    does not; in a saddle, the mean of the nodes decides which corners belong together.
+    does not; in a saddle, the mean of the nodes decides which corners belong together. e1 and e2 number the edges between
+    nodes on which the ends lie.
     """
     major = 5 * step if major is None else major
     g = grid.select("grid_id", "r", "c", "z", F.lead("z").over(along_row()).alias("zr"))
@@ -189,22 +195,25 @@ def contour_segments(grid: DataFrame, step: float, major: float | None = None) -
     g = g.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k")).withColumn("level", F.col("k") * float(step))
     above = lambda z: F.col(z) >= F.col("level")
 
-    def crossing(a, b, x, y):
-        return F.when(above(a) != above(b), F.struct(x((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("x"), y((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("y")))
+    def edge(r, c, upward: int):
+        return (r.cast("long") * (1 << 31) + c) * 2 + upward
+
+    def crossing(a, b, x, y, number):
+        return F.when(above(a) != above(b), F.struct(x((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("x"), y((F.col("level") - F.col(a)) / (F.col(b) - F.col(a))).alias("y"), number.alias("e")))
 
     c, r = F.col("c").cast("double"), F.col("r").cast("double")
-    bottom = crossing("z", "zr", lambda t: c + t, lambda t: r)
-    right = crossing("zr", "zur", lambda t: c + 1, lambda t: r + t)
-    top = crossing("zu", "zur", lambda t: c + t, lambda t: r + 1)
-    left = crossing("z", "zu", lambda t: c, lambda t: r + t)
-    g = g.select("grid_id", "level", "r", "c", bottom.alias("b"), right.alias("e"), top.alias("t"), left.alias("l"), ((F.col("z") + F.col("zr") + F.col("zu") + F.col("zur")) / 4 >= F.col("level")).alias("mid"), above("z").alias("corner"))
+    bottom = crossing("z", "zr", lambda t: c + t, lambda t: r, edge(F.col("r"), F.col("c"), 0))
+    right = crossing("zr", "zur", lambda t: c + 1, lambda t: r + t, edge(F.col("r"), F.col("c") + 1, 1))
+    top = crossing("zu", "zur", lambda t: c + t, lambda t: r + 1, edge(F.col("r") + 1, F.col("c"), 0))
+    left = crossing("z", "zu", lambda t: c, lambda t: r + t, edge(F.col("r"), F.col("c"), 1))
+    g = g.select("grid_id", "k", "level", "r", "c", bottom.alias("b"), right.alias("e"), top.alias("t"), left.alias("l"), ((F.col("z") + F.col("zr") + F.col("zu") + F.col("zur")) / 4 >= F.col("level")).alias("mid"), above("z").alias("corner"))
     line = lambda p, q: F.struct(F.col(p).alias("p"), F.col(q).alias("q"))
     saddle = F.when(F.col("mid") == F.col("corner"), F.array(line("b", "e"), line("l", "t"))).otherwise(F.array(line("l", "b"), line("e", "t")))
     ends = F.filter(F.array("l", "b", "e", "t"), lambda p: p.isNotNull())
     lines = F.when(F.size(ends) == 4, saddle).otherwise(F.array(F.struct(ends[0].alias("p"), F.element_at(ends, 2).alias("q"))))
-    g = g.where(F.size(ends) >= 2).select("grid_id", "level", "r", "c", F.explode(lines).alias("s"))
+    g = g.where(F.size(ends) >= 2).select("grid_id", "k", "level", "r", "c", F.explode(lines).alias("s"))
     ratio = F.col("level") / float(major)
-    return g.select("grid_id", "level", "r", "c", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), (F.abs(ratio - F.round(ratio)) < 1e-6).alias("major"))
+    return g.select("grid_id", "k", "level", "r", "c", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.p.e").alias("e1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"), F.col("s.q.e").alias("e2"), (F.abs(ratio - F.round(ratio)) < 1e-6).alias("major"))
 
 
 def resize_weights(size: int, to: int, kernel: str) -> list[tuple[int, int, float]]:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..functions.numeric import clamp, fit_inside, rounded
-from ..operators import jobs, nearest, overlay, raster, relief, replay, reproject, sinks, tiles, track
+from ..operators import contours, jobs, nearest, overlay, raster, relief, replay, reproject, sinks, tiles, track
 from ..sources import gpx, grids, tiff
+from ..sources.shared import new_folder
 from ..sources.views import read
 from . import bake
 from .config import Config
@@ -700,6 +701,12 @@ def contour_segments(g):
     return _rounded(raster.contour_segments(g, 40.0, 200.0), 6, "x1", "y1", "x2", "y2")
 
 
+@query("dem_grid")
+def contour_lines(g):
+    """Segments joined into lines, point by point."""
+    return _rounded(contours.lines(g, 80.0, 400.0), 6, "x", "y")
+
+
 @query("dem_grid")
 def resize_bicubic(g):
     return _rounded(raster.resized(g, (N, N), (40, 27), "bicubic"), 5, "z")
@@ -755,20 +762,11 @@ def gpx_errors(d):
     return gpx.point_errors(d, "track_id")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one; a local one only where none is set, as in tests."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fellwalk-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def bake_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven steps of a bake of all grids and tracks, with the rows that each has written."""
     views = (read(spark, sf_dir, v) for v in ("track_points", "dem_primary", "dem_secondary", "pixels", "canopy"))
     points, primary, secondary, pixels, canopy = views
-    return bake.run(points, primary, secondary, Config(route_step_m=100.0), CELL, _folder(spark, "bake"), pixels, canopy).select("pct", "label", "rows")
+    return bake.run(points, primary, secondary, Config(route_step_m=100.0), CELL, new_folder(spark, "bake"), pixels, canopy).select("pct", "label", "rows")
 
 
 QUERIES["bake_progress"] = bake_progress
@@ -776,7 +774,7 @@ QUERIES["bake_progress"] = bake_progress
 
 def coverage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether one cell in 64 of a grid has data, from a layout of which these cells are a part of their own."""
-    folder = _folder(spark, "lattice")
+    folder = new_folder(spark, "lattice")
     raster.write_lattice(read(spark, sf_dir, "dem_secondary"), folder)
     return raster.coverage(raster.lattice(spark, folder, 8)).select("grid_id", "covered")
 
@@ -788,7 +786,7 @@ def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state fold as a stream over a written log; the same rows as job_state."""
     from ..streaming.jobs import replay as run
 
-    folder = _folder(spark, "job-log")
+    folder = new_folder(spark, "job-log")
     events = read(spark, sf_dir, "job_events").select("job_id", "seq", "kind", "pct")
     events.repartition("job_id").write.parquet(f"{folder}/log")  # a job's events are in one file
     return run(spark.read.parquet(f"{folder}/log"), spark, folder, f"{folder}/log")
