@@ -123,14 +123,19 @@ def ascent(points: DataFrame, threshold: float = 3.0) -> DataFrame:
     return packed(points).select("track_id", deadband_gain(F.col("points.ele"), threshold).alias("gain_m"))
 
 
-def simplified(points: DataFrame, step: float) -> DataFrame:
-    """Points that are the first at or beyond a multiple of `step` metres, and the last point.
+def with_shown(points: DataFrame, step: float) -> DataFrame:
+    """Adds `shown`: points that are the first at or beyond a multiple of `step` metres, and the last point.
 
     Closed form: a point stays if it passes a multiple that the point before had not passed. Needs d.
     """
     p = points.withColumn("_before", F.lag("d").over(by_track())).withColumn("_total", F.max("d").over(whole_track())).withColumn("_last", F.max("seq").over(whole_track()))
     passes = F.least(F.floor(F.col("d") / step), F.ceil(F.col("_total") / step) - 1) > F.floor(F.col("_before") / step)
-    return p.where((F.col("seq") == 0) | (F.col("seq") == F.col("_last")) | passes).drop("_before", "_total", "_last")
+    return p.withColumn("shown", (F.col("seq") == 0) | (F.col("seq") == F.col("_last")) | F.coalesce(passes, F.lit(False))).drop("_before", "_total", "_last")
+
+
+def simplified(points: DataFrame, step: float) -> DataFrame:
+    """The points that are shown."""
+    return with_shown(points, step).where("shown").drop("shown")
 
 
 def route(points: DataFrame, step: float) -> DataFrame:
@@ -140,11 +145,10 @@ def route(points: DataFrame, step: float) -> DataFrame:
 
 def summary(points: DataFrame, step: float = 2.0, threshold: float = 3.0) -> DataFrame:
     """Points, display points, km, gain and elevation range of every smoothed track."""
-    s = with_distance(smoothed(points))
-    stats = s.groupBy("track_id").agg(F.count("*").alias("points"), (F.max("d") / 1000).alias("km"), F.min("ele").alias("min_e"), F.max("ele").alias("max_e"), F.array_sort(F.collect_list(F.struct("seq", "ele"))).alias("e"))
-    shown = simplified(s, step).groupBy("track_id").agg(F.count("*").alias("display_points"))
+    s = with_shown(with_distance(smoothed(points)), step)
+    stats = s.groupBy("track_id").agg(F.count("*").alias("points"), F.count_if("shown").alias("display_points"), (F.max("d") / 1000).alias("km"), F.min("ele").alias("min_e"), F.max("ele").alias("max_e"), F.array_sort(F.collect_list(F.struct("seq", "ele"))).alias("e"))
     stats = stats.withColumn("gain", deadband_gain(F.col("e.ele"), threshold))
-    return stats.join(shown, "track_id").select("track_id", "points", "display_points", rounded(F.col("km"), 2).alias("km"), rounded(F.col("gain"), 0).alias("gain"), rounded(F.col("min_e"), 1).alias("min_e"), rounded(F.col("max_e"), 1).alias("max_e"))
+    return stats.select("track_id", "points", "display_points", rounded(F.col("km"), 2).alias("km"), rounded(F.col("gain"), 0).alias("gain"), rounded(F.col("min_e"), 1).alias("min_e"), rounded(F.col("max_e"), 1).alias("max_e"))
 
 
 def bounds(points: DataFrame, margin: float = 0.0) -> DataFrame:
