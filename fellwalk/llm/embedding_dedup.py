@@ -271,6 +271,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", column: str =
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector of `embeddings`; unusable ones (null, zero, non-finite) link with nothing, repeated rows are one class."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

@@ -351,4 +351,5 @@ def extract_pages(pages: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null html is empty, pages of any length are read whole, repeated rows are read one by one."""
     return extract_pages(table(spark, sf_dir, "pages"), fit())

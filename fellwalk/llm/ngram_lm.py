@@ -604,6 +604,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those not held out, see `train` and `score`; texts of any length are scored whole."""
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 7) == 2
     # a null doc_id is no training document, but is scored

@@ -237,4 +237,5 @@ def pack_public(docs: DataFrame) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in windows, see `pack`; a text of any length is cut into windows, none is dropped."""
     return pack_public(table(spark, sf_dir, "documents"))

@@ -222,5 +222,6 @@ def filter_documents(docs: DataFrame, trees: Trees, threshold: float = 0.5) -> D
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null texts have no words, texts of any length are counted whole, repeated rows one by one."""
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -517,5 +517,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WID
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, see `clusters`; texts of any length are shingled whole."""
     out = clusters(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")

@@ -239,6 +239,7 @@ def dedup_documents(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated windows take from every document, see `removed_words`; texts of any length are cut whole."""
     return removed_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
