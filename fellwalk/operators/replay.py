@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, lerp
-from .fold import ordered_fold
+from .fold import BLOCK, Fold, Form, folded
 from .raster import sampled
 
 # Fixed values of the follow camera, in metres.
@@ -18,15 +19,23 @@ LEAST_DISTANCE, MOST_DISTANCE = 1450.0, 2050.0
 
 def monotone(points: DataFrame) -> DataFrame:
     """Distances that never fall: one that does not grow is replaced by the one before plus the step in
-    space. Ordered fold over (track_id, seq, d, x, y, z)."""
+    space. Fold over (track_id, seq, d, x, y, z); a missing d does not grow, a step with a missing end is 0."""
 
-    def step(last, row):
-        d, x, y, z = row
-        if last and not d > last[0]:
-            d = last[0] + math.sqrt((x - last[1]) * (x - last[1]) + (y - last[2]) * (y - last[2]) + (z - last[3]) * (z - last[3]))
-        return d, x, y, z
+    def steps(m: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(np.sqrt((np.diff(m[:, 1:], axis=0) ** 2).sum(axis=1)))
 
-    return ordered_fold(points, "track_id", "seq", ["d", "x", "y", "z"], ["d", "x", "y", "z"], step)
+    def first(row, before, value):
+        if before is None or not value >= row[0] and not np.isnan(row[0]):
+            return float(row[0])
+        return value + float(steps(np.stack([before, row]))[0])
+
+    def form(m: np.ndarray) -> Form:
+        s, d = steps(m), m[1:, 0]
+        way = np.cumsum(s)
+        lo = np.where(np.isnan(d), -np.inf, d - np.append(0.0, way)[: len(d)])
+        return Form(lo, np.full(len(d), np.inf), d - way, np.ones(len(d)), way, d)
+
+    return folded(points, "track_id", "seq", Fold(["d", "x", "y", "z"], first, form), "d")
 
 
 def at_distance(points: DataFrame, wanted: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
@@ -119,12 +128,29 @@ def replay_clock(frames: DataFrame, duration_ms: float = 68_000.0, most_ms: floa
 
 def damped(frames: DataFrame, damping: float, reset: float = 1100.0, most_s: float = 0.05) -> DataFrame:
     """Value that follows its target (id, seq, dt in seconds, target) exponentially; it jumps where the gap
-    exceeds `reset`. Ordered fold over each id's frames."""
-
-    def step(last, row):
-        dt, target = row
-        if last is None or abs(target - last[0]) > reset:
-            return (target,)
-        return (last[0] + (target - last[0]) * (1.0 - math.exp(min(dt, most_s) * -damping)),)
-
-    return ordered_fold(frames, "id", "seq", ["dt", "target"], ["value"], step)
+    exceeds `reset`. Fold over each id's frames; a frame without a target changes nothing, one without dt takes no time."""
+
+    def shares(dt: np.ndarray) -> np.ndarray:
+        return np.clip(np.nan_to_num(dt), 0.0, most_s) * damping
+
+    def first(row, before, value):
+        target = float(row[1])
+        if before is None or np.isnan(value) or abs(target - value) > reset:
+            return target
+        return value if np.isnan(target) else value + (target - value) * (1.0 - math.exp(-float(shares(row[:1])[0])))
+
+    def form(m: np.ndarray) -> Form:
+        k, target = shares(m[1:, 0]), m[1:, 1]
+        none = np.isnan(target)
+        k = np.where(none, 0.0, k)
+        scale = np.exp(-np.cumsum(k))
+        shift = scale * np.cumsum(np.where(none, 0.0, target) * -np.expm1(-k) / scale)
+        p, q = np.append(1.0, scale)[: len(k)], np.append(0.0, shift)[: len(k)]  # of the row before
+        wide = reset * (1 + 1e-9)  # a gap of just `reset` does not exceed it, in spite of rounding
+        lo, hi = (np.where(none, far, (target + gap - q) / p) for gap, far in ((-wide, -np.inf), (wide, np.inf)))
+        sure = np.append(False, ~(np.abs(np.diff(target)) <= reset))[: len(k)] & ~none
+        return Form(lo, hi, (target - shift) / scale, scale, shift, target, sure)
+
+    # exp(-600) is well inside the range of doubles
+    block = max(1, min(BLOCK, int(600 / max(damping * most_s, 1e-9))))
+    return folded(frames, "id", "seq", Fold(["dt", "target"], first, form, block), "value").drop("dt", "target")

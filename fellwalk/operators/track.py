@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, haversine, local_xy, tile_xy
 from ..functions.numeric import rounded
+from .fold import Fold, Form, gains
 
 
 
@@ -120,7 +121,19 @@ def deadband_gain(elevations: Column, threshold: float = 3.0) -> Column:
 
 
 def ascent(points: DataFrame, threshold: float = 3.0) -> DataFrame:
-    return packed(points).select("track_id", deadband_gain(F.col("points.ele"), threshold).alias("gain_m"))
+    """Metres climbed by each track: a rise counts once it exceeds the lowest height since the last by `threshold`.
+    Missing heights are passed over; a track without any has 0."""
+
+    def first(row, before, low):
+        v = float(row[0])
+        return low if before is not None and (np.isnan(v) or low <= v <= low + threshold) else v
+
+    def form(m: np.ndarray) -> Form:
+        v = m[1:, 0]
+        none, one = np.isnan(v), np.ones(len(v))
+        return Form(np.where(none, -np.inf, v), np.where(none, np.inf, v), v, one, one * 0, v)
+
+    return gains(points, "track_id", "seq", Fold(["ele"], first, form, reach=threshold), "gain_m")
 
 
 def with_shown(points: DataFrame, step: float) -> DataFrame:
