@@ -783,13 +783,13 @@ QUERIES["coverage_probe"] = coverage_probe
 
 
 def job_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The state fold as a stream over a written log; the same rows as job_state."""
+    """The state fold as a stream over a written log whose events are dealt over its files; the same rows as job_state."""
     from ..streaming.jobs import replay as run
 
     folder = new_folder(spark, "job-log")
     events = read(spark, sf_dir, "job_events").select("job_id", "seq", "kind", "pct")
-    events.repartition("job_id").write.parquet(f"{folder}/log")  # a job's events are in one file
-    return run(spark.read.parquet(f"{folder}/log"), spark, folder, f"{folder}/log")
+    events.repartition(4, F.hash("job_id", "seq", "kind")).write.parquet(f"{folder}/log")
+    return run(spark, "job_id long, seq int, kind string, pct int", f"{folder}/log", folder, 2)
 
 
 QUERIES["job_stream"] = job_stream

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.jobs import with_job_id
 
-STATE = "status string, progress int"
+#: The state store that processors with maps and timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+OUT = "job_id long, status string, progress int"
 
 
 def step(state: tuple[str, int], kind: str, pct: int) -> tuple[str, int]:
@@ -28,27 +30,67 @@ def step(state: tuple[str, int], kind: str, pct: int) -> tuple[str, int]:
     return state
 
 
-def job_states(events: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
-    """Stream of (job_id, seq, kind, pct) to a stream of (job_id, status, progress) after each batch. Events of a
-    job must come in order across batches (one file or partition of the log for each job); inside a batch they
-    are sorted. The state
-    of a job that hears nothing for ttl_ms is dropped; without ttl_ms it stays. A timeout keeps a query running
-    even when its input has ended, so a replay of a finished log has none."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = tuple(state.get) if state.exists else ("queued", 2)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        for kind, pct in zip(rows["kind"], rows["pct"], strict=True):
-            now = step(now, kind, int(pct))
-        state.update(now)
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [now[0]], "progress": [now[1]]})
-
-    return events.groupBy("job_id").applyInPandasWithState(fold, "job_id long, status string, progress int", STATE, "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+class JobFold(StatefulProcessor):
+    """Folds each job's events in the order of seq, from 0 on, in whatever order they arrive.
+
+    An event ahead of its turn waits in a map, on disk with the other state, until those before it have come. An event
+    that came before is passed over. With `event_time`, a job that hears nothing for ttl_ms of event time ends: what still
+    waits is folded in order, gaps or not, and the state is dropped.
+    """
+
+    def __init__(self, event_time: str | None = None, ttl_ms: int = 3_600_000):
+        self.event_time, self.ttl_ms = event_time, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "due int, waiting int, status string, progress int, ends long")
+        self.early = handle.getMapState("early", "seq int", "kind string, pct int")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.now.get() if self.now.exists() else (0, 0, "queued", 2, -1)
+        due, waiting, *state, ends = old
+        state, last = tuple(state), ends
+        for frame in rows:
+            if self.event_time:
+                last = max(last, int(frame[self.event_time].max().timestamp() * 1000) + self.ttl_ms)
+            for seq, kind, pct in frame.sort_values("seq")[["seq", "kind", "pct"]].itertuples(index=False):
+                if seq > due:
+                    waiting += not (waiting and self.early.containsKey((int(seq),)))
+                    self.early.updateValue((int(seq),), (kind, int(pct)))
+                elif seq == due:
+                    state, due = step(state, kind, int(pct)), due + 1
+                    while waiting and self.early.containsKey((due,)):
+                        state = step(state, *self.early.getValue((due,)))
+                        self.early.removeKey((due,))
+                        due, waiting = due + 1, waiting - 1
+        if last > ends:
+            if ends >= 0:
+                self.handle.deleteTimer(ends)
+            self.handle.registerTimer(last)
+        self.now.update((due, waiting, *state, last))
+        yield pd.DataFrame({"job_id": [key[0]], "status": [state[0]], "progress": [state[1]]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, waiting, *state, _ = self.now.get()
+        state = tuple(state)
+        if waiting:
+            for _, event in sorted((k[0], v) for k, v in self.early.iterator()):
+                state = step(state, *event)
+            yield pd.DataFrame({"job_id": [key[0]], "status": [state[0]], "progress": [state[1]]})
+        self.early.clear()
+        self.now.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame, event_time: str | None = None, late: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
+    """Stream of (job_id, seq, kind, pct) to a stream of (job_id, status, progress) after each batch, see JobFold. Its session's
+    state store has to be STORE. Without `event_time`, a timestamp column, state stays; with it, events older than the watermark,
+    `late` behind the newest, no longer count."""
+    if event_time:
+        events = events.withWatermark(event_time, late)
+    return events.groupBy("job_id").transformWithStateInPandas(JobFold(event_time, ttl_ms), OUT, "Update", "EventTime" if event_time else "None")
 
 
 def first_uploads(uploads: DataFrame, event_time: str, late: str = "1 hour") -> DataFrame:
@@ -56,16 +98,23 @@ def first_uploads(uploads: DataFrame, event_time: str, late: str = "1 hour") ->
     return with_job_id(uploads).withWatermark(event_time, late).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def replay(events: DataFrame, spark, folder: str, source: str) -> DataFrame:
-    """Runs the fold over files of a finished log, each job's events in one file, and returns the last state of
-    each job. States are written as Parquet under `folder`."""
-    stream = spark.readStream.schema(events.schema).parquet(source)
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that job_states needs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
+
+
+def replay(spark: SparkSession, schema: str, source: str, folder: str, files: int = 64) -> DataFrame:
+    """Runs the fold over the Parquet files of a finished log, `files` at a time, and returns the last state of
+    each job. Any file may hold any event. States are written as Parquet under `folder`, progress too: a run that was broken off goes on there."""
+    stream = streaming_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")  # a batch that runs again replaces its own
 
-    query = job_states(stream, None).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query = job_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    rank = F.col("progress") + F.when(F.col("status").isin("error", "ready"), 1000).otherwise(0)  # an end is last
-    states = spark.read.schema("job_id long, status string, progress int").parquet(f"{folder}/states")
-    return states.groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), rank).alias("s")).select("job_id", "s.status", "s.progress")
+    states = spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/states")
+    return states.groupBy("job_id").agg(F.max_by(F.struct("status", "progress"), "batch").alias("s")).select("job_id", "s.status", "s.progress")
