@@ -6,13 +6,15 @@ fill levels, least. A move may also fill a window up and cut the document, at a
 open windows stays bounded for every mix of lengths and none is closed early.
 
 Partitions pack on their own. The windows that they leave open, a bounded number each, are packed on by the
-same rule in groups of partitions; what a group leaves open is dealt into full windows.
+same rule in groups of partitions, what those leave open in groups of groups, and so on until one group is
+left. Only what that one leaves open, no more than a partition does, is dealt into full windows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -166,12 +168,17 @@ def pack_documents(docs: Iterable[tuple[int | None, np.ndarray]], first: int = 0
         yield w, pieces, True
 
 
-def pack_on(windows: Iterable[tuple[int, list[Piece]]], first: int, size: int = WINDOW) -> Iterator[tuple[int, list[Piece]]]:
-    """Packs open windows on by the same rule, then settles what is left, in windows numbered from `first`."""
+def pack_on(windows: Iterable[tuple[int, list[Piece]]], first: int | None, size: int = WINDOW) -> Iterator[tuple[int, list[Piece], bool]]:
+    """Packs open windows on by the same rule: (window, pieces, open). With `first`, what is left is settled in windows
+    numbered from there and none is open."""
     rule = SumOfSquares(size)
     for window, pieces in windows:
-        yield from rule.place(window, pieces)
-    yield from settle([p for _, _, pieces in rule.left() for p in pieces], size, first)
+        for w, full in rule.place(window, pieces):
+            yield w, full, False
+    if first is None:
+        yield from ((w, pieces, True) for w, _, pieces in rule.left())
+    else:
+        yield from ((w, pieces, False) for w, pieces in settle([p for _, _, pieces in rule.left() for p in pieces], size, first))
 
 
 def rows_of(windows: Iterable[tuple[int, list[Piece], bool]], most: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,9 @@ def pack(docs: DataFrame, path: str, fast_path: str | None = None, pattern: str
     A null or empty text is its end mark alone. Rows with the same doc_id are packed one by one. An empty
     table gives no rows. sequence_id holds the partition in its upper bits, so it is unique. What the
     partitions pack is written once to the shared folder, as encoding is the costly part; of the ids, only
-    those of open windows are written and shuffled, at most a few hundred windows of a partition.
+    those of open windows are written and shuffled, at most a few hundred windows of a partition or of a group. Groups take
+    `together` partitions, then as many groups, until there is one: so many rounds as that number's power needs to reach
+    the number of partitions, each on an eighth of the windows of the one before.
     """
 
     def run(batches):
@@ -217,17 +226,26 @@ def pack(docs: DataFrame, path: str, fast_path: str | None = None, pattern: str
 
         yield from rows_of(pack_documents(documents(), TaskContext.get().partitionId() << SHIFT, size))
 
-    def on(key, t):
+    def on(t: pa.Table, first: int | None) -> pa.Table:
         t = t.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         windows: dict[int, list[Piece]] = {}
         for doc, start, tokens, window, raw in zip(*(t.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "sequence_id", "ids")), strict=True):
             windows.setdefault(window, []).append(Piece(doc, start, np.frombuffer(raw, "<u4"), tokens))
-        first = 1 << 62 | key[0].as_py() << SHIFT
-        return pa.Table.from_batches(rows_of((w, pieces, False) for w, pieces in pack_on(windows.items(), first, size))).drop_columns(["ids"])
-
-    packed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA + ", ids binary"), "packed")
-    still = packed.where("ids is not null").withColumn("together", F.expr(f"(sequence_id >> {SHIFT}) div {together}"))
-    return packed.where("ids is null").drop("ids").unionByName(still.groupBy("together").applyInArrow(on, SCHEMA))
+        return pa.Table.from_batches(rows_of(pack_on(windows.items(), first, size)))
+
+    rows = SCHEMA + ", ids binary"
+    packed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, rows), "packed")
+    done = [packed.where("ids is null")]
+    still = packed.where("ids is not null")
+    last = (still.agg(F.max("sequence_id")).first()[0] or 0) >> SHIFT  # the last partition that left a window open
+    span = together
+    while last >= span:
+        group = F.expr(f"(sequence_id >> {SHIFT}) div {span}").alias("together")
+        level = stored(still.groupBy(group).applyInArrow(lambda t: on(t, None), rows), "packed-on")
+        done.append(level.where("ids is null"))
+        still, span = level.where("ids is not null"), span * together
+    done.append(still.groupBy(F.lit(0).alias("together")).applyInArrow(lambda t: on(t, 1 << 62), rows))
+    return reduce(DataFrame.unionByName, done).drop("ids")
 
 
 def pack_public(docs: DataFrame) -> DataFrame:
