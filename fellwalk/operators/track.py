@@ -70,11 +70,6 @@ def savgol_array(values: Column, window: int) -> Column:
     return F.when(n < window, values).otherwise(F.transform(values, at))
 
 
-def packed(points: DataFrame) -> DataFrame:
-    """One row per track: points, an array of (seq, lat, lon, ele) in order."""
-    return points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "ele"))).alias("points"))
-
-
 def savgol(points: DataFrame, windows: dict[str, int]) -> DataFrame:
     """Savitzky-Golay smoothing (order 2) of columns, each with its window, in long form.
 

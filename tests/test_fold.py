@@ -86,7 +86,7 @@ def test_empty_table(spark):
 
 
 def test_a_long_track_is_many_tasks(spark):
-    """Two thousand blocks' rows of one track: no task of the passes over rows holds more than some blocks."""
+    """One track of 31 blocks: its rows are dealt by block."""
     n = 2_000_000
     rows = spark.range(n).selectExpr("1L AS track_id", "CAST(id AS INT) AS seq", "CAST(id % 1000 AS DOUBLE) AS ele")
     assert track.ascent(rows).first().gain_m == pytest.approx(n / 1000 * 996, rel=0.01)
