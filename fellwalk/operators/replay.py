@@ -73,10 +73,9 @@ def occlusion(cases: DataFrame, grid: DataFrame, n: int, keys: list[str], sample
     metres of grid grid_id); 0 if nowhere."""
     s = cases.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i")).withColumn("t", F.col("i") / float(parts))
     at = lambda k: lerp(F.col(f"eye_{k}"), F.col(f"target_{k}"), F.col("t"))
-    s = s.select(*keys, "i", "grid_id", at("x").alias("x"), at("z").alias("y"), at("y").alias("line_y"))
-    z = sampled(grid, s.select(*keys, "i", "grid_id", "x", "y"), n, [*keys, "i"])
-    j = s.select(*keys, "i", "line_y").join(z, [*keys, "i"])
-    return j.groupBy(*keys).agg(F.greatest(F.max(F.col("z") + clearance - F.col("line_y")), F.lit(0.0)).alias("score"))
+    s = s.select(*keys, "grid_id", at("x").alias("x"), at("z").alias("y"), at("y").alias("line_y"))
+    z = sampled(grid, s, n, [*keys, "line_y"])  # samples bring their height of the line along: no second join
+    return z.groupBy(*keys).agg(F.greatest(F.max(F.col("z") + clearance - F.col("line_y")), F.lit(0.0)).alias("score"))
 
 
 def side_offsets(cases: DataFrame, grid: DataFrame, n: int, key: str, side: float, strong: float = 260.0, samples: int = 14) -> DataFrame:

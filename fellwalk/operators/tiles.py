@@ -92,20 +92,23 @@ def _cell(r: Column, c: Column) -> Column:
     return F.coalesce(F.get("cells", (r - F.col("r0")) * F.col("columns") + c - F.col("c0")), F.lit(float("nan")))
 
 
-def _at_tiles(tiles: DataFrame, at: DataFrame, tile: int) -> DataFrame:
-    return at.withColumn("tr", F.floor(F.col("_r") / tile).cast("int")).withColumn("tc", F.floor(F.col("_c") / tile).cast("int")).join(tiles, KEY)
+def at_tiles(tiles: DataFrame, at: DataFrame, how: str = "inner") -> DataFrame:
+    """Places (..., KEY) with their tiles. Neither side is sent to the driver: the planner takes what explode and Arrow make for no larger than
+    their input, and would broadcast millions of places, or a whole raster. A tile that most places are in is split at run time."""
+    return at.join(tiles.hint("merge"), KEY, how)
 
 
 def sampled(tiles: DataFrame, at: DataFrame, n: int, keys: list[str], tile: int = SIDE) -> DataFrame:
     """Bilinear height at (grid_id, y, x) in cells, clamped to a grid of n x n cells; NULL next to a missing height.
     Needs a halo of one cell. Places of a grid without tiles drop out."""
     p = at.select(*keys, "grid_id", clamp(F.col("y"), 0.0, float(n - 1)).alias("_y"), clamp(F.col("x"), 0.0, float(n - 1)).alias("_x"))
-    p = p.withColumn("_r", F.floor("_y").cast("int")).withColumn("_c", F.floor("_x").cast("int"))
+    p = p.withColumn("tr", F.floor(F.floor("_y") / tile).cast("int")).withColumn("tc", F.floor(F.floor("_x") / tile).cast("int"))
+    p = at_tiles(tiles, p).withColumn("_r", F.floor("_y").cast("int")).withColumn("_c", F.floor("_x").cast("int"))
     fy, fx = F.col("_y") - F.col("_r"), F.col("_x") - F.col("_c")
     up, right = F.least(F.col("_r") + 1, F.lit(n - 1)), F.least(F.col("_c") + 1, F.lit(n - 1))
     r, c = F.col("_r"), F.col("_c")
     z = (1 - fy) * (1 - fx) * _cell(r, c) + (1 - fy) * fx * _cell(r, right) + fy * (1 - fx) * _cell(up, c) + fy * fx * _cell(up, right)
-    return _at_tiles(tiles, p, tile).select(*keys, F.nanvl(z, F.lit(None)).alias("z"))
+    return p.select(*keys, F.nanvl(z, F.lit(None)).alias("z"))
 
 
 def cubic_weights(f: Column) -> list[Column]:
@@ -120,7 +123,7 @@ def cubic(tiles: DataFrame, at: DataFrame, n: int, keys: list[str], tile: int =
     edge = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
     p = at.select(*keys, "grid_id", "y", "x", F.floor(F.when(inside, F.col("y"))).cast("int").alias("_r"), F.floor(F.when(inside, F.col("x"))).cast("int").alias("_c"))
     heights = F.array(*[_cell(edge(F.col("_r") + (i - 1)), edge(F.col("_c") + (j - 1))) for i in range(4) for j in range(4)])
-    near = p.withColumn("tr", F.floor(F.col("_r") / tile).cast("int")).withColumn("tc", F.floor(F.col("_c") / tile).cast("int")).join(tiles, KEY, "left")
+    near = at_tiles(tiles, p.withColumn("tr", F.floor(F.col("_r") / tile).cast("int")).withColumn("tc", F.floor(F.col("_c") / tile).cast("int")), "left")
     near = near.select(*keys, "y", "x", "_r", "_c", heights.alias("_z"))
     wy, wx = cubic_weights(F.col("y") - F.col("_r")), cubic_weights(F.col("x") - F.col("_c"))
     near = near.select(*keys, "_z", F.array(*[wy[i] * wx[j] for i in range(4) for j in range(4)]).alias("_w"))

@@ -165,3 +165,12 @@ def test_reprojection_keeps_a_plane(spark):
         assert abs(got[i, j] - (3 * (e - EAST) + 2 * (m - NORTH)) / 20) < 0.2
     assert reproject.reprojected(metres(spark, np.zeros((4, 4)), 20.0).limit(0), at).count() == 0
     assert reproject.reprojected(metres(spark, np.zeros((4, 4)), 20.0), at.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["sightline_occlusion", "side_offset", "bilinear_sample", "cubic_resample", "reproject_nodes"])
+def test_places_and_tiles_are_not_broadcast(spark, name):
+    """The planner takes exploded places and packed tiles for small at any size: no join of them may bring a side to the driver."""
+    from fellwalk.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastNestedLoopJoin" not in plan
