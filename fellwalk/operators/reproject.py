@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import utm
-from .tiles import KEY, SIDE, packed
+from .tiles import SIDE, at_tiles, packed
 
 #: Reach of the kernel in cells, before it is widened; least share of its weight on cells with heights.
 REACH, LEAST_SHARE = 2.0, 0.5
@@ -36,12 +36,13 @@ def geometry(cells: DataFrame) -> DataFrame:
 
 def placed(nodes: DataFrame, frames: DataFrame, keys: list[str], zone: int) -> DataFrame:
     """Nodes with their place (x, y) in cells and the widths (wide_x, wide_y) of the kernel: how many cells a step of the
-    target is, from the sizes of the whole target in both, 1 at least."""
+    target is, from the sizes of the whole target in both, 1 at least. Nodes, which are many more than the planner
+    takes them for, are joined where they are; frames and widths have one row a grid or mesh."""
     east, north = utm(F.col("lat"), F.col("lon"), zone)
-    p = nodes.join(frames, "grid_id").withColumns({"x": (east - F.col("x0")) / F.col("dx"), "y": (north - F.col("y0")) / F.col("dy")})
+    p = nodes.join(frames.hint("shuffle_hash"), "grid_id").withColumns({"x": (east - F.col("x0")) / F.col("dx"), "y": (north - F.col("y0")) / F.col("dy")})
     span = lambda v, k: F.greatest(F.lit(1.0), F.coalesce((F.max(v) - F.min(v)) / F.nullif(F.max(k) - F.min(k), F.lit(0)), F.lit(1.0)))
     widths = p.groupBy("grid_id", *keys).agg(span("x", "c").alias("wide_x"), span("y", "r").alias("wide_y"))
-    return p.join(widths, ["grid_id", *keys]).select("grid_id", *keys, "r", "c", "x", "y", "wide_x", "wide_y", "rows", "columns")
+    return p.join(widths.hint("shuffle_hash"), ["grid_id", *keys]).select("grid_id", *keys, "r", "c", "x", "y", "wide_x", "wide_y", "rows", "columns")
 
 
 def _inside(tile_start: Column, tile_size: Column, first: str, last: str) -> Column:
@@ -85,7 +86,7 @@ def reprojected(cells: DataFrame, nodes: DataFrame, keys: list[str] | None = Non
         p = p.withColumn(f"{name}_last", F.when(inside, F.least(F.floor(F.col(v) + reach), F.col(n) - 1).cast("int")))
     tiles_of = lambda k: F.explode_outer(F.sequence(F.floor(F.col(f"{k}_first") / tile).cast("int"), F.floor(F.col(f"{k}_last") / tile).cast("int")))
     p = p.withColumn("tr", tiles_of("r")).withColumn("tc", tiles_of("c")).drop("rows", "columns")
-    met = p.join(packed(cells.select("grid_id", "r", "c", "z"), tile, 0).withColumnRenamed("columns", "tile_columns"), KEY, "left")
+    met = at_tiles(packed(cells.select("grid_id", "r", "c", "z"), tile, 0).withColumnRenamed("columns", "tile_columns"), p, "left")
     rows = _inside(F.col("r0"), F.expr("size(cells) div tile_columns").cast("int"), "r_first", "r_last")
     columns = _inside(F.col("c0"), F.col("tile_columns"), "c_first", "c_last")
     # a tile at the edge of a raster with holes may end before the footprint begins
