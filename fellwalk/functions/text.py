@@ -52,9 +52,30 @@ ERROR_LINE = r"^\w[\w.]*(Error|Exception|Warning):"
 PROGRESS_LINE = r"^progress:(\d+)\s+(.*)$"
 
 
-def coordinate_label(*values: Column, digits: int = 4) -> Column:
+def fixed(v: Column | str, digits: int) -> Column:
+    """A number with `digits` digits after the point, as C prints it: rounded by its exact binary value, halves to even. (The JVM
+    rounds the shortest decimal that names the number, halves up: 0.125 is 0.13 there.)"""
+    k = 2.0 * 10**digits
+    cut = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # noqa: E731  (upper half of the bits)
+    v = F.col(v) if isinstance(v, str) else v
+    x = F.abs(v)
+    k_high = 134217729.0 * k - (134217729.0 * k - k)
+    high, p = cut(x), x * k
+    low, k_low = x - high, k - k_high
+    rest = ((high * k_high - p) + high * k_low + low * k_high) + low * k_low  # x * k is p + rest, exactly
+    down = F.floor(x * float(10**digits))
+    down = down - F.when(p + rest < down * 2, 1).otherwise(0)  # the product may have been rounded up
+    over = (p - (down * 2 + 1).cast("double")) + rest
+    n = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+    unit = 10**digits
+    whole = F.floor(n / unit) if digits else n
+    text = whole.cast("string") if not digits else F.concat(whole.cast("string"), F.lit("."), F.lpad((n - whole * unit).cast("string"), digits, "0"))
+    return F.when(x * unit < float(1 << 50), F.concat(F.when(v < 0, "-").otherwise(""), text)).otherwise(F.format_string(f"%.{digits}f", v))
+
+
+def coordinate_label(*values: Column | str, digits: int = 4) -> Column:
     """Numbers with a fixed count of digits, joined by a comma: "45.0012, 7.0310"."""
-    return F.concat_ws(", ", *(F.format_string(f"%.{digits}f", v) for v in values))
+    return F.concat_ws(", ", *(fixed(v, digits) for v in values))
 
 
 def vector_label(*values: Column) -> Column:

@@ -374,3 +374,17 @@ def test_no_grid_goes_through_one_task(spark):
     for df in (raster.gaussian(g, 0.6), raster.fused(g, g), relief.heightmap(g), raster.mesh_vertices(g, 6, 1.0, 1.0, 1.0)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"windowspecdefinition\(grid_id#\d+, (r#\d+ ASC|c#\d+ ASC|specified)", plan)
+
+
+def test_fixed_digits_are_those_of_c(spark):
+    """Halves by the exact binary value, exact halves to even; neighbours of halves on both sides."""
+    import math
+
+    from fellwalk.functions.text import coordinate_label
+
+    half = [s * (k + 0.5) / 100 for k in range(0, 20000, 37) for s in (1, -1)]
+    values = [0.125, 0.375, 45.125, 45.375, -0.125, 7.005, 1.005, 45.015, -0.001, 0.0, 0.995, 999999.995, *half]
+    values += [math.nextafter(v, to) for v in values for to in (math.inf, -math.inf) if v]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    got = {r.v: (r.two, r.four, r.none) for r in rows.select("v", coordinate_label("v", digits=2).alias("two"), coordinate_label("v").alias("four"), coordinate_label("v", digits=0).alias("none")).collect()}
+    assert {v: (f"{v:.2f}", f"{v:.4f}", f"{v:.0f}") for v in values} == got
