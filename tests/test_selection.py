@@ -70,3 +70,15 @@ def test_places_open_few_boxes(spark):
     df.collect()
     joins = [n.metrics().apply("numOutputRows").value() for n in _nodes(df._jdf.queryExecution().executedPlan()) if "Join" in n.nodeName() and n.metrics().contains("numOutputRows")]
     assert max(joins) < 200 * 20_000 / 50
+
+
+def test_places_and_routes_are_not_shuffled_as_pairs(spark):
+    """Blocks and groups of any size give the same rows, and the rows shuffled are places and points, not places x routes."""
+    points = spark.range(6000).select((F.col("id") % 300).alias("track_id"), F.col("id").alias("seq"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 103).cast("double").alias("y"))
+    places = spark.range(500).select(F.col("id").alias("place_id"), (F.col("id") % 50).cast("double").alias("x"), (F.col("id") * 7 % 90).cast("double").alias("y"))
+    whole, parts = nearest.nearest_points(places, points), nearest.nearest_points(places, points, 150, 900)
+    want = {(r.place_id, r.track_id): (r.dist, r.seq) for r in places.crossJoin(points.withColumnsRenamed({"x": "px", "y": "py"})).groupBy("place_id", "track_id").agg(F.min(F.struct(F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2).alias("dist"), "seq")).alias("b")).select("place_id", "track_id", "b.dist", "b.seq").collect()}
+    for df in (whole, parts):
+        assert {(r.place_id, r.track_id): (r.dist, r.seq) for r in df.collect()} == want and len(want) == 150_000
+    shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in _nodes(whole._jdf.queryExecution().executedPlan()) if n.metrics().contains("shuffleRecordsWritten")]
+    assert shuffled and sum(shuffled) == 6500
