@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fellwalk.operators import jobs
@@ -49,3 +51,81 @@ def test_first_uploads(spark, tmp_path):
     first.writeStream.option("checkpointLocation", f"file://{tmp_path}/progress").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start().awaitTermination()
     want = jobs.deduplicated(spark.createDataFrame(rows, schema)).select(F.col("job_id")).collect()
     assert sorted(r.job_id for r in seen) == sorted(r.job_id for r in want)
+
+
+class Held:
+    """State in memory, one key's, that counts its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def counted(answer):  # noqa: N805
+        def call(self, *args):
+            self.calls += 1
+            return answer(self, *args)
+
+        return call
+
+    exists = counted(lambda self: self.value is not None)
+    get = counted(lambda self: self.value)
+    update = counted(lambda self, value: setattr(self, "value", value))
+    clear = counted(lambda self: None)
+    iterator = counted(lambda self: iter(self.map.items()))
+    containsKey = counted(lambda self, k: k in self.map)
+    getValue = counted(lambda self, k: self.map.get(k))
+    updateValue = counted(lambda self, k, v: self.map.update({k: v}))
+    removeKey = counted(lambda self, k: self.map.pop(k))
+
+
+def batches_of(log, order, size):
+    for at in range(0, len(order), size):
+        yield [Row(seq=log[i][0], kind=log[i][1], pct=log[i][2]) for i in order[at : at + size]]
+
+
+def plain(log):
+    status, progress = "queued", 2
+    for _, kind, pct in sorted(log):
+        if kind in ("cancel", "finish"):
+            return ("error", progress) if kind == "cancel" else ("ready", 100)
+        if kind == "progress":
+            status, progress = "processing", max(progress, min(99, pct))
+    return status, progress
+
+
+def test_calls_to_the_store():
+    """Early events of a job are kept together: 60 of them cost a read and a write of each batch."""
+    log = [(i, "submit" if i == 0 else "progress", i) for i in range(60)]
+    held = Held()
+    processor = streams.JobFold()
+    processor.init(held)
+    for rows in batches_of(log, range(59, -1, -1), 20):
+        out = list(processor.handleInputRows((1,), iter(rows), None))
+    assert out == [(1, "processing", 59)] and held.calls <= 6
+
+
+def test_long_jobs_in_any_order(monkeypatch):
+    """Jobs of several chunks against a plain loop: in order, backwards, shuffled, with repeats, ends at and around the chunks' borders, and with a gap."""
+    monkeypatch.setattr(streams, "MOST", 400)
+    rng = np.random.default_rng(3)
+    for n, end in ((2, None), (1024, "finish"), (1025, "cancel"), (5000, None), (5000, "cancel")):
+        log = [(i, "other" if i % 7 == 0 else "progress", int(rng.integers(-5, 130))) for i in range(n)]
+        if end:
+            log[-1 - n // 3] = (log[-1 - n // 3][0], end, 0)
+        for order in (np.arange(n), np.arange(n)[::-1], rng.permutation(n), rng.integers(0, n, 8 * n), np.flatnonzero(np.arange(n) != n // 2)):
+            order = np.concatenate((order, rng.permutation(n))) if len(order) > n else order
+            held = Held()
+            processor = streams.JobFold()
+            processor.init(held)
+            for rows in batches_of(log, order, 700):
+                out = list(processor.handleInputRows((1,), iter(rows), None))
+            if len(order) < n:
+                assert out[0][1:] == plain(log[: n // 2])
+                out = list(processor.handleExpiredTimer((1,), None, None)) or out
+                assert out[0][1:] == plain(log[: n // 2] + log[n // 2 + 1 :])
+            else:
+                assert out[0][1:] == plain(log) and not held.map
