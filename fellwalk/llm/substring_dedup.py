@@ -20,6 +20,8 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 from .common import OTHER, Tokens, chunks, mix64, stored, table, whole_rows
 
 WINDOW = 50
+#: Bits of the second hash of a window.
+CHECK_BITS = 24
 #: Bits of the filter over repeated anchors: 16 for each anchor, up to this many (32 MB). With more
 #: anchors than that the filter passes more windows on to be counted; the result stays the same.
 MOST_BITS = 1 << 28
@@ -102,14 +104,9 @@ def anchor_filter(anchors: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def removable(keyed: DataFrame, n: int) -> DataFrame:
-    """doc_id, row_key, starts: where windows begin that also start in a document with a smaller doc_id, as
-    position << 32 | number of equal windows in a row.
-
-    Windows are equal if 88 bits agree: a 64-bit hash and 24 bits of another, on another hash of the words. Among
-    1.5e13 windows (100 TB), 0.4 pairs are expected to agree by chance.
-    """
-    sent = keyed.sparkSession.sparkContext.broadcast(anchor_filter(repeated_anchors(keyed, n)))
+def window_rows(keyed: DataFrame, n: int, sent) -> DataFrame:
+    """window, tail, doc_id, row_key, times: windows whose anchors are in the filter that is sent. tail: position << CHECK_BITS | check,
+    times: equal windows in a row."""
 
     def windows(batches):
         held = sent.value
@@ -118,21 +115,36 @@ def removable(keyed: DataFrame, n: int) -> DataFrame:
             row, at, full, anchor, check = window_hashes(Tokens(b.column(2)), n, True)
             bit = anchor & mask
             maybe = np.flatnonzero((held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-            row, at, full, check = row[maybe], at[maybe], full[maybe], check[maybe].astype(np.int32)
+            row, at, full, check = row[maybe], at[maybe], full[maybe], check[maybe].astype(np.int64)
             # a word repeated over and over makes the same window at one place after another: one row
             again = (full[1:] == full[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + 1)
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), ~again)))
             times = np.diff(np.append(first, len(row)))
             row, at, full, check = row[first], at[first], full[first], check[first]
-            span = at << 32 | times
+            # what differs from row to row stands together, so that the shuffle's compression finds all else in the row before
+            tail = at << CHECK_BITS | check
             ids, keys = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(check), pa.array(ids[row]), pa.array(keys[row]), pa.array(span)], ["window", "check", "doc_id", "row_key", "span"])
+            yield pa.RecordBatch.from_arrays([pa.array(full.view(np.int64)), pa.array(tail), pa.array(ids[row]), pa.array(keys[row]), pa.array(times)], ["window", "tail", "doc_id", "row_key", "times"])
+
+    return keyed.where("doc_id is not null and text is not null").mapInArrow(windows, "window long, tail long, doc_id long, row_key long, times long")
 
-    rows = keyed.where("doc_id is not null and text is not null").mapInArrow(windows, "window long, check int, doc_id long, row_key long, span long")
-    least = rows.groupBy("window", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "check", "least")
+
+def removable(keyed: DataFrame, n: int) -> DataFrame:
+    """doc_id, row_key, starts: where windows begin that also start in a document with a smaller doc_id, as
+    position << 32 | number of equal windows in a row.
+
+    Windows are equal if 88 bits agree: a 64-bit hash and 24 bits of another, on another hash of the words. Among
+    1.5e13 windows (100 TB), 0.4 pairs are expected to agree by chance.
+    """
+    sent = keyed.sparkSession.sparkContext.broadcast(anchor_filter(repeated_anchors(keyed, n)))
+    rows = window_rows(keyed, n, sent)
+    check = F.col("tail").bitwiseAND((1 << CHECK_BITS) - 1)
+    least = rows.groupBy("window", check.alias("check")).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("window", "check", "least")
     # stored, so that both sides of the join are plain exchanges, and a window that is everywhere can be split
-    late = rows.join(stored(least, "windows"), ["window", "check"]).where("doc_id > least")
-    return late.groupBy("doc_id", "row_key").agg(F.collect_set("span").alias("starts"))  # a set, as repeated rows bring each window again
+    least = stored(least, "windows").withColumnRenamed("window", "_window")
+    late = rows.join(least, (F.col("window") == F.col("_window")) & (check == F.col("check"))).where("doc_id > least")
+    span = F.shiftleft(F.shiftright("tail", CHECK_BITS), 32).bitwiseOR(F.col("times"))
+    return late.groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("starts"))  # a set, as repeated rows bring each window again
 
 
 def intervals(starts: np.ndarray, n: int, times: np.ndarray | None = None) -> list[tuple[int, int]]:

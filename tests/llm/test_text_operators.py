@@ -304,6 +304,22 @@ def test_substrings(spark, n):
     assert substring_dedup.removed_words(df.limit(0), n).count() == 0
 
 
+def test_windows_travel_small(spark):
+    """As laid out, rows of a document differ from the one before in one stretch: 19 bytes are enough for one (LZ4, rows dealt by window)."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(500)], 4000)) for _ in range(4)]
+    docs = spark.createDataFrame([(1000 + i, texts[i % 4] + f" end{i}") for i in range(8)], "doc_id long, text string").coalesce(1)
+    every = spark.sparkContext.broadcast(np.full(64, ~np.uint64(0)))
+    rows = substring_dedup.window_rows(substring_dedup._keyed(docs), 50, every).toPandas()
+    laid = np.zeros((len(rows), 2 * len(rows.columns) + 3), np.int32)  # as Spark does: length, nulls, eight bytes a column
+    laid[:, 0] = 8 * (len(rows.columns) + 1)
+    for k, c in enumerate(rows.columns):
+        laid[:, 3 + 2 * k : 5 + 2 * k] = rows[c].to_numpy(np.int64).view(np.int32).reshape(-1, 2)
+    parts = [laid[rows["window"] % 8 == k].tobytes() for k in range(8)]
+    assert len(rows) > 30_000 and sum(len(pa.compress(p, "lz4_raw")) for p in parts) < 19 * len(rows)
+    assert sorted(rows["tail"].to_numpy(np.int64)[rows["doc_id"] == 1000] >> substring_dedup.CHECK_BITS) == list(range(4001 - 49))
+
+
 def test_cut_texts(spark):
     a = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(1, f"lead {a}\nend", 0), (2, f"other\n{a}  tail  here", 0), (3, a, 0), (4, None, 0)], "doc_id long, text string, n_chars long")
