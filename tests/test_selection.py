@@ -82,3 +82,26 @@ def test_places_and_routes_are_not_shuffled_as_pairs(spark):
         assert {(r.place_id, r.track_id): (r.dist, r.seq) for r in df.collect()} == want and len(want) == 150_000
     shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in _nodes(whole._jdf.queryExecution().executedPlan()) if n.metrics().contains("shuffleRecordsWritten")]
     assert shuffled and sum(shuffled) == 6500
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_places_and_points_are_shuffled_once(spark, broadcast):
+    """With many blocks and groups, too, a place and a point are shuffled once. Places share locations, routes come in several parts."""
+    points = spark.range(6000).select((F.col("id") % 13).alias("track_id"), F.col("id").alias("seq"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 103).cast("double").alias("y"))
+    places = spark.range(500).select(F.col("id").alias("place_id"), (F.col("id") % 4).cast("double").alias("x"), (F.col("id") * 7 % 6).cast("double").alias("y"))
+    want = {(r.place_id, r.track_id): (r.dist, r.seq) for r in places.crossJoin(points.withColumnsRenamed({"x": "px", "y": "py"})).groupBy("place_id", "track_id").agg(F.min(F.struct(F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2).alias("dist"), "seq")).alias("b")).select("place_id", "track_id", "b.dist", "b.seq").collect()}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": broadcast, "spark.sql.execution.arrow.maxRecordsPerBatch": "64"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = nearest.nearest_points(places, points, 60, 900)
+        rows = df.collect()
+        nodes = list(_nodes(df._jdf.queryExecution().executedPlan()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(want) == 6500 and {(r.place_id, r.track_id): (r.dist, r.seq) for r in rows} == want
+    shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in nodes if n.metrics().contains("shuffleRecordsWritten")]
+    assert sorted(shuffled) == [500, 6000]
+    assert any(n.nodeName() == "CartesianProduct" for n in nodes) == (broadcast == "-1")
