@@ -105,3 +105,15 @@ def test_places_and_points_are_shuffled_once(spark, broadcast):
     shuffled = [n.metrics().apply("shuffleRecordsWritten").value() for n in nodes if n.metrics().contains("shuffleRecordsWritten")]
     assert sorted(shuffled) == [500, 6000]
     assert any(n.nodeName() == "CartesianProduct" for n in nodes) == (broadcast == "-1")
+
+
+def test_nearest_points_without_numbers(spark):
+    """Places and points whose number is missing, points at no number, routes named by text."""
+    nan = float("nan")
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, nan, 1.0), (3, -0.0, 0.0), (None, 5.0, 5.0)], "place_id long, x double, y double")
+    points = spark.createDataFrame([("a", 1, 1.0, 0.0), ("a", 2, 0.0, 1.0), ("b", 7, nan, 0.0), ("c", None, 2.0, 2.0), ("c", 3, 2.0, 2.0), ("c", None, 5.0, 4.0)], "track_id string, seq int, x double, y double")
+    for sizes in ((), (2, 3)):
+        got = {(r.place_id, r.track_id): (r.seq, r.dist) for r in nearest.nearest_points(places, points, *sizes).collect()}
+        assert len(got) == 12 and all(np.isnan(got[k][1]) for k in got if k[0] == 2 or k[1] == "b")
+        assert [got[k, "a"] for k in (1, 3)] == [(1, 1.0)] * 2 and got[None, "c"] == (None, 1.0)
+        assert got[1, "c"] == got[3, "c"] == (3, 8**0.5) and got[None, "a"] == (1, 41**0.5)
